@@ -7,7 +7,7 @@ frames that look back without bound get one carried value per chunk (`running`).
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sitecast.schema import CHUNK, SITE
@@ -42,7 +42,7 @@ _FOLD = {
         lambda c, idx: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(idx))),
         lambda here, before: F.coalesce(here, before),
     ),
-    "min": (
+    "min": (  # also of structs, which order by their first field
         lambda c, idx: F.min(c),
         lambda c, idx: F.min(c),
         lambda here, before: F.least(here, before),
@@ -67,13 +67,13 @@ def running(
     idx: str = "row_idx",
     inclusive: bool = True,
     width: int = CHUNK,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """Running `last` / `min` / `max` / `sum` from the start of each series.
 
     `folds` maps a new column to (column, kind). Chunks are folded first, then the chunk
     totals (one row each) are folded the same way, so no task ever holds a whole series:
-    the last level orders rows / width**levels.
+    the last level orders rows / width**levels of them.
     """
     end = Window.currentRow if inclusive else -1
     frame = Window.partitionBy(*keys)
@@ -104,23 +104,19 @@ def running(
     return joined.select(*df.columns, *folds)
 
 
-def attach_by_site(
-    df: DataFrame,
-    sites: DataFrame,
-    how: str = "inner",
-    key: str = SITE,
-    spread: Column | None = None,
-    salts: int = 32,
-) -> DataFrame:
-    """Look up one row per site, keys compared as text.
+def attach_by_site(df: DataFrame, sites: DataFrame, how: str = "inner", key: str = SITE) -> DataFrame:
+    """Look up one row per site, keys compared as text; `inner` drops unknown sites.
 
-    Spark broadcasts the site table when its size allows. Where it has to shuffle, a site
-    holding much of the data is spread over `salts` partitions and its one row repeated.
+    Spark broadcasts the site table when its size allows and otherwise shuffles, splitting
+    the partition of a site that holds much of the data (adaptive skew join). The join stays
+    an outer one, with the drop done afterwards: only the right side of an outer join may be
+    broadcast, so the readings, whose unfolded size Spark cannot foresee, never are.
     """
-    spread = F.col("row_idx") if spread is None else spread
-    left = df.withColumns(
-        {"site_text": F.col(key).cast("string"), "salt": F.pmod(spread, F.lit(salts)).cast("int")}
-    )
-    right = sites.withColumn("site_text", F.col(key).cast("string"))
-    right = right.drop(key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["site_text", "salt"], how).drop("site_text", "salt")
+    left = df.withColumn("site_text", F.col(key).cast("string"))
+    columns = [c for c in sites.columns if c != key]
+    right = sites.select(F.col(key).cast("string").alias("site_text"), *columns, F.lit(True).alias("found"))
+    joined = left.join(right, "site_text", "left")
+    if how == "inner":
+        # Names a left column too, or the optimizer would turn the join back into an inner one.
+        joined = joined.filter(F.coalesce(F.col("found"), F.length("site_text") < 0))
+    return joined.drop("site_text", "found")

@@ -115,9 +115,10 @@ def build_cache(sample: DataFrame, horizon: int = HORIZON, keys: Sequence[str] =
 def join_cache(sample: DataFrame, cache: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Put the cached forecasts beside their samples; samples without any are skipped.
 
-    Joined per sample, before the steps are unfolded.
+    Joined per sample, before the steps are unfolded. Both sides hold every sample, so neither
+    is ever to be broadcast.
     """
-    return sample.join(cache, [*keys, "start_idx"])
+    return sample.join(cache.hint("merge"), [*keys, "start_idx"])
 
 
 def usage_rate(epoch: int, epochs: int) -> float:

@@ -44,7 +44,8 @@ def complete_grid(
         SITE, (F.col("first_slot") + F.col("place")).alias("slot"), "first_slot", "n_rows"
     )
     merged = (
-        df.unionByName(empty, allowMissingColumns=True)
+        df.filter(F.col(SITE).isNotNull())
+        .unionByName(empty, allowMissingColumns=True)
         .groupBy(SITE, "slot")
         .agg(
             F.max("first_slot").alias("first_slot"),
@@ -53,10 +54,13 @@ def complete_grid(
         )
         .filter(F.col("n_rows").isNotNull())
     )
+    # Keys that Spark knows to be present need no join filters, so every use of the grid in a
+    # job has the same plan below it and the shuffle is done once.
+    present = F.lit(-1).cast("bigint")
     return merged.select(
-        SITE,
-        (F.col("slot") - F.col("first_slot")).alias("row_idx"),
-        "n_rows",
+        F.coalesce(F.col(SITE), F.lit(-1)).alias(SITE),
+        F.coalesce(F.col("slot") - F.col("first_slot"), present).alias("row_idx"),
+        F.coalesce(F.col("n_rows"), present).alias("n_rows"),
         clock.slot_start(F.col("slot"), width).alias("ts"),
         *aggs,
     )

@@ -164,27 +164,18 @@ def metric_stall(
 ) -> DataFrame:
     """Best-so-far, epochs without improvement and the stop flag over a metric history.
 
-    Only a strictly smaller value counts as an improvement; a missing metric never does.
+    Only a strictly smaller value counts as an improvement; a missing metric never does. The
+    running minimum of (metric, epoch) holds the best value and the first epoch that had it.
     """
-    seen = running(df, {"best_before": (metric, "min")}, keys, idx, inclusive=False)
-    better = F.col(metric).isNotNull() & (
-        F.col("best_before").isNull() | (F.col(metric) < F.col("best_before"))
-    )
-    marked = seen.withColumns(
-        {"improved": better, "improved_at": F.when(better, F.col(idx))}
-    )
-    last = running(marked, {"last_improved": ("improved_at", "last")}, keys, idx)
-    flagged = last.withColumns(
-        {
-            "best": F.least(F.col(metric), F.col("best_before")),
-            "epochs_since_best": F.col(idx) - F.col("last_improved"),
-        }
-    ).withColumn("patience_out", F.when(F.col("epochs_since_best") >= patience, 1).otherwise(0))
-    ended = running(flagged, {"stopped": ("patience_out", "max")}, keys, idx)
+    pair = F.when(F.col(metric).isNotNull(), F.struct(metric, idx))
+    seen = running(df.withColumn("pair", pair), {"top": ("pair", "min")}, keys, idx)
+    since = F.col(idx) - F.col(f"top.{idx}")
+    marked = seen.withColumn("out", F.when(since >= patience, 1).otherwise(0))
+    ended = running(marked, {"stopped": ("out", "max")}, keys, idx)
     return ended.select(
         *df.columns,
-        "best",
-        "improved",
-        "epochs_since_best",
+        F.col(f"top.{metric}").alias("best"),
+        F.coalesce(since == 0, F.lit(False)).alias("improved"),
+        since.alias("epochs_since_best"),
         (F.col("stopped") == 1).alias("stopped"),
     )

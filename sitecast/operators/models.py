@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sitecast.operators.chunks import KEYS, attach_by_site, chunk_window, drop_halo, with_halo
 from sitecast.operators.sequences import samples
-from sitecast.schema import HORIZON, LOOKBACK, SITE, TARGET, TIME
+from sitecast.functions.values import zscore
+from sitecast.schema import HORIZON, LOOKBACK, MIN_STD, SITE, TARGET, TIME
 
 
 def with_lag(df: DataFrame, value: str = TARGET, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -37,6 +38,37 @@ def fit_ar1(df: DataFrame, value: str = TARGET, train: Column | None = None) ->
     return pairs.groupBy(SITE).agg(*regression(value, "before"))
 
 
+def fit_scaled_ar1(df: DataFrame, value: str = TARGET, train: Column | None = None) -> DataFrame:
+    """Statistics and AR(1) of the scaled series from the raw one, in a single pass.
+
+    Scaling moves and stretches both sides of the regression alike: the slope stays and the
+    intercept follows from the mean and spread. Adds `{value}_mean` and `{value}_std`.
+    """
+    pairs = with_lag(df.select(SITE, "row_idx", "n_rows", value), value)
+    if train is not None:
+        pairs = pairs.filter(train)
+    mean, std = f"{value}_mean", f"{value}_std"
+    fitted = pairs.groupBy(SITE).agg(
+        F.avg(value).alias(mean), F.stddev_samp(value).alias(std), *regression(value, "before")
+    )
+    scaled = F.col(std) > MIN_STD
+    moved = (F.col("a") + (F.col("b") - 1) * F.col(mean)) / F.col(std)
+    # Without a single valid value there is no level to start from.
+    moved = F.coalesce(moved, F.lit(0.0))
+    return fitted.withColumn("a", F.when(scaled, moved).otherwise(F.col("a")))
+
+
+def attach_model(df: DataFrame, site_model: DataFrame, value: str = TARGET) -> DataFrame:
+    """Scale the target and put the site's `a`, `b`, mean and spread beside every row."""
+    joined = attach_by_site(df, site_model.select(SITE, *model_columns(value)))
+    scaled = zscore(F.col(value), F.col(f"{value}_mean"), F.col(f"{value}_std"))
+    return joined.withColumn(value, scaled)
+
+
+def model_columns(value: str = TARGET) -> list[str]:
+    return ["a", "b", f"{value}_mean", f"{value}_std"]
+
+
 def fit_direct(cell: DataFrame) -> DataFrame:
     """One model per site and step: the value `step` rows ahead from the seed alone.
 
@@ -52,7 +84,7 @@ def direct_forecast(cell: DataFrame, model: DataFrame) -> DataFrame:
             F.collect_list(F.struct("step", F.struct("a", "b").alias("line")))
         ).alias("lines")
     )
-    joined = attach_by_site(cell, packed, spread=F.col("start_idx"))
+    joined = attach_by_site(cell, packed)
     line = F.col("lines")[F.col("step")]
     return joined.withColumn("yhat", line["a"] + line["b"] * F.col("seed")).drop("lines")
 

@@ -51,16 +51,14 @@ def fill_weather(df: DataFrame, cols: Sequence[str] = WEATHER) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in cols})
 
 
-def scale_by_site(
-    df: DataFrame, stats: DataFrame, cols: Sequence[str] = SCALED, spread: Column | None = None
-) -> DataFrame:
+def scale_by_site(df: DataFrame, stats: DataFrame, cols: Sequence[str] = SCALED) -> DataFrame:
     """Fill weather, then standardise with the site's own statistics.
 
     Sites without statistics and rows without a site drop out; a missing target stays missing.
     """
     kept = df.columns
     filled = fill_weather(df, [c for c in cols if c in WEATHER])
-    joined = attach_by_site(filled, stats, spread=spread)
+    joined = attach_by_site(filled, stats)
     scaled = {c: V.zscore(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std")) for c in cols}
     return joined.withColumns(scaled).select(*kept)
 

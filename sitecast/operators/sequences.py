@@ -7,7 +7,7 @@ sample needs is read from its last look-back row through bounded frames.
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sitecast.functions import values as V
@@ -76,6 +76,14 @@ def _whole(df: DataFrame, lookback: int, horizon: int) -> DataFrame:
     )
 
 
+def sample_keys(
+    df: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """The samples alone: every row that has a whole sample behind and ahead of it counts."""
+    start = F.col("row_idx") - (lookback - 1)
+    return _whole(df, lookback, horizon).select(*keys, start.alias("start_idx"))
+
+
 def samples(
     df: DataFrame,
     value: str = TARGET,
@@ -156,19 +164,40 @@ def encoder_summary(
 
     Missing values count as 0 in the first four, as the encoder sees them. Keyed by the row
     that ends the window; rows without a full look-back are left out.
+
+    Rows are cut into blocks as long as the window, so a window is the tail of one block and
+    the head of the next. Both are running folds, which makes the cost per row independent of
+    the length of the look-back.
     """
-    w = chunk_window(keys).rowsBetween(1 - lookback, 0)
-    framed = with_halo(df.select(*keys, "row_idx", *keep, *cols), before=lookback - 1, width=width)
-    new = {}
+    width = max(width // lookback, 1) * lookback
+    framed = with_halo(df.select(*keys, "row_idx", *keep, *cols), before=lookback, width=width)
+    framed = framed.withColumns(
+        {"block": F.expr(f"row_idx div {lookback}"), **{f"{c}_valid": F.col(c).isNotNull().cast("int") for c in cols}}
+    )
+    framed = fill_encoder(framed, cols)
+    folds = {}
+    for c in cols:
+        folds[f"{c}_avg"] = (F.sum, c, lambda a, b: a + b)
+        folds[f"{c}_min"] = (F.min, c, F.least)
+        folds[f"{c}_max"] = (F.max, c, F.greatest)
+        folds[f"{c}_valid"] = (F.sum, f"{c}_valid", lambda a, b: a + b)
+    block = Window.partitionBy(*keys, "chunk_id", "block")
+    head = block.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    tail = block.orderBy(F.col("row_idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    framed = framed.select("*", *[f(c).over(tail).alias(f"tail_{n}") for n, (f, c, _) in folds.items()])
+    framed = framed.select("*", *[f(c).over(head).alias(f"head_{n}") for n, (f, c, _) in folds.items()])
+    w = chunk_window(keys)
+    earlier = {f"tail_{n}": F.lag(f"tail_{n}", lookback - 1).over(w) for n in folds}
+    full = drop_halo(framed.withColumns(earlier), width).filter(F.col("row_idx") >= lookback - 1)
+    whole_block = F.pmod(F.col("row_idx") + 1, F.lit(lookback)) == 0
+    out = {
+        n: F.when(whole_block, F.col(f"head_{n}")).otherwise(join(F.col(f"tail_{n}"), F.col(f"head_{n}")))
+        for n, (_, _, join) in folds.items()
+    }
     for c in cols:
-        seen = F.coalesce(F.col(c), F.lit(0.0))
-        new[f"{c}_avg"] = F.avg(seen).over(w)
-        new[f"{c}_min"] = F.min(seen).over(w)
-        new[f"{c}_max"] = F.max(seen).over(w)
-        new[f"{c}_last"] = seen
-        new[f"{c}_valid"] = F.count(F.col(c)).over(w)
-    full = drop_halo(framed.withColumns(new), width).filter(F.col("row_idx") >= lookback - 1)
-    return full.select(*keys, "row_idx", *keep, *new)
+        out[f"{c}_avg"] = out[f"{c}_avg"] / lookback
+        out[f"{c}_last"] = F.col(c)
+    return full.select(*keys, "row_idx", *keep, *[col.alias(n) for n, col in out.items()])
 
 
 def export_sequences(
@@ -184,32 +213,59 @@ def export_sequences(
     `src` lookback x 10 with missing = 0, `tgt_in` horizon x 5 with the shifted target,
     `tgt_out` with missing = sentinel, and the two missing masks.
     """
-    framed = with_halo(df.select(*keys, "row_idx", "n_rows", *ENCODER), lookback, horizon, width)
-    frame = chunk_window(keys).rowsBetween(1 - lookback, horizon)
-    rows = F.collect_list(F.struct("row_idx", *ENCODER)).over(frame)
-    whole = _whole(drop_halo(framed.withColumn("rows", rows), width), lookback, horizon)
-    back, ahead = F.slice("rows", 1, lookback), F.slice("rows", lookback + 1, horizon)
-    shifted = F.slice("rows", lookback, horizon)
     zero = F.lit(0.0)
-    return whole.select(
+    row = F.struct(
+        "row_idx",
+        F.array(*[F.coalesce(F.col(c), zero) for c in ENCODER]).alias("src"),
+        F.array(*TIME).alias("time"),
+        F.col(TARGET).alias("y"),
+    )
+    span = lookback + horizon
+    framed = with_halo(df.select(*keys, "row_idx", "n_rows", row.alias("row")), before=span - 1, width=width)
+    # A chunk with its margin is a bounded group: it is packed once and every sample that
+    # ends in it is a slice of the packed arrays.
+    packed = framed.groupBy(*keys, "chunk_id").agg(
+        F.max("n_rows").alias("n_rows"), F.array_sort(F.collect_list("row")).alias("rows")
+    )
+    shifted = F.slice("rows", F.lit(1), F.size("rows") - 1)
+    packed = packed.select(
         *keys,
-        (F.col("row_idx") - (lookback - 1)).alias("start_idx"),
-        F.transform(back, lambda r: F.array(*[F.coalesce(r[c], zero) for c in ENCODER])).alias("src"),
+        F.col("rows")[0]["row_idx"].alias("first"),
+        F.greatest(F.col("chunk_id") * width - span + 1, F.lit(0)).alias("lo"),
+        (F.least((F.col("chunk_id") + 1) * width, F.col("n_rows")) - span).alias("hi"),
+        F.transform("rows", lambda r: r["src"]).alias("src"),
         F.zip_with(
-            ahead,
+            F.slice("rows", F.lit(2), F.size("rows") - 1),
             shifted,
-            lambda r, p: F.array(*[r[c] for c in TIME], F.coalesce(p[TARGET], zero)),
+            lambda r, p: F.concat(r["time"], F.array(F.coalesce(p["y"], zero))),
         ).alias("tgt_in"),
-        F.transform(ahead, lambda r: V.to_sentinel(r[TARGET], sentinel)).alias("tgt_out"),
-        F.transform(back, lambda r: V.is_missing(r[TARGET])).alias("src_mask"),
-        F.transform(ahead, lambda r: V.is_missing(r[TARGET])).alias("tgt_mask"),
+        F.transform("rows", lambda r: r["y"]).alias("y"),
+    ).filter("hi >= lo")
+    starts = packed.withColumn("start_idx", F.explode(F.sequence("lo", "hi")))
+    at = (F.col("start_idx") - F.col("first") + 1).cast("int")
+    cut = starts.select(
+        *keys,
+        "start_idx",
+        F.slice("src", at, F.lit(lookback)).alias("src"),
+        F.slice("tgt_in", at + (lookback - 1), F.lit(horizon)).alias("tgt_in"),
+        F.slice("y", at, F.lit(lookback)).alias("back"),
+        F.slice("y", at + lookback, F.lit(horizon)).alias("ahead"),
+    )
+    return cut.select(
+        *keys,
+        "start_idx",
+        "src",
+        "tgt_in",
+        F.transform("ahead", lambda y: V.to_sentinel(y, sentinel)).alias("tgt_out"),
+        F.transform("back", V.is_missing).alias("src_mask"),
+        F.transform("ahead", V.is_missing).alias("tgt_mask"),
     )
 
 
 def series_offsets(counts: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Samples that precede each series, series taken in site order (per `within` group)."""
     offsets = running(
-        counts, {"offset": ("n_sequences", "sum")}, within, idx=SITE, inclusive=False
+        counts, {"offset": ("n_sequences", "sum")}, within, idx=SITE, inclusive=False, levels=2
     )
     return offsets.withColumn("offset", F.coalesce("offset", F.lit(0)).cast("bigint"))
 
@@ -223,9 +279,9 @@ def number_samples(sample: DataFrame, offsets: DataFrame, within: Sequence[str]
         key = F.concat_ws("|", *within, SITE)
         named = sample.withColumn("series", key)
         sites = offsets.select(key.alias("series"), "offset")
-        joined = attach_by_site(named, sites, key="series", spread=F.col("start_idx")).drop("series")
+        joined = attach_by_site(named, sites, key="series").drop("series")
     else:
-        joined = attach_by_site(sample, offsets.select(SITE, "offset"), spread=F.col("start_idx"))
+        joined = attach_by_site(sample, offsets.select(SITE, "offset"))
     return joined.withColumn("sample_id", F.col("offset") + F.col("start_idx")).drop("offset")
 
 
@@ -275,14 +331,8 @@ def sample_windows(
     return ranked.filter(F.col("pick") <= n).drop("draw")
 
 
-def split_by_time(
-    df: DataFrame, shares: dict[str, tuple[int, int]], total: int, keys: Sequence[str] = KEYS
-) -> DataFrame:
-    """Cut every series into consecutive data sets; rows and lengths count from 0 in each.
-
-    `shares` gives each data set's (from, to) out of `total` parts of the series.
-    """
-    cuts = F.array(
+def _cuts(shares: dict[str, tuple[int, int]], total: int) -> Column:
+    return F.array(
         *[
             F.struct(
                 F.lit(name).alias("dataset"),
@@ -292,8 +342,15 @@ def split_by_time(
             for name, (lo, hi) in shares.items()
         ]
     )
+
+
+def split_by_time(df: DataFrame, shares: dict[str, tuple[int, int]], total: int) -> DataFrame:
+    """Cut every series into consecutive data sets; rows and lengths count from 0 in each.
+
+    `shares` gives each data set's (from, to) out of `total` parts of the series.
+    """
     rest = [c for c in df.columns if c not in ("row_idx", "n_rows")]
-    cut = df.select("*", F.inline(cuts)).filter(
+    cut = df.select("*", F.inline(_cuts(shares, total))).filter(
         (F.col("row_idx") >= F.col("lo")) & (F.col("row_idx") < F.col("hi"))
     )
     return cut.select(
@@ -302,3 +359,9 @@ def split_by_time(
         (F.col("row_idx") - F.col("lo")).alias("row_idx"),
         (F.col("hi") - F.col("lo")).alias("n_rows"),
     )
+
+
+def split_lengths(lengths: DataFrame, shares: dict[str, tuple[int, int]], total: int) -> DataFrame:
+    """The same cut on (site, n_rows) alone."""
+    cut = lengths.select(SITE, "n_rows", F.inline(_cuts(shares, total)))
+    return cut.select("dataset", SITE, (F.col("hi") - F.col("lo")).alias("n_rows"))

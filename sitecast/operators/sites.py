@@ -42,7 +42,7 @@ def cross_site_scores(df: DataFrame, value: str = TARGET) -> DataFrame:
     city = site.groupBy("city").agg(
         F.count(F.lit(1)).alias("n_sites"), *[F.sum(m).alias(f"city_{m}") for m in _MOMENTS]
     )
-    joined = attach_by_site(site, city, key="city", spread=F.col(SITE))
+    joined = attach_by_site(site, city, key="city")
     others = joined.withColumns({f"other_{m}": F.col(f"city_{m}") - F.col(m) for m in _MOMENTS})
     own_res, own_tot = _error("")
     res, tot = _error("other_")

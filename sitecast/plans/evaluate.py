@@ -4,11 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitecast.functions import values as V
-from sitecast.operators.chunks import attach_by_site
 from sitecast.operators.forecast import autoregressive
 from sitecast.operators.metrics import evaluation_scores
-from sitecast.operators.models import fit_ar1
-from sitecast.operators.scaling import fit_stats, scale_by_site
+from sitecast.operators.models import attach_model, fit_scaled_ar1, model_columns
 from sitecast.operators.sequences import cells, samples, split_by_time
 from sitecast.schema import SITE, TARGET
 
@@ -20,19 +18,17 @@ def in_train() -> Column:
     return F.col("row_idx") < F.expr(f"n_rows * {SHARES['train'][1]} div 100")
 
 
-def fit_target(series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scaled target series, per-site a, b and target statistics) from the training rows."""
+def with_site_models(series: DataFrame) -> DataFrame:
+    """Scaled target beside the site's statistics and AR(1) coefficients, both fitted on the
+    training rows of the series itself."""
     lean = series.select(SITE, "row_idx", "n_rows", TARGET)
-    stats = fit_stats(lean.filter(in_train()), [TARGET])
-    scaled = scale_by_site(lean, stats, [TARGET])
-    model = fit_ar1(scaled, train=in_train())
-    return scaled, model.join(stats, SITE)
+    return attach_model(lean, fit_scaled_ar1(lean, train=in_train()))
 
 
-def truth_cells(scaled: DataFrame, site_model: DataFrame, keys=("dataset", SITE)) -> DataFrame:
-    """Samples x steps with truth, shifted input and the site's coefficients and statistics."""
-    sample = samples(scaled, keys=keys)
-    return cells(attach_by_site(sample, site_model, spread=F.col("start_idx")))
+def dataset_cells(modelled: DataFrame) -> DataFrame:
+    """Samples x steps of every data set with truth, shifted input and the site's columns."""
+    series = split_by_time(modelled, SHARES, 100)
+    return cells(samples(series, keep=model_columns(), keys=("dataset", SITE)))
 
 
 def in_kilowatts(cell: DataFrame) -> DataFrame:
@@ -48,8 +44,7 @@ def in_kilowatts(cell: DataFrame) -> DataFrame:
 
 def forecast_truth(series: DataFrame) -> DataFrame:
     """Autoregressive forecasts beside the truth, in kW, for every window of every data set."""
-    scaled, site_model = fit_target(series)
-    cell = truth_cells(split_by_time(scaled, SHARES, 100), site_model)
+    cell = dataset_cells(with_site_models(series))
     return in_kilowatts(cell.withColumn("yhat", autoregressive())).select(
         "dataset", SITE, "start_idx", "step", "y", "yhat"
     )

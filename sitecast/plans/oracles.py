@@ -30,7 +30,7 @@ def sql(needs: str, final: str) -> str:
 
     for name in needs.split():
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n][1]})" for n in order) + "\n" + final
 
 
 def uniform(seed: str, *keys: str) -> str:
@@ -152,12 +152,15 @@ part("numbers", "starts offsets", """
          (before_it + start_idx) // 32 AS batch_id
   FROM starts JOIN offsets USING (campus_key)""")
 part("steps", "", "SELECT CAST(unnest(range(20)) AS INTEGER) AS step")
-part("cells", "starts steps lagged scaled model", """
+part("places", "starts steps", """
+  SELECT campus_key, start_idx, step, start_idx + 95 AS seed_idx, start_idx + 96 + step AS row_idx
+  FROM starts CROSS JOIN steps""")
+part("cells", "places lagged scaled model", """
   SELECT c.campus_key, c.start_idx, c.step, t.z AS y, coalesce(t.before, 0) AS prev,
-         coalesce(q.z, 0) AS seed, m.a, m.b, c.start_idx + 96 + c.step AS row_idx
-  FROM (SELECT * FROM starts CROSS JOIN steps) c
-  JOIN lagged t ON t.campus_key = c.campus_key AND t.row_idx = c.start_idx + 96 + c.step
-  JOIN scaled q ON q.campus_key = c.campus_key AND q.row_idx = c.start_idx + 95
+         coalesce(q.z, 0) AS seed, m.a, m.b, c.row_idx
+  FROM places c
+  JOIN lagged t ON t.campus_key = c.campus_key AND t.row_idx = c.row_idx
+  JOIN scaled q ON q.campus_key = c.campus_key AND q.row_idx = c.seed_idx
   JOIN model m ON m.campus_key = c.campus_key""")
 part("fc", "cells", f"""
   SELECT *, a + b * prev AS guided, {closed('a', 'b', 'seed', '(step + 1)')} AS ar,
@@ -165,7 +168,7 @@ part("fc", "cells", f"""
   FROM cells""")
 
 part("dstarts", "scaled", """
-  SELECT dataset, campus_key, row_idx AS at, row_idx - lo AS start_idx
+  SELECT dataset, campus_key, row_idx AS begins, row_idx - lo AS start_idx
   FROM (SELECT DISTINCT campus_key, n_rows FROM scaled) n,
        LATERAL (SELECT 'train' AS dataset, 0 AS lo, n_rows * 70 // 100 AS hi
                 UNION ALL SELECT 'validation', n_rows * 70 // 100, n_rows * 85 // 100
@@ -175,12 +178,14 @@ part("dstarts", "scaled", """
 part("dnumbers", "dstarts", """
   SELECT *, (row_number() OVER (PARTITION BY dataset ORDER BY campus_key, start_idx) - 1) // 32 AS batch_id
   FROM dstarts""")
-part("dcells", "dnumbers steps lagged scaled model tstats", """
+part("dplaces", "dnumbers steps", """
+  SELECT d.*, step, begins + 95 AS seed_idx, begins + 96 + step AS row_idx FROM dnumbers d CROSS JOIN steps""")
+part("dcells", "dplaces lagged scaled model tstats", """
   SELECT c.dataset, c.batch_id, c.campus_key, c.start_idx, c.step, t.z AS y,
          coalesce(t.before, 0) AS prev, coalesce(q.z, 0) AS seed, m.a, m.b, st.m, st.s
-  FROM (SELECT * FROM dnumbers CROSS JOIN steps) c
-  JOIN lagged t ON t.campus_key = c.campus_key AND t.row_idx = c.at + 96 + c.step
-  JOIN scaled q ON q.campus_key = c.campus_key AND q.row_idx = c.at + 95
+  FROM dplaces c
+  JOIN lagged t ON t.campus_key = c.campus_key AND t.row_idx = c.row_idx
+  JOIN scaled q ON q.campus_key = c.campus_key AND q.row_idx = c.seed_idx
   JOIN model m ON m.campus_key = c.campus_key
   JOIN tstats st ON st.campus_key = c.campus_key""")
 part("dfc", "dcells", f"""
@@ -425,11 +430,11 @@ SELECT campus_key, start_idx, step, running AS ordinal, rounds,
 FROM gaps JOIN numbers USING (campus_key, start_idx) JOIN rounds USING (batch_id) WHERE y IS NULL""")
 ORACLES["gap_fill_aligned"] = sql("cells", f"""
 , newest AS (
-  SELECT *, last_value(CASE WHEN y IS NOT NULL THEN step END IGNORE NULLS) OVER w AS at,
+  SELECT *, last_value(CASE WHEN y IS NOT NULL THEN step END IGNORE NULLS) OVER w AS place,
          last_value(y IGNORE NULLS) OVER w AS known
   FROM cells WINDOW w AS (PARTITION BY campus_key, start_idx ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT campus_key, start_idx, step, step - coalesce(at, -1) AS gap_length,
-       {r(closed('a', 'b', 'coalesce(known, seed)', '(step - coalesce(at, -1))'), 'filled')}
+SELECT campus_key, start_idx, step, step - coalesce(place, -1) AS gap_length,
+       {r(closed('a', 'b', 'coalesce(known, seed)', '(step - coalesce(place, -1))'), 'filled')}
 FROM newest WHERE y IS NULL""")
 
 # Three epochs of refinement, one after the other.

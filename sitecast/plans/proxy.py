@@ -46,6 +46,11 @@ def target_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.complete_grid(ev.select(SITE, "slot", "value"), G.site_bounds(ev), {TARGET: F.avg("value")})
 
 
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per site, without building the grid."""
+    return G.site_bounds(events(spark, sf_dir)).select(SITE, "n_rows")
+
+
 def hourly_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irradiance (purchases) and cloud (signups) updates, at irregular moments."""
     ev = events(spark, sf_dir).filter(F.col("event_type").isin("purchase", "signup"))

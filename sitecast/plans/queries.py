@@ -50,22 +50,26 @@ def num(col: str | Column, name: str | None = None) -> Column:
 # ---- shared inputs ---------------------------------------------------------------------
 
 
-def scaled_target(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return EV.fit_target(proxy.target_series(spark, sf_dir))
+def modelled_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled target series with the columns of the site's model."""
+    return EV.with_site_models(proxy.target_series(spark, sf_dir))
 
 
 def site_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled, model = scaled_target(spark, sf_dir)
-    return attach_by_site(SQ.samples(scaled), model, spread=F.col("start_idx"))
+    return SQ.samples(modelled_target(spark, sf_dir), keep=["a", "b"])
 
 
 def site_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SQ.cells(site_samples(spark, sf_dir))
 
 
-def numbered(sample: DataFrame, series: DataFrame, keys=(SITE,)) -> DataFrame:
-    within = [k for k in keys if k != SITE]
-    offsets = SQ.series_offsets(SQ.sequence_counts(series, keys=keys), within)
+def numbered(sample: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with their running number and batch (per data set, where there are several)."""
+    lengths = proxy.lengths(spark, sf_dir)
+    within = [c for c in ("dataset",) if c in sample.columns]
+    if within:
+        lengths = SQ.split_lengths(lengths, EV.SHARES, 100)
+    offsets = SQ.series_offsets(SQ.sequence_counts(lengths, keys=[*within, SITE]), within)
     return SQ.with_batch(SQ.number_samples(sample, offsets, within))
 
 
@@ -75,10 +79,9 @@ def scaled_readings_of(full: DataFrame) -> DataFrame:
 
 def dataset_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered cells of all data sets (scaled), with the site's coefficients."""
-    scaled, model = scaled_target(spark, sf_dir)
-    series = SQ.split_by_time(scaled, EV.SHARES, 100)
-    sample = attach_by_site(SQ.samples(series, keys=DATASET_KEYS), model, spread=F.col("start_idx"))
-    return SQ.cells(numbered(sample, series, DATASET_KEYS))
+    series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
+    sample = SQ.samples(series, keep=["a", "b"], keys=DATASET_KEYS)
+    return SQ.cells(numbered(sample, spark, sf_dir))
 
 
 # ---- sources ---------------------------------------------------------------------------
@@ -170,8 +173,7 @@ def weather_filled(spark, sf_dir):
 def unscaled_forecast(spark, sf_dir):
     """Guided forecast of every row in kW, clipped at 0."""
     series = proxy.target_series(spark, sf_dir).select(SITE, "row_idx", "n_rows", TARGET)
-    scaled, model = EV.fit_target(series)
-    lagged = attach_by_site(MD.with_lag(scaled), model.select(SITE, "a", "b"))
+    lagged = MD.with_lag(EV.with_site_models(series))
     prev = F.coalesce(F.col("before"), F.lit(0.0))
     rows = lagged.select(SITE, "row_idx", (F.col("a") + F.col("b") * prev).alias("yhat"))
     stats = SC.fit_stats(series.filter(EV.in_train()), [TARGET])
@@ -261,7 +263,7 @@ def sequence_index(spark, sf_dir):
 
 @query
 def sequence_counts(spark, sf_dir):
-    counts = SQ.sequence_counts(proxy.target_series(spark, sf_dir))
+    counts = SQ.sequence_counts(proxy.lengths(spark, sf_dir))
     return counts.rollup(SITE).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("n_sequences").alias("n_sequences")
     )
@@ -269,16 +271,14 @@ def sequence_counts(spark, sf_dir):
 
 @query
 def sample_numbering(spark, sf_dir):
-    series = proxy.target_series(spark, sf_dir)
-    index = SQ.samples(series).select(SITE, "start_idx")
-    return numbered(index, series).select(SITE, "start_idx", "sample_id")
+    index = SQ.sample_keys(proxy.target_series(spark, sf_dir))
+    return numbered(index, spark, sf_dir).select(SITE, "start_idx", "sample_id")
 
 
 @query
 def batch_sizes(spark, sf_dir):
-    series = proxy.target_series(spark, sf_dir)
-    index = SQ.samples(series).select(SITE, "start_idx")
-    return numbered(index, series).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    index = SQ.sample_keys(proxy.target_series(spark, sf_dir))
+    return numbered(index, spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
 @query
@@ -310,17 +310,14 @@ def gap_ordinals(spark, sf_dir):
 
 @query
 def fill_rounds(spark, sf_dir):
-    series = proxy.target_series(spark, sf_dir)
-    sample = SG.gap_samples(series).select(SITE, "start_idx", "gap_count")
-    return SG.fill_rounds(numbered(sample, series))
+    sample = SG.gap_samples(proxy.target_series(spark, sf_dir)).select(SITE, "start_idx", "gap_count")
+    return SG.fill_rounds(numbered(sample, spark, sf_dir))
 
 
 @query
 def metric_stall(spark, sf_dir):
     """Daily back-test error of the guided forecast per site, as a history with patience."""
-    scaled, model = scaled_target(spark, sf_dir)
-    rows = attach_by_site(MD.with_lag(scaled), model.select(SITE, "a", "b"))
-    rows = rows.withColumns(
+    rows = MD.with_lag(modelled_target(spark, sf_dir)).withColumns(
         {
             "y": F.col(TARGET),
             "yhat": F.col("a") + F.col("b") * F.coalesce(F.col("before"), F.lit(0.0)),
@@ -385,15 +382,14 @@ def epoch_loss(spark, sf_dir):
 
 @query
 def blended_loss(spark, sf_dir):
-    scaled, model = scaled_target(spark, sf_dir)
     sample = SQ.samples(
-        scaled,
+        modelled_target(spark, sf_dir),
         extra=["run_end"],
+        keep=["a", "b"],
         derive=lambda framed, w: SG.mark_run_ends(framed, w, SEGMENT),
         before=SG.run_reach(SEGMENT),
     )
-    sample = numbered(attach_by_site(sample, model, spread=F.col("start_idx")), scaled)
-    cell = FC.forecast_guided(SQ.cells(sample, ["run_end"]))
+    cell = FC.forecast_guided(SQ.cells(numbered(sample, spark, sf_dir), ["run_end"]))
     first = F.col("start_idx") + LOOKBACK
     flag = SG.in_segment(F.col("y"), F.col("run_end"), first, SEGMENT)
     out = M.blended_loss(cell.withColumn("in_segment", flag), BLEND_EPOCH)
@@ -413,22 +409,22 @@ def validation_modes(spark, sf_dir):
 
 @query
 def hash_split(spark, sf_dir):
-    index = SQ.samples(proxy.target_series(spark, sf_dir)).select(SITE, "start_idx")
+    index = SQ.sample_keys(proxy.target_series(spark, sf_dir))
     return SQ.split_windows(index, WEIGHTS, SEED)
 
 
 @query
 def shuffle_order(spark, sf_dir):
-    index = SQ.samples(proxy.target_series(spark, sf_dir)).select(SITE, "start_idx")
+    index = SQ.sample_keys(proxy.target_series(spark, sf_dir))
     return SQ.shuffled(index, SEED)
 
 
 @query
 def forecast_samples(spark, sf_dir):
     """Fifty forecast windows per data set beside the truth."""
-    scaled, model = scaled_target(spark, sf_dir)
-    sample = SQ.samples(SQ.split_by_time(scaled, EV.SHARES, 100), keys=DATASET_KEYS)
-    picked = attach_by_site(SQ.sample_windows(sample, PICKS, SEED), model, spread=F.col("start_idx"))
+    series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
+    sample = SQ.samples(series, keep=MD.model_columns(), keys=DATASET_KEYS)
+    picked = SQ.sample_windows(sample, PICKS, SEED)
     out = EV.in_kilowatts(FC.forecast_ar(SQ.cells(picked)))
     minutes = ((F.col("step") + 1) * 15).alias("minutes_ahead")
     return out.select("dataset", "pick", SITE, "start_idx", minutes, num("y"), num("yhat"))
@@ -468,7 +464,8 @@ def grid_readings(spark, sf_dir):
 
 @query
 def ar1_coefficients(spark, sf_dir):
-    scaled, _ = scaled_target(spark, sf_dir)
+    series = proxy.target_series(spark, sf_dir)
+    scaled = SC.scale_by_site(series, SC.fit_stats(series.filter(EV.in_train()), [TARGET]), [TARGET])
     out = MD.fit_ar1(scaled, train=EV.in_train())
     return out.select(SITE, num("a"), num("b"), "n_pairs")
 
@@ -489,8 +486,7 @@ def arx_forecast(spark, sf_dir):
 @query
 def direct_forecast(spark, sf_dir):
     """One model per site and step, scored in place of rolling a one-step model out."""
-    scaled, _ = scaled_target(spark, sf_dir)
-    cell = SQ.cells(SQ.samples(scaled))
+    cell = SQ.cells(SQ.samples(modelled_target(spark, sf_dir)))
     out = M.metrics_by_step(MD.direct_forecast(cell, MD.fit_direct(cell)), keys=[SITE])
     return out.select(SITE, "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
 
@@ -517,9 +513,8 @@ def forecast_hybrid(spark, sf_dir):
 
 @query
 def gap_fill_reference(spark, sf_dir):
-    scaled, model = scaled_target(spark, sf_dir)
-    sample = attach_by_site(SG.gap_samples(scaled), model, spread=F.col("start_idx"))
-    out = FC.fill_gaps_reference(SG.with_rounds(numbered(sample, scaled)))
+    sample = SG.gap_samples(modelled_target(spark, sf_dir), keep=["a", "b"])
+    out = FC.fill_gaps_reference(SG.with_rounds(numbered(sample, spark, sf_dir)))
     return out.filter(F.col("y").isNull()).select(
         SITE, "start_idx", "step", "ordinal", "rounds", num("filled")
     )
@@ -527,9 +522,7 @@ def gap_fill_reference(spark, sf_dir):
 
 @query
 def gap_fill_aligned(spark, sf_dir):
-    scaled, model = scaled_target(spark, sf_dir)
-    sample = attach_by_site(FC.aligned_samples(scaled), model, spread=F.col("start_idx"))
-    out = FC.fill_gaps_aligned(sample)
+    out = FC.fill_gaps_aligned(FC.aligned_samples(modelled_target(spark, sf_dir), keep=["a", "b"]))
     return out.filter(F.col("y").isNull()).select(
         SITE, "start_idx", "step", "gap_length", num("filled")
     )
@@ -544,10 +537,8 @@ def prediction_cache(spark, sf_dir):
 
 @query
 def refine_history(spark, sf_dir):
-    scaled, model = scaled_target(spark, sf_dir)
-    series = SQ.split_by_time(scaled, EV.SHARES, 100)
-    parts = [series.filter(F.col("dataset") == n).drop("dataset") for n in ("train", "validation")]
-    out = refine(*parts, model, epochs=REFINE_EPOCHS, seed=SEED)
+    series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
+    out = refine(series, epochs=REFINE_EPOCHS, seed=SEED)
     return out.select("epoch", num("rate"), num("ar_rmse"), num("best"), "improved")
 
 

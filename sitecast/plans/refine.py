@@ -15,24 +15,21 @@ from sitecast.operators.sequences import (
     series_offsets,
     with_batch,
 )
-from sitecast.schema import SITE
+from sitecast.schema import SITE, TARGET
 from sitecast.sources.checkpoints import cut
 from sitecast.sources.files import save_model
 
 
-def ar_error(series: DataFrame, model: DataFrame) -> float | None:
-    """Batch-mean error of the autoregressive forecast."""
+def ar_error(series: DataFrame) -> float | None:
+    """Batch-mean error of the autoregressive forecast of a series with `a` and `b`."""
     offsets = series_offsets(sequence_counts(series))
-    sample = number_samples(attach_by_site(samples(series), model, spread=F.col("start_idx")), offsets)
+    sample = number_samples(samples(series, keep=["a", "b"]), offsets)
     cell = cells(with_batch(sample)).withColumn("yhat", autoregressive())
-    found = batch_mean_rmse(cell).first()
-    return found["yhat"]
+    return batch_mean_rmse(cell).first()["yhat"]
 
 
 def refine(
-    train: DataFrame,
-    validation: DataFrame,
-    model: DataFrame,
+    series: DataFrame,
     epochs: int = 10,
     patience: int = 3,
     seed: str = "mix",
@@ -41,19 +38,25 @@ def refine(
 ) -> DataFrame:
     """Refit the site models on inputs that hold more and more of their own forecasts.
 
-    `train` and `validation` are scaled series, `model` has `a` and `b` per site. Each epoch
-    is two distributed passes; the driver sees one error per epoch. The series and each model
-    are stored once, so an epoch does not replay the ones before it. Returns the history; the
-    model with the smallest error goes to `save_to`.
+    `series` holds the scaled data sets `train` and `validation` with the first `a` and `b`
+    of every site. Each epoch is two distributed passes; the driver sees one error per epoch.
+    The series and each model are stored once, so an epoch does not replay the ones before
+    it. Returns the history; the model with the smallest error goes to `save_to`.
     """
-    train, validation, model = cut(train), cut(validation), cut(model.select(SITE, "a", "b"))
-    history, best, waited = [], None, 0
+    series = cut(series.select("dataset", SITE, "row_idx", "n_rows", TARGET, "a", "b"))
+    train, validation = (
+        series.filter(F.col("dataset") == name).drop("dataset") for name in ("train", "validation")
+    )
+    model, history, best, waited = None, [], None, 0
     for epoch in range(epochs):
-        sample = attach_by_site(samples(train), model, spread=F.col("start_idx"))
+        if model is None:
+            sample = samples(train, keep=["a", "b"])
+        else:
+            sample = samples(attach_by_site(train.drop("a", "b"), model), keep=["a", "b"])
         cell = cells(sample.withColumn("cached", cached_path()))
         mixed = scheduled_mix(cell, epoch, epochs, seed, mode)
         model = cut(mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b"))
-        error = ar_error(validation, model)
+        error = ar_error(attach_by_site(validation.drop("a", "b"), model))
         better = error is not None and (best is None or error < best)
         best, waited = (error, 0) if better else (best, waited + 1)
         if better and save_to:
@@ -61,6 +64,6 @@ def refine(
         history.append((epoch, usage_rate(epoch, epochs), error, best, better))
         if waited >= patience:
             break
-    return train.sparkSession.createDataFrame(
+    return series.sparkSession.createDataFrame(
         history, "epoch int, rate double, ar_rmse double, best double, improved boolean"
     )

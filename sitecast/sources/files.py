@@ -106,8 +106,7 @@ def load_datasets(
                 raise FileNotFoundError(path)
             warnings.warn(f"{name}: {path} not found, skipped", stacklevel=2)
             continue
-        day = F.unix_date(F.col("ts").cast("date"))
-        scaled = scale_by_site(read_readings(spark, path, **columns), stats, cols, spread=day)
+        scaled = scale_by_site(read_readings(spark, path, **columns), stats, cols)
         if scaled.isEmpty():
             raise ValueError(f"{name}: no rows left after scaling")
         parts.append(scaled.withColumn("dataset", F.lit(name)))
