@@ -82,10 +82,10 @@ def running(
         return df.withColumns({n: _FOLD[k][0](c, idx).over(w) for n, (c, k) in folds.items()})
 
     block = f"{idx}_block"
-    spread = df.withColumn(block, F.floor(F.col(idx) / width).cast("bigint"))
+    cut = df.withColumn(block, F.floor(F.col(idx) / width).cast("bigint"))
     w = Window.partitionBy(*keys, block).orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
-    here = spread.withColumns({n: _FOLD[k][0](c, idx).over(w) for n, (c, k) in folds.items()})
-    totals = spread.groupBy(*keys, block).agg(
+    here = cut.withColumns({n: _FOLD[k][0](c, idx).over(w) for n, (c, k) in folds.items()})
+    totals = cut.groupBy(*keys, block).agg(
         *[_FOLD[k][1](c, idx).alias(f"{n}_total") for n, (c, k) in folds.items()]
     )
     before = running(
@@ -97,7 +97,8 @@ def running(
         width=width,
         levels=levels - 1,
     ).select(*keys, block, *[f"{n}_before" for n in folds])
-    joined = here.join(before, [*keys, block], "left")
+    # The rows already lie by (site, chunk) in order, so a merge moves only the totals.
+    joined = here.join(before.hint("merge"), [*keys, block], "left")
     joined = joined.withColumns(
         {n: _FOLD[k][2](F.col(n), F.col(f"{n}_before")) for n, (_, k) in folds.items()}
     )

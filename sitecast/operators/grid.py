@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitecast.functions import clock
 from sitecast.operators.chunks import running
-from sitecast.schema import CHUNK, SITE, SLOT_MICROS, SLOTS_PER_DAY
+from sitecast.schema import CHUNK, ENCODER, SITE, SLOT_MICROS, SLOTS_PER_DAY
 
 
 def site_bounds(df: DataFrame, align: int = SLOTS_PER_DAY) -> DataFrame:
@@ -66,6 +66,14 @@ def complete_grid(
     )
 
 
+def to_grid(readings: DataFrame, cols: Sequence[str] = ENCODER, bounds: DataFrame | None = None) -> DataFrame:
+    """Readings to one row per site and 15-minute slot; readings of one slot are averaged."""
+    slotted = readings.select(SITE, clock.slot_floor(clock.micros(F.col("ts"))).alias("slot"), *cols)
+    slotted = slotted.filter(F.col(SITE).isNotNull())
+    bounds = site_bounds(slotted) if bounds is None else bounds
+    return complete_grid(slotted, bounds, {c: F.avg(c) for c in cols})
+
+
 def latest_per_slot(updates: DataFrame, values: Sequence[str], width: int = SLOT_MICROS) -> DataFrame:
     """Per site and slot, the newest value (and its moment) that the slot start can know.
 

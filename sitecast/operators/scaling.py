@@ -84,6 +84,11 @@ def fill_night(df: DataFrame, zenith: Column, limit: float = 90.0, col: str = TA
     return df.withColumn(col, F.when(dark, 0.0).otherwise(F.col(col)))
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """Rows in reading order; for the last step before a sink, nothing else depends on order."""
+    return df.orderBy(SITE, "row_idx")
+
+
 def feature_vectors(df: DataFrame) -> DataFrame:
     """Encoder (10) and decoder (5) row vectors in their fixed order."""
     return df.select(

@@ -1,21 +1,11 @@
-"""From raw readings to a gridded, featured table."""
+"""Calendar and sun features of gridded readings."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitecast.functions import clock, solar
-from sitecast.operators import grid as G
 from sitecast.operators.chunks import attach_by_site
-from sitecast.schema import ENCODER, SITE
-
-
-def to_grid(readings: DataFrame, cols: list[str] = ENCODER, bounds: DataFrame | None = None) -> DataFrame:
-    """Readings to one row per site and 15-minute slot; readings of one slot are averaged."""
-    slotted = readings.filter(F.col(SITE).isNotNull()).select(
-        SITE, clock.slot_floor(clock.micros(F.col("ts"))).alias("slot"), *cols
-    )
-    bounds = G.site_bounds(slotted) if bounds is None else bounds
-    return G.complete_grid(slotted, bounds, {c: F.avg(c) for c in cols})
+from sitecast.schema import SITE
 
 
 def cycle_features(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitecast.functions.values import parse_number
+from sitecast.operators.grid import to_grid
 from sitecast.operators.scaling import scale_by_site
 from sitecast.schema import ENCODER, SCALED, SITE
 
@@ -94,7 +95,7 @@ def load_datasets(
     cols: Sequence[str] = SCALED,
     **columns,
 ) -> DataFrame:
-    """Read and scale several readings files into one table with a `dataset` column.
+    """Read, grid and scale several readings files into one table with a `dataset` column.
 
     A missing optional file is skipped with a warning, a missing required one is an error,
     and so is a file that scaling leaves without rows.
@@ -106,7 +107,8 @@ def load_datasets(
                 raise FileNotFoundError(path)
             warnings.warn(f"{name}: {path} not found, skipped", stacklevel=2)
             continue
-        scaled = scale_by_site(read_readings(spark, path, **columns), stats, cols)
+        gridded = to_grid(read_readings(spark, path, **columns))
+        scaled = scale_by_site(gridded, stats, cols)
         if scaled.isEmpty():
             raise ValueError(f"{name}: no rows left after scaling")
         parts.append(scaled.withColumn("dataset", F.lit(name)))

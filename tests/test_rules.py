@@ -246,13 +246,13 @@ def test_grid_averages_completes_and_keeps_bounds(spark):
     df = spark.createDataFrame(rows, "campus_key int, t string, SolarGeneration double").select(
         "campus_key", F.col("t").cast("timestamp_ntz").alias("ts"), TARGET
     )
-    out = prepare.to_grid(df, [TARGET]).collect()
+    out = G.to_grid(df, [TARGET]).collect()
     assert len(out) == 192 and {r.n_rows for r in out} == {192}
     known = {(r.row_idx, str(r.ts)): r[TARGET] for r in out if r[TARGET] is not None}
     assert known == {(8, "2024-03-10 02:00:00"): 2.0, (96, "2024-03-11 00:00:00"): 7.0}
     day = [F.lit(d).cast("timestamp_ntz") for d in ("2024-03-10", "2024-03-11")]
     sites = df.filter("campus_key is not null")
-    fixed = prepare.to_grid(df, [TARGET], G.fixed_bounds(sites, *day)).collect()
+    fixed = G.to_grid(df, [TARGET], G.fixed_bounds(sites, *day)).collect()
     assert len(fixed) == 96 and sum(r[TARGET] is not None for r in fixed) == 1
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitecast.operators import models as MD
 from sitecast.operators import scaling as SC
+from sitecast.plans.evaluate import evaluate_files
 from sitecast.schema import ENCODER, SITE, TARGET, TIME
 from sitecast.sources import checkpoints, files
 
@@ -75,7 +76,9 @@ def test_load_datasets(spark, tmp_path):
     stats = spark.createDataFrame([("1", 0.5, 2.0)], f"campus_key string, {TARGET}_mean double, {TARGET}_std double")
     with pytest.warns(UserWarning, match="test"):
         df = files.load_datasets(spark, {"validation": path, "test": str(tmp_path / "no.csv")}, stats, cols=[TARGET])
-    assert [(r.dataset, r.campus_key, r[TARGET]) for r in df.collect()] == [("validation", 1, 1.0)]
+    known = df.filter(F.col(TARGET).isNotNull())
+    assert [(r.dataset, r.campus_key, r.row_idx, r[TARGET]) for r in known.collect()] == [("validation", 1, 0, 1.0)]
+    assert df.count() == 96
     with pytest.raises(FileNotFoundError):
         files.load_datasets(spark, {"test": str(tmp_path / "no.csv")}, stats, required=["test"])
     with pytest.raises(FileNotFoundError):
@@ -110,3 +113,26 @@ def test_checkpoints_go_to_the_shared_folder(spark):
     stored = checkpoints.cut(spark.range(5))
     assert stored.count() == 5
     assert "Scan ExistingRDD" in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evaluation_of_files(spark, tmp_path):
+    """Two days of one site from CSV, a scaler file and a stored model to a report."""
+    rows = [[1, f"2024-01-0{1 + i // 96} {i % 96 // 4:02d}:{i % 4 * 15:02d}:00", "x", *range(1, 10), "" if i == 120 else i % 5] for i in range(192)]
+    path = write_csv(tmp_path / "v.csv", rows)
+    (tmp_path / "scale.txt").write_text(json.dumps({"1": {TARGET: {"mean": 2.0, "std": 2.0}}}))
+    model = spark.createDataFrame([(1, 0.1, 0.5)], "campus_key int, a double, b double")
+    files.save_model(model, str(tmp_path / "m"))
+    report = evaluate_files(spark, {"validation": path}, str(tmp_path / "scale.txt"), str(tmp_path / "m"), str(tmp_path / "out"))
+    z = [None if i == 120 else (i % 5 - 2.0) / 2.0 for i in range(192)]
+    errors = []
+    for start in range(192 - 115):
+        value = z[start + 95] if z[start + 95] is not None else 0.0
+        for k in range(20):
+            value = 0.1 + 0.5 * value
+            truth = z[start + 96 + k]
+            if truth is not None:
+                errors.append((max(value * 2 + 2, 0.0) - (truth * 2 + 2)) ** 2)
+    overall = report.filter("scope = 'overall'").first()
+    assert overall.n_valid == len(errors)
+    assert overall.rmse == pytest.approx((sum(errors) / len(errors)) ** 0.5)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 21
