@@ -18,7 +18,7 @@ def micros(ts: Column) -> Column:
 
 def slot_floor(us: Column, width: int = SLOT_MICROS) -> Column:
     """Number of the slot a moment falls into."""
-    return ((us - F.pmod(us, F.lit(width))) / width).cast("bigint")
+    return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
 
 
 def slot_ceil(us: Column, width: int = SLOT_MICROS) -> Column:

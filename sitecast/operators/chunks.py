@@ -68,12 +68,14 @@ def running(
     inclusive: bool = True,
     width: int = CHUNK,
     levels: int = 1,
+    carriers: DataFrame | None = None,
 ) -> DataFrame:
     """Running `last` / `min` / `max` / `sum` from the start of each series.
 
     `folds` maps a new column to (column, kind). Chunks are folded first, then the chunk
     totals (one row each) are folded the same way, so no task ever holds a whole series:
-    the last level orders rows / width**levels of them.
+    the last level orders rows / width**levels of them. Where only some rows carry values,
+    those may be given as `carriers` to fold the chunk totals from them alone.
     """
     end = Window.currentRow if inclusive else -1
     frame = Window.partitionBy(*keys)
@@ -85,7 +87,9 @@ def running(
     cut = df.withColumn(block, F.floor(F.col(idx) / width).cast("bigint"))
     w = Window.partitionBy(*keys, block).orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
     here = cut.withColumns({n: _FOLD[k][0](c, idx).over(w) for n, (c, k) in folds.items()})
-    totals = cut.groupBy(*keys, block).agg(
+    if carriers is not None:
+        carriers = carriers.withColumn(block, F.floor(F.col(idx) / width).cast("bigint"))
+    totals = (cut if carriers is None else carriers).groupBy(*keys, block).agg(
         *[_FOLD[k][1](c, idx).alias(f"{n}_total") for n, (c, k) in folds.items()]
     )
     before = running(

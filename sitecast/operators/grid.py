@@ -52,7 +52,7 @@ def complete_grid(
             F.max("n_rows").alias("n_rows"),
             *[col.alias(name) for name, col in aggs.items()],
         )
-        .filter(F.col("n_rows").isNotNull())
+        .filter(F.col("first_slot").isNotNull())
     )
     # Keys that Spark knows to be present need no join filters, so every use of the grid in a
     # job has the same plan below it and the shuffle is done once.
@@ -98,10 +98,10 @@ def asof_hourly(
     """
     slot = clock.slot_floor(clock.micros(F.col("ts")), width)
     latest = latest_per_slot(updates, values, width)
-    rows = grid.withColumn("turn", slot * 2 + 1).unionByName(
-        latest.withColumn("turn", F.col("slot") * 2).drop("slot"), allowMissingColumns=True
-    )
-    found = running(rows, {f"{name}_asof": (name, "last") for name in values}, idx="turn")
+    latest = latest.select(SITE, (F.col("slot") * 2).alias("turn"), *values)
+    rows = grid.withColumn("turn", slot * 2 + 1).unionByName(latest, allowMissingColumns=True)
+    folds = {f"{name}_asof": (name, "last") for name in values}
+    found = running(rows, folds, idx="turn", carriers=latest)
     return found.filter(F.col("row_idx").isNotNull()).select(
         *grid.columns,
         *[F.col(f"{name}_asof.value").alias(name) for name in values],

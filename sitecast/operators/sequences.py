@@ -174,7 +174,8 @@ def encoder_summary(
     framed = framed.withColumns(
         {"block": F.expr(f"row_idx div {lookback}"), **{f"{c}_valid": F.col(c).isNotNull().cast("int") for c in cols}}
     )
-    framed = fill_encoder(framed, cols)
+    # One shuffle by chunk serves the windows over blocks and over whole chunks.
+    framed = fill_encoder(framed, cols).repartition(*keys, "chunk_id")
     folds = {}
     for c in cols:
         folds[f"{c}_avg"] = (F.sum, c, lambda a, b: a + b)
