@@ -16,10 +16,15 @@ from sitecast.schema import ENCODER, SITE, TARGET
 USERS_PER_SITE = 30
 DAY_MICROS = 24 * 3600 * 1_000_000
 
+# Declared, so that Spark need not open files to learn it.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+LINEITEM = "l_suppkey bigint, l_shipdate timestamp_ntz, l_extendedprice double"
+SUPPLIER = "s_suppkey bigint, s_nationkey int"
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = clock.micros(F.col("ts"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").select(
         F.expr(f"user_id div {USERS_PER_SITE} + 1").cast("int").alias(SITE),
         "event_id",
         "ts",
@@ -95,7 +100,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily revenue per supplier, gridded by day, with the supplier's nation as `city`."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    lines = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_suppkey").cast("int").alias(SITE),
         clock.slot_floor(clock.micros(F.col("l_shipdate")), DAY_MICROS).alias("slot"),
         "l_extendedprice",
@@ -106,6 +111,6 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    return spark.read.schema(SUPPLIER).parquet(f"{sf_dir}/supplier.parquet").select(
         F.col("s_suppkey").cast("int").alias(SITE), F.col("s_nationkey").alias("city")
     )
