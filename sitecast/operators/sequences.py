@@ -23,7 +23,6 @@ from sitecast.operators.chunks import (
 from sitecast.schema import (
     BATCH,
     CHUNK,
-    DECODER,
     ENCODER,
     HORIZON,
     LOOKBACK,
@@ -272,7 +271,7 @@ def series_offsets(counts: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 
 
 def number_samples(sample: DataFrame, offsets: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Add the running sample number, its batch and the place in the batch's order.
+    """Add `sample_id`, the running number of the sample over all sites in site order.
 
     Numbers come from per-site counts, never from a window over all samples.
     """

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecast.functions import values as V
-from sitecast.functions.draws import bucket, uniform
 from sitecast.operators import forecast as FC
-from sitecast.operators import grid as G
 from sitecast.operators import metrics as M
 from sitecast.operators import models as MD
 from sitecast.operators import scaling as SC
@@ -19,7 +17,7 @@ from sitecast.operators.chunks import attach_by_site
 from sitecast.plans import evaluate as EV
 from sitecast.plans import prepare, proxy
 from sitecast.plans.refine import refine
-from sitecast.schema import ENCODER, LOOKBACK, SCALED, SENTINEL, SITE, TARGET, TIME, WEATHER
+from sitecast.schema import ENCODER, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
 from sitecast.sources.files import clean_readings, format_stats, parse_stats
 
 DIGITS = 6

@@ -339,3 +339,22 @@ def test_site_lookup_survives_without_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_slot_and_a_hot_site(spark):
+    """A third of all readings in one slot of one site, far from the rest."""
+    n = 30_000
+    ids = spark.range(n)
+    at = F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 96)
+    df = ids.select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(1 + F.col("id") % 50).cast("int").alias("campus_key"),
+        clock.slot_start(at).alias("ts"),
+        F.col("id").cast("double").alias(TARGET),
+    )
+    out = G.to_grid(df, [TARGET]).cache()
+    hot = out.filter("campus_key = 1 and row_idx = 500").first()
+    assert hot[TARGET] == pytest.approx(sum(range(0, n, 3)) / (n / 3))
+    assert out.filter("campus_key = 1").count() == 6 * 96
+    assert out.filter("campus_key <> 1").count() == 49 * 96
+    wide = SQ.samples(out, width=120)
+    assert wide.count() == 6 * 96 - 115
