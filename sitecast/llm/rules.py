@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import words_of
+from sitecast.llm.common import cut, words_of
 
-SAMPLE_ROWS, SAMPLE_SEED, REPEATS = 2_000, 7, 3
+SAMPLE_ROWS, SAMPLE_SEED, REPEATS = 2_000, 7, 2
 MIN_SECONDS = 1e-3
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -102,36 +102,36 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (n < 50) | (100 * repeats > 50 * n))
 
 
-def measure(stats: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[dict]:
+def measure(
+    docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS
+) -> list[dict]:
     """Per rule, on a random sample of about `sample_rows` rows: rejected share and seconds.
 
     The sample is a bounded number of rows by design: it sets the order of the rules only.
     Seconds are those of one task over the stored sample, less those of an empty condition.
     """
-    rows = stats.count()
+    rows = docs.count()
     share = min(1.0, sample_rows / rows) if rows else 1.0
-    sample = stats.sample(share, SAMPLE_SEED).coalesce(1).persist()
-    try:
-        total = sample.filter(~F.col("base_failed")).count()
-
-        def run(condition: Column) -> tuple[float, int]:
-            took, hits = [], 0
-            for _ in range(REPEATS):
-                began = time.perf_counter()
-                hits = sample.filter(~F.col("base_failed")).agg(F.count_if(condition)).first()[0]
-                took.append(time.perf_counter() - began)
-            return min(took), hits
-
-        idle, _ = run(F.lit(False))
-        found = []
-        for rule in rules:
-            seconds, hits = run(rule.rejects)
-            cost = max(seconds - idle, MIN_SECONDS)
-            rejected = hits / total if total else 0.0
-            found.append({"rule": rule.name, "rejected": rejected, "seconds": cost})
-        return found
-    finally:
-        sample.unpersist()
+    sampled = cut(with_stats(docs.select(text).sample(share, SAMPLE_SEED), text))
+    sample = sampled.filter(~F.col("base_failed")).coalesce(1)
+    total = sample.count()
+
+    def run(condition: Column) -> tuple[float, int]:
+        took, hits = [], 0
+        for _ in range(REPEATS):
+            began = time.perf_counter()
+            hits = sample.agg(F.count_if(condition)).first()[0]
+            took.append(time.perf_counter() - began)
+        return min(took), hits
+
+    idle, _ = run(F.lit(False))
+    found = []
+    for rule in rules:
+        seconds, hits = run(rule.rejects)
+        cost = max(seconds - idle, MIN_SECONDS)
+        rejected = hits / total if total else 0.0
+        found.append({"rule": rule.name, "rejected": rejected, "seconds": cost})
+    return found
 
 
 def order(rules: list[Rule], measured: list[dict]) -> list[Rule]:
@@ -156,7 +156,7 @@ def apply_rules(
     rules = default_rules(text) if rules is None else rules
     docs = docs.drop(*STATS, "base_failed", "rejected_by", "kept")
     stats = with_stats(docs, text)
-    ordered = order(rules, measure(stats, rules, sample_rows))
+    ordered = order(rules, measure(docs, rules, text, sample_rows))
     first = F.when(F.col("base_failed"), F.lit(None).cast("string"))
     for rule in ordered:
         first = first.when(rule.rejects, rule.name)
