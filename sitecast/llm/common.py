@@ -1,14 +1,16 @@
 """Helpers that several operators share."""
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecast.sources.checkpoints import checkpoint_dir, cut
 
-__all__ = ["bytes_of", "cut", "stored", "table", "words_of"]
+__all__ = ["bytes_of", "cut", "shared_path", "ship", "stored", "table", "words_of"]
 
 # Words are runs of characters that are not ASCII white space (space, \t \n \x0B \f \r).
 GAP = r"[\x20\x09-\x0D]+"
@@ -19,9 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package's modules to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if getattr(context, "_sitecast_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="sitecast-"), "sitecast.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._sitecast_shipped = True
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again."""
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,12 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import chat, hosts, rules
-from sitecast.llm.common import table
+from sitecast.llm import chat, hosts, huffman, packing, rules
+from sitecast.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +19,7 @@ URL_RULES = [
     hosts.Rule("allow", "com/fr/"),
     hosts.Rule("block", "com/de/"),
 ]
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -50,3 +52,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema
     )
     return chat.conversation_digests(chat.expand_replies(rows.unionByName(own)))
+
+
+@query
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    huffman.write_ids(table(spark, sf_dir, "documents"), TOKENIZER, path)
+    return huffman.read_digests(spark, path)
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
