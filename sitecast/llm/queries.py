@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import chat, hosts, huffman, packing, rules
+from sitecast.llm import chat, hosts, huffman, packing, rules, simhash
 from sitecast.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.expand_replies(rows.unionByName(own)))
 
 
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
