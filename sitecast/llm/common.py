@@ -5,12 +5,12 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitecast.sources.checkpoints import checkpoint_dir, cut
 
-__all__ = ["bytes_of", "cut", "shared_path", "ship", "stored", "table", "words_of"]
+__all__ = ["bytes_of", "cut", "numbered", "shared_path", "ship", "stored", "table", "words_of"]
 
 # Words are runs of characters that are not ASCII white space (space, \t \n \x0B \f \r).
 GAP = r"[\x20\x09-\x0D]+"
@@ -50,6 +50,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows` (stored, with `_row` from monotonically_increasing_id) numbered gaplessly per `key`.
+
+    Numbers are counted within (input partition, key) and shifted by the rows of the cells
+    before, so no key is gathered in one task.
+    """
+    rows = rows.withColumn("_cell", F.shiftright("_row", 33))
+    cells = rows.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    offsets = cells.select(key, "_cell", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_cell").orderBy("_row")) - 1
+    return (
+        rows.withColumn("_in", inside)
+        .join(offsets, [key, "_cell"])
+        .withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
+        .drop("_cell", "_in", "_before")
+    )
+
+
 def words_of(text: Column) -> Column:
     """Words of a text in order; a NULL text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitecast.llm.common import cut
+
 # Common public suffixes of two labels.
 TWO_LABEL_SUFFIXES = (
     "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn",
@@ -83,8 +85,11 @@ def host_reputation(labelled: DataFrame) -> DataFrame:
     page without label). Pages are summed per host before anything is joined, so a host with a
     third of all pages is one row. Hosts without labels get the prior of their domain.
     """
-    hosts = labelled.groupBy("suffix", "registered_domain", "host").agg(
-        F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k")
+    hosts = cut(
+        labelled.groupBy("suffix", "registered_domain", "host").agg(
+            F.count("outcome").alias("n"),
+            F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"),
+        )
     )
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = hosts.groupBy("suffix", "registered_domain").agg(*sums)

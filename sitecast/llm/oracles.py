@@ -151,3 +151,30 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars,
   sha256(loss) AS loss_sha256, formatted_chars
 FROM digest
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(source: str, key: str) -> str:
+    return rf"""
+  SELECT DISTINCT rid, {key}, array_to_string(w[i:i + 4], ' ') AS g FROM (
+    SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (
+      SELECT row_number() OVER () AS rid, {key},
+        [x for x in string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') if x <> ''] AS w
+      FROM {source}
+    ) WHERE len(w) > 0
+  )"""
+
+
+ORACLES["op9_decontamination"] = rf"""
+WITH d AS ({_shingles("documents", "doc_id")}
+), b AS ({_shingles("benchmark", "item_id")}
+), size AS (
+  SELECT rid, count(*) AS n_item FROM b GROUP BY rid
+)
+SELECT d.doc_id, b.item_id, count(*)::BIGINT AS n_shared, any_value(n_item)::BIGINT AS n_item,
+  count(*) / any_value(n_item) AS containment
+FROM d JOIN b USING (g) JOIN size ON size.rid = b.rid
+GROUP BY d.rid, b.rid, d.doc_id, b.item_id
+HAVING count(*) >= 0.8 * any_value(n_item)
+"""

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import cut, ship
+from sitecast.llm.common import cut, numbered, ship
 from sitecast.llm.tokens import END_ID, encode_texts
 
 CAPACITY = 1024
@@ -181,26 +181,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
     return {n: np.array(c, dtype=np.int64) for n, c in zip(names, columns, strict=True)}
 
 
-def ranked(pieces: DataFrame, key: str) -> DataFrame:
-    """`pieces` with `rank`: their number, from 0, among all rows with the same `key`.
-
-    Rows are numbered within (partition of the stored input, key), and each of these cells gets
-    the number of rows in the cells before it, so no key is gathered. `pieces` must be stored.
-    """
-    rows = pieces.withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("_cell", F.shiftright("_row", 33))
-    cells = rows.groupBy(key, "_cell").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select(key, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(key, "_cell").orderBy("_row"))
-    numbered = rows.withColumn("_in", inside - 1)
-    return (
-        numbered.join(offsets, [key, "_cell"])
-        .withColumn("rank", F.col("_before") + F.col("_in"))
-        .drop("_row", "_cell", "_in", "_before")
-    )
-
-
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (doc_id and PIECES) with sequence_id and offset.
 
@@ -228,7 +208,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield from rows.to_batches()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    rows = ranked(pieces, "length").select(*pieces.columns, "rank")
+    rows = pieces.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(rows, "length", "rank").select(*pieces.columns, "rank")
     return rows.mapInArrow(place, f"{fields}, {PLACES}")
 
 

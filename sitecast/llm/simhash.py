@@ -13,12 +13,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitecast.llm.common import cut, ship
 from sitecast.llm.components import components
+from sitecast.llm.shingles import shingle_hashes
 
 SHINGLE, MAX_BITS = 3, 2
 # Distinct fingerprints under one key whose pairs are tallied directly; longer lists are posted
@@ -32,16 +32,9 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
     A-Z are lower-cased; a bit is set if it is set in more than half of the hashes.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width).astype(">u8")
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    first = (ends - sizes)[: len(last)].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(first, last)], dtype=">u8")
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1)
