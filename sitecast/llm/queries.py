@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import chat, decontaminate, hosts, huffman, packing, rules, shards, simhash
+from sitecast.llm import chat, decontaminate, hosts, huffman, kneser_ney, packing, rules, shards, simhash
 from sitecast.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.classify(docs, labels)
+
+
 @query
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
