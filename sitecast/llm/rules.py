@@ -165,5 +165,10 @@ def apply_rules(
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """The rows of `docs` that pass, with the columns of `docs`."""
-    return apply_rules(docs, rules, text).filter("kept").select(*docs.columns)
+    """The rows of `docs` that pass, with the columns of `docs`.
+
+    The row number keeps the optimiser from pushing the condition below the steps it is built
+    of, where each would be written out, and computed, as often as it is used.
+    """
+    judged = apply_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
