@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sitecast.functions import clock
 from sitecast.operators.chunks import running
-from sitecast.schema import CHUNK, ENCODER, SITE, SLOT_MICROS, SLOTS_PER_DAY
+from sitecast.schema import CHUNK, ENCODER, SITE, SLOT_MICROS
 
 
-def site_bounds(df: DataFrame, align: int = SLOTS_PER_DAY) -> DataFrame:
-    """First slot and row count of every site, widened to whole days."""
+def site_bounds(df: DataFrame, align: int = 1) -> DataFrame:
+    """First slot and row count of every site, widened to multiples of `align` slots."""
     first = F.expr(f"min(slot) - pmod(min(slot), {align})")
     end = F.expr(f"max(slot) - pmod(max(slot), {align}) + {align}")
     return df.groupBy(SITE).agg(first.alias("first_slot"), (end - first).alias("n_rows"))
@@ -67,9 +67,15 @@ def complete_grid(
 
 
 def to_grid(readings: DataFrame, cols: Sequence[str] = ENCODER, bounds: DataFrame | None = None) -> DataFrame:
-    """Readings to one row per site and 15-minute slot; readings of one slot are averaged."""
-    slotted = readings.select(SITE, clock.slot_floor(clock.micros(F.col("ts"))).alias("slot"), *cols)
-    slotted = slotted.filter(F.col(SITE).isNotNull())
+    """Readings to one row per site and 15-minute slot; readings of one slot are averaged.
+
+    Without `bounds` a site's grid reaches from its first to its last reading. Readings without
+    a site are left out; one without a timestamp has no place in a series and is an error.
+    """
+    known = readings.filter(F.col(SITE).isNotNull())
+    gone = F.raise_error(F.lit("a reading of a site has no timestamp")).cast("bigint")
+    slot = F.coalesce(clock.slot_floor(clock.micros(F.col("ts"))), gone)
+    slotted = known.select(SITE, slot.alias("slot"), *cols)
     bounds = site_bounds(slotted) if bounds is None else bounds
     return complete_grid(slotted, bounds, {c: F.avg(c) for c in cols})
 

@@ -3,6 +3,8 @@
 Written directly from the definitions, with plain self-joins and windows over whole series.
 """
 
+from sitecast.schema import ENCODER, SCALED, TARGET, TIME, WEATHER
+
 PARTS: dict[str, tuple[str, str]] = {}
 
 
@@ -45,12 +47,6 @@ def closed(a: str, b: str, seed: str, n: str) -> str:
     )
 
 
-WEATHER = ["AirTemperature", "Ghi_hourly", "CloudOpacity_hourly", "minutes_since_last_update", "RelativeHumidity"]
-TIME = ["zenith_sin", "azimuth_sin", "day_sin", "year_sin"]
-TARGET = "SolarGeneration"
-ENCODER = WEATHER + TIME + [TARGET]
-SCALED = WEATHER + [TARGET]
-
 # ---- readings --------------------------------------------------------------------------
 
 part("ev", "", """
@@ -225,14 +221,20 @@ part("smodel", "spairs", """
 part("scross", "smodel spairs", """
   SELECT m.city, m.campus_key, m.n_sites, m.a, m.b, p.campus_key = m.campus_key AS own, p.y, m.a + m.b * p.x AS yhat
   FROM smodel m JOIN spairs p ON p.city = m.city WHERE p.y IS NOT NULL AND p.x IS NOT NULL""")
-part("sscores", "scross", """
+part("sacross", "smodel spairs", """
+  SELECT m.city, m.campus_key, m.n_sites, m.a, m.b, p.campus_key = m.campus_key AS own, p.y, m.a + m.b * p.x AS yhat
+  FROM smodel m JOIN spairs p ON p.city <> m.city OR p.campus_key = m.campus_key
+  WHERE p.y IS NOT NULL AND p.x IS NOT NULL""")
+_SITE_SCORES = """
   SELECT city, campus_key, CAST(any_value(n_sites) AS BIGINT) AS n_sites,
          CAST(count(*) FILTER (WHERE NOT own) AS BIGINT) AS n_cross, any_value(a) AS a, any_value(b) AS b,
          sqrt(avg(pow(y - yhat, 2)) FILTER (WHERE own)) AS own_rmse,
          1 - sum(pow(y - yhat, 2)) FILTER (WHERE own) / (count(*) FILTER (WHERE own) * var_pop(y) FILTER (WHERE own)) AS own_r2,
          sqrt(avg(pow(y - yhat, 2)) FILTER (WHERE NOT own)) AS cross_rmse,
          1 - sum(pow(y - yhat, 2)) FILTER (WHERE NOT own) / nullif(count(*) FILTER (WHERE NOT own) * var_pop(y) FILTER (WHERE NOT own), 0) AS cross_r2
-  FROM scross GROUP BY city, campus_key""")
+  FROM {} GROUP BY city, campus_key"""
+part("sscores", "scross", _SITE_SCORES.format("scross"))
+part("sascores", "sacross", _SITE_SCORES.format("sacross"))
 
 # ---- gaps and segments -----------------------------------------------------------------
 
@@ -241,7 +243,7 @@ part("gaps", "cells", """
          CAST(sum(CAST(y IS NULL AS INTEGER)) OVER (PARTITION BY campus_key, start_idx) AS BIGINT) AS gap_count
   FROM cells""")
 part("rounds", "gaps numbers", """
-  SELECT batch_id, count(DISTINCT sample_id) AS n_samples, max(gap_count) AS rounds
+  SELECT batch_id, count(*) // 20 AS n_samples, max(gap_count) AS rounds
   FROM gaps JOIN numbers USING (campus_key, start_idx) GROUP BY batch_id""")
 part("runs", "station", f"""
   SELECT campus_key, row_idx, {TARGET} IS NOT NULL AS valid, row_idx - row_number() OVER (
@@ -267,8 +269,10 @@ ORACLES["scaled_readings"] = sql("scaled_all", f"SELECT campus_key, row_idx, {rs
 ORACLES["weather_filled"] = sql("weather", "SELECT campus_key, row_idx, "
     + ", ".join(r(f"coalesce({c}, 0)", c) for c in WEATHER) + f", {r(TARGET)} FROM weather")
 ORACLES["unscaled_forecast"] = sql("lagged model tstats", f"""
-SELECT campus_key, row_idx, {r('greatest((a + b * coalesce(before, 0)) * s + m, 0)', 'yhat')}
-FROM lagged JOIN model USING (campus_key) JOIN tstats USING (campus_key)""")
+SELECT l.campus_key, row_idx,
+       {r('greatest((a + b * coalesce(before, 0)) * coalesce(s, 1) + coalesce(m, 0), 0)', 'yhat')}
+FROM lagged l JOIN model USING (campus_key)
+LEFT JOIN tstats t ON t.campus_key = l.campus_key AND t.campus_key % 5 <> 0""")
 ORACLES["missing_mask_profile"] = sql("starts scaled", """
 SELECT campus_key, count(*) AS n_sequences, CAST(sum(src) AS BIGINT) AS src_masked,
        CAST(sum(tgt) AS BIGINT) AS tgt_masked, CAST(sum(CAST(tgt = 20 AS INTEGER)) AS BIGINT) AS no_truth
@@ -292,6 +296,8 @@ FROM scaled_all""")
 ORACLES["forecast_truth"] = sql("kw", f"SELECT dataset, campus_key, start_idx, step, {rs(['y', 'yhat'])} FROM kw")
 ORACLES["cross_site_scores"] = sql("sscores", f"""
 SELECT city, campus_key, n_sites, n_cross, {rs(['a', 'b', 'own_rmse', 'own_r2', 'cross_rmse', 'cross_r2'])} FROM sscores""")
+ORACLES["cross_city_scores"] = sql("sascores", f"""
+SELECT city, campus_key, n_sites, n_cross, {rs(['a', 'b', 'own_rmse', 'own_r2', 'cross_rmse', 'cross_r2'])} FROM sascores""")
 ORACLES["champion_sites"] = sql("sscores", f"""
 SELECT city, campus_key, {rs(['cross_r2', 'cross_rmse'])} FROM sscores
 QUALIFY row_number() OVER (PARTITION BY city ORDER BY sscores.cross_r2 DESC NULLS LAST, sscores.cross_rmse NULLS LAST, campus_key) = 1""")
@@ -320,11 +326,11 @@ ORACLES["encoder_window_summary"] = sql("scaled_all", "SELECT campus_key, row_id
 WINDOW w AS (PARTITION BY campus_key ORDER BY row_idx ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)
 QUALIFY row_idx >= 95""")
 ORACLES["sequence_export"] = sql("starts scaled_all", "SELECT s.campus_key, start_idx, 96 AS n_src, 20 AS n_tgt, "
-    + ", ".join(r(f"sum(coalesce({c}, 0)) FILTER (WHERE row_idx < start_idx + 96)", f"src_{c}") for c in ENCODER) + ", "
-    + r(f"sum(coalesce({TARGET}, 0)) FILTER (WHERE row_idx BETWEEN start_idx + 95 AND start_idx + 114)", "tgt_in_prev") + ", "
-    + r(f"sum(coalesce({TARGET}, -999)) FILTER (WHERE row_idx >= start_idx + 96)", "tgt_out_sum") + f""",
-  CAST(count(*) FILTER (WHERE {TARGET} IS NULL AND row_idx < start_idx + 96) AS INTEGER) AS n_src_masked,
-  CAST(count(*) FILTER (WHERE {TARGET} IS NULL AND row_idx >= start_idx + 96) AS INTEGER) AS n_tgt_masked
+    + ", ".join(r(f"sum(coalesce({c}, 0) * (row_idx - start_idx + 1)) FILTER (WHERE row_idx < start_idx + 96)", f"src_{c}") for c in ENCODER) + ", "
+    + r(f"sum(coalesce({TARGET}, 0) * (row_idx - start_idx - 94)) FILTER (WHERE row_idx BETWEEN start_idx + 95 AND start_idx + 114)", "tgt_in_prev") + ", "
+    + r(f"sum(coalesce({TARGET}, -999) * (row_idx - start_idx - 95)) FILTER (WHERE row_idx >= start_idx + 96)", "tgt_out_sum") + f""",
+  CAST(coalesce(sum(row_idx - start_idx + 1) FILTER (WHERE {TARGET} IS NULL AND row_idx < start_idx + 96), 0) AS INTEGER) AS src_masked,
+  CAST(coalesce(sum(row_idx - start_idx - 95) FILTER (WHERE {TARGET} IS NULL AND row_idx >= start_idx + 96), 0) AS INTEGER) AS tgt_masked
 FROM starts s JOIN scaled_all t ON t.campus_key = s.campus_key AND row_idx BETWEEN start_idx AND start_idx + 115
 GROUP BY s.campus_key, start_idx""")
 ORACLES["segments_reference"] = sql("in_runs", """
@@ -337,7 +343,7 @@ SELECT campus_key, start_idx, step, running AS ordinal, gap_count FROM gaps WHER
 ORACLES["fill_rounds"] = sql("rounds", "SELECT * FROM rounds")
 ORACLES["metric_stall"] = sql("lagged model", """
 , daily AS (
-  SELECT campus_key, row_idx // 96 AS epoch, round(sqrt(avg(pow(a + b * coalesce(before, 0) - z, 2))), 6) AS rmse
+  SELECT campus_key, row_idx // 96 AS epoch, sqrt(avg(pow(a + b * coalesce(before, 0) - z, 2))) AS rmse
   FROM lagged JOIN model USING (campus_key) GROUP BY ALL),
 best AS (
   SELECT *, min(rmse) OVER (PARTITION BY campus_key ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier,
@@ -346,7 +352,7 @@ marks AS (SELECT *, rmse IS NOT NULL AND (earlier IS NULL OR rmse < earlier) AS
 since AS (
   SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY campus_key ORDER BY epoch) AS epochs_since_best
   FROM marks)
-SELECT campus_key, epoch, rmse, best, improved, epochs_since_best,
+SELECT campus_key, epoch, round(rmse, 6) + 0e0 AS rmse, round(best, 6) + 0e0 AS best, improved, epochs_since_best,
        coalesce(bool_or(epochs_since_best >= 3) OVER (PARTITION BY campus_key ORDER BY epoch), false) AS stopped
 FROM since""")
 ORACLES["power_rescaled"] = sql("sseries", f"SELECT campus_key, row_idx, {r('y', TARGET)} FROM sseries")
@@ -363,10 +369,16 @@ ORACLES["batch_mean_rmse"] = sql("dfc", f"""
 SELECT dataset, count(*) AS n_batches, {r('avg(e)', 'rmse')}
 FROM (SELECT dataset, batch_id, sqrt(coalesce(avg(pow(ar - y, 2)), 0)) AS e FROM dfc GROUP BY dataset, batch_id)
 GROUP BY dataset""")
+LOSSES = f"""count(*) AS n_batches, count(loss) AS n_defined, {r('sum(coalesce(loss, 0)) / count(*)', 'loss_lenient')},
+       {r('CASE WHEN count(loss) = count(*) THEN sum(loss) / count(*) END', 'loss_strict')}"""
 ORACLES["epoch_loss"] = sql("dfc", f"""
-SELECT dataset, count(*) AS n_batches, count(loss) AS n_defined, {r('sum(coalesce(loss, 0)) / count(*)', 'loss_lenient')},
-       {r('CASE WHEN count(loss) = count(*) THEN sum(loss) / count(*) END', 'loss_strict')}
-FROM (SELECT dataset, batch_id, avg(pow(guided - y, 2)) AS loss FROM dfc GROUP BY dataset, batch_id)
+SELECT dataset, {LOSSES}
+FROM (SELECT dataset, batch_id, CASE WHEN NOT (dataset = 'test' AND batch_id % 7 = 3) THEN avg(pow(guided - y, 2)) END AS loss
+      FROM dfc GROUP BY dataset, batch_id)
+GROUP BY dataset""")
+ORACLES["epoch_loss_ar"] = sql("dfc", f"""
+SELECT dataset, {LOSSES}
+FROM (SELECT dataset, batch_id, avg(pow(ar - y, 2)) AS loss FROM dfc GROUP BY dataset, batch_id)
 GROUP BY dataset""")
 ORACLES["blended_loss"] = sql("fc numbers", f"""
 , valid AS (
@@ -403,9 +415,10 @@ ORACLES["forecast_samples"] = sql("dstarts kw", f"""
 SELECT dataset, pick, campus_key, start_idx, (step + 1) * 15 AS minutes_ahead, {rs(['y', 'yhat'])}
 FROM kw JOIN picks USING (dataset, campus_key, start_idx)""")
 _u = uniform("s1:4", "campus_key", "start_idx", "step")
-ORACLES["scheduled_mix"] = sql("fc", f"""
+ORACLES["scheduled_mix"] = sql("fc starts", f"""
 SELECT campus_key, start_idx, step, (y IS NULL OR {_u} < 0.1e0 + 0.9e0 * 4 / 9) AS taken,
-       {r(f'CASE WHEN y IS NULL OR {_u} < 0.1e0 + 0.9e0 * 4 / 9 THEN ar ELSE prev END', 'mixed')} FROM fc""")
+       {r(f'CASE WHEN y IS NULL OR {_u} < 0.1e0 + 0.9e0 * 4 / 9 THEN ar ELSE prev END', 'mixed')}
+FROM fc JOIN starts USING (campus_key, start_idx) WHERE start_idx + 116 <= n_rows * 70 // 100""")
 ORACLES["cycle_features"] = sql("cycles", f"SELECT campus_key, row_idx, {rs(['day_sin', 'year_sin'])} FROM cycles")
 ORACLES["solar_position"] = sql("sun", f"""
 SELECT campus_key, row_idx, {r('zenith')}, {r('sin(radians(zenith))', 'zenith_sin')},
@@ -413,21 +426,26 @@ SELECT campus_key, row_idx, {r('zenith')}, {r('sin(radians(zenith))', 'zenith_si
 ORACLES["grid_readings"] = sql("station", f"""
 SELECT campus_key, row_idx, n_rows, ts, {rs([TARGET, 'AirTemperature', 'RelativeHumidity'])} FROM station""")
 ORACLES["ar1_coefficients"] = sql("model", f"SELECT campus_key, {rs(['a', 'b'])}, n_pairs FROM model")
-ORACLES["direct_forecast"] = sql("cells", f"""
+ORACLES["direct_forecast"] = sql("dcells", f"""
 , direct AS (
   SELECT campus_key, step, coalesce(regr_intercept(y, seed), avg(y), 0) AS a, coalesce(regr_slope(y, seed), 0) AS b
-  FROM cells GROUP BY campus_key, step),
+  FROM dcells WHERE dataset = 'train' GROUP BY campus_key, step),
 applied AS (
-  SELECT c.campus_key, c.step, c.y, d.a + d.b * c.seed AS yhat
-  FROM cells c JOIN direct d ON d.campus_key = c.campus_key AND d.step = c.step)
-SELECT campus_key, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {SCORES} FROM applied GROUP BY campus_key, step""")
+  SELECT c.dataset, c.campus_key, c.step, c.y, d.a + d.b * c.seed AS yhat
+  FROM dcells c JOIN direct d ON d.campus_key = c.campus_key AND d.step = c.step)
+SELECT dataset, campus_key, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {SCORES}
+FROM applied GROUP BY dataset, campus_key, step""")
 for _name, _col in (("guided", "guided"), ("ar", "ar"), ("hybrid", "hybrid")):
     ORACLES[f"forecast_{_name}"] = sql("fc", f"SELECT campus_key, start_idx, step, {r(_col, 'yhat')} FROM fc")
 ORACLES["prediction_cache"] = ORACLES["forecast_ar"]
-ORACLES["gap_fill_reference"] = sql("gaps numbers rounds", f"""
-SELECT campus_key, start_idx, step, running AS ordinal, rounds,
-       {r('CASE WHEN running < rounds THEN a + b * prev ELSE prev END', 'filled')}
-FROM gaps JOIN numbers USING (campus_key, start_idx) JOIN rounds USING (batch_id) WHERE y IS NULL""")
+part("filled", "gaps numbers", """
+  SELECT *, CASE WHEN y IS NULL AND running < rounds THEN a + b * prev ELSE prev END AS filled
+  FROM (SELECT *, max(gap_count) OVER (PARTITION BY batch_id) AS rounds
+        FROM gaps JOIN numbers USING (campus_key, start_idx))""")
+ORACLES["gap_fill_reference"] = sql("filled", f"""
+SELECT campus_key, start_idx, step, running AS ordinal, rounds, {r('filled')} FROM filled WHERE y IS NULL""")
+ORACLES["gap_fill_loss"] = sql("filled", f"""
+SELECT {LOSSES} FROM (SELECT batch_id, avg(pow(a + b * filled - y, 2)) AS loss FROM filled GROUP BY batch_id)""")
 ORACLES["gap_fill_aligned"] = sql("cells", f"""
 , newest AS (
   SELECT *, last_value(CASE WHEN y IS NOT NULL THEN step END IGNORE NULLS) OVER w AS place,
@@ -437,10 +455,10 @@ SELECT campus_key, start_idx, step, step - coalesce(place, -1) AS gap_length,
        {r(closed('a', 'b', 'coalesce(known, seed)', '(step - coalesce(place, -1))'), 'filled')}
 FROM newest WHERE y IS NULL""")
 
-# Three epochs of refinement, one after the other.
+# Ten epochs of refinement, one after the other; the history ends where three did not improve.
 _chain, _model = "", "model"
-for _e in range(3):
-    _rate = f"(0.1e0 + 0.9e0 * {_e} / 2)"
+for _e in range(10):
+    _rate = f"(0.1e0 + 0.9e0 * {_e} / 9)"
     _draw_e = uniform(f"s1:{_e}", "c.campus_key", "c.start_idx", "c.step")
     _chain += f"""
 , mix{_e} AS (
@@ -456,7 +474,11 @@ err{_e} AS (
     FROM dcells c JOIN model{_e} m ON m.campus_key = c.campus_key WHERE c.dataset = 'validation' GROUP BY c.batch_id))"""
     _model = f"model{_e}"
 ORACLES["refine_history"] = sql("dcells", _chain + f"""
-, errs AS (SELECT * FROM err0 UNION ALL SELECT * FROM err1 UNION ALL SELECT * FROM err2)
-SELECT epoch, {r('rate')}, {r('ar_rmse')}, {r('min(ar_rmse) OVER (ORDER BY epoch)', 'best')},
-       coalesce(ar_rmse < min(ar_rmse) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
-FROM errs""")
+, errs AS ({' UNION ALL '.join(f'SELECT * FROM err{e}' for e in range(10))}),
+marks AS (
+  SELECT *, min(ar_rmse) OVER (ORDER BY epoch) AS best,
+         coalesce(ar_rmse < min(ar_rmse) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+  FROM errs),
+since AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS waited FROM marks)
+SELECT epoch, {r('rate')}, {r('ar_rmse')}, {r('best')}, improved FROM since
+WHERE epoch <= coalesce((SELECT min(epoch) FROM since WHERE waited >= 3), 9)""")

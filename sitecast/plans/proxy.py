@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitecast.functions import clock
 from sitecast.operators import grid as G
 from sitecast.plans import prepare
-from sitecast.schema import ENCODER, SITE, TARGET
+from sitecast.schema import ENCODER, SITE, SLOTS_PER_DAY, TARGET
 
 USERS_PER_SITE = 30
 DAY_MICROS = 24 * 3600 * 1_000_000
@@ -36,6 +36,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def day_bounds(ev: DataFrame) -> DataFrame:
+    """The series of a site covers whole days, from its first event's to its last one's."""
+    return G.site_bounds(ev, align=SLOTS_PER_DAY)
+
+
 def places(df: DataFrame) -> DataFrame:
     """Invented latitude and longitude of every site."""
     return df.select(SITE).distinct().select(
@@ -48,12 +53,12 @@ def places(df: DataFrame) -> DataFrame:
 def target_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gridded target only: mean event value per site and slot."""
     ev = events(spark, sf_dir)
-    return G.complete_grid(ev.select(SITE, "slot", "value"), G.site_bounds(ev), {TARGET: F.avg("value")})
+    return G.complete_grid(ev.select(SITE, "slot", "value"), day_bounds(ev), {TARGET: F.avg("value")})
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per site, without building the grid."""
-    return G.site_bounds(events(spark, sf_dir)).select(SITE, "n_rows")
+    return day_bounds(events(spark, sf_dir)).select(SITE, "n_rows")
 
 
 def hourly_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def station_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "RelativeHumidity": F.when(F.col("event_type") == "click", F.col("k")),
     }
     slotted = ev.select(SITE, "slot", *[c.alias(n) for n, c in columns.items()])
-    return G.complete_grid(slotted, G.site_bounds(ev), {n: F.avg(n) for n in columns})
+    return G.complete_grid(slotted, day_bounds(ev), {n: F.avg(n) for n in columns})
 
 
 def with_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +111,7 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice",
     )
     return G.complete_grid(
-        lines, G.site_bounds(lines, align=1), {TARGET: F.sum("l_extendedprice")}, DAY_MICROS
+        lines, G.site_bounds(lines), {TARGET: F.sum("l_extendedprice")}, DAY_MICROS
     )
 
 

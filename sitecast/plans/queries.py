@@ -17,14 +17,14 @@ from sitecast.operators.chunks import attach_by_site
 from sitecast.plans import evaluate as EV
 from sitecast.plans import prepare, proxy
 from sitecast.plans.refine import refine
-from sitecast.schema import ENCODER, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
+from sitecast.schema import ENCODER, HORIZON, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
 from sitecast.sources.files import clean_readings, format_stats, parse_stats
 
 DIGITS = 6
 SEED = "s1"
 WEIGHTS = {"train": 0.7, "validation": 0.15, "test": 0.15}
 DATASET_KEYS = ("dataset", SITE)
-MIX_EPOCH, MIX_EPOCHS, REFINE_EPOCHS = 4, 10, 3
+MIX_EPOCH, MIX_EPOCHS, REFINE_EPOCHS, REFINE_PATIENCE = 4, 10, 10, 3
 BLEND_EPOCH, SEGMENT = 4, 5
 PATIENCE = 3
 PICKS = 50
@@ -123,10 +123,13 @@ def sequence_export(spark, sf_dir):
     zero = F.lit(0.0)
 
     def total(rows: Column, i: int) -> Column:
-        return F.aggregate(rows, zero, lambda acc, r: acc + r[i])
+        """Values weighted by their place, so that rows out of order give another sum."""
+        placed = F.transform(rows, lambda r, k: r[i] * (k + 1))
+        return F.aggregate(placed, zero, lambda acc, x: acc + x)
 
     def masked(mask: Column) -> Column:
-        return F.size(F.filter(mask, lambda m: m))
+        placed = F.transform(mask, lambda m, k: F.when(m, k + 1).otherwise(0))
+        return F.aggregate(placed, F.lit(0), lambda acc, x: acc + x)
 
     return out.select(
         SITE,
@@ -135,9 +138,12 @@ def sequence_export(spark, sf_dir):
         F.size("tgt_out").alias("n_tgt"),
         *[num(total(F.col("src"), i), f"src_{c}") for i, c in enumerate(ENCODER)],
         num(total(F.col("tgt_in"), len(TIME)), "tgt_in_prev"),
-        num(F.aggregate("tgt_out", zero, lambda acc, y: acc + y), "tgt_out_sum"),
-        masked(F.col("src_mask")).alias("n_src_masked"),
-        masked(F.col("tgt_mask")).alias("n_tgt_masked"),
+        num(
+            F.aggregate(F.transform("tgt_out", lambda y, k: y * (k + 1)), zero, lambda acc, y: acc + y),
+            "tgt_out_sum",
+        ),
+        masked(F.col("src_mask")).alias("src_masked"),
+        masked(F.col("tgt_mask")).alias("tgt_masked"),
     )
 
 
@@ -169,13 +175,13 @@ def weather_filled(spark, sf_dir):
 
 @query
 def unscaled_forecast(spark, sf_dir):
-    """Guided forecast of every row in kW, clipped at 0."""
-    series = proxy.target_series(spark, sf_dir).select(SITE, "row_idx", "n_rows", TARGET)
-    lagged = MD.with_lag(EV.with_site_models(series))
+    """Guided forecast of every row in kW, clipped at 0; every fifth site counts as unknown."""
+    lagged = MD.with_lag(modelled_target(spark, sf_dir))
     prev = F.coalesce(F.col("before"), F.lit(0.0))
-    rows = lagged.select(SITE, "row_idx", (F.col("a") + F.col("b") * prev).alias("yhat"))
-    stats = SC.fit_stats(series.filter(EV.in_train()), [TARGET])
-    raw = SC.unscale(rows, stats, "yhat")
+    rows = lagged.withColumn("yhat", F.col("a") + F.col("b") * prev)
+    # The statistics come with the model, one row per site.
+    stats = rows.filter((F.col("row_idx") == 0) & (F.col(SITE) % 5 != 0))
+    raw = SC.unscale(rows.select(SITE, "row_idx", "yhat"), stats, "yhat")
     return raw.select(SITE, "row_idx", num(V.clip_nonneg(F.col("yhat")), "yhat"))
 
 
@@ -233,18 +239,28 @@ def forecast_truth(spark, sf_dir):
     return out.select("dataset", SITE, "start_idx", "step", num("y"), num("yhat"))
 
 
-def _site_scores(spark, sf_dir):
+def _site_scores(spark, sf_dir, scope="within"):
     series = SC.rescale_power(proxy.supplier_series(spark, sf_dir))
-    return ST.cross_site_scores(attach_by_site(series, proxy.supplier_cities(spark, sf_dir)))
+    cities = attach_by_site(series, proxy.supplier_cities(spark, sf_dir))
+    return ST.cross_site_scores(cities, scope=scope)
 
 
-@query
-def cross_site_scores(spark, sf_dir):
-    out = _site_scores(spark, sf_dir)
+def _scores_of(out):
     floats = ["a", "b", "own_rmse", "own_r2", "cross_rmse", "cross_r2"]
     return out.select("city", SITE, "n_sites", "n_cross", *[num(c) for c in floats])
 
 
+@query
+def cross_site_scores(spark, sf_dir):
+    return _scores_of(_site_scores(spark, sf_dir))
+
+
+@query
+def cross_city_scores(spark, sf_dir):
+    """Every site's model on the data of all other cities."""
+    return _scores_of(_site_scores(spark, sf_dir, "across"))
+
+
 @query
 def champion_sites(spark, sf_dir):
     out = ST.choose_sites(_site_scores(spark, sf_dir))
@@ -322,9 +338,10 @@ def metric_stall(spark, sf_dir):
             "epoch": F.expr("row_idx div 96"),
         }
     )
-    daily = rows.groupBy(SITE, "epoch").agg(F.round(M.rmse(), DIGITS).alias("rmse"))
-    out = M.metric_stall(daily, PATIENCE)
-    return out.select(SITE, "epoch", "rmse", "best", "improved", "epochs_since_best", "stopped")
+    out = M.metric_stall(rows.groupBy(SITE, "epoch").agg(M.rmse().alias("rmse")), PATIENCE)
+    return out.select(
+        SITE, "epoch", num("rmse"), num("best"), "improved", "epochs_since_best", "stopped"
+    )
 
 
 # ---- metrics ---------------------------------------------------------------------------
@@ -368,14 +385,35 @@ def batch_mean_rmse(spark, sf_dir):
     return M.batch_mean_rmse(cell, ["dataset"]).select("dataset", "n_batches", num("yhat", "rmse"))
 
 
+def _epoch_loss(cell, keys=("dataset",)):
+    batches = cell.groupBy(*keys, "batch_id").agg(
+        F.avg(F.pow(F.col("yhat") - F.col("y"), F.lit(2.0))).alias("loss")
+    )
+    out = M.epoch_loss(batches, keys)
+    return out.select(*keys, "n_batches", "n_defined", num("loss_lenient"), num("loss_strict"))
+
+
 @query
 def epoch_loss(spark, sf_dir):
+    """Guided epoch loss; in the test set every seventh batch counts as one without truth."""
     cell = FC.forecast_guided(dataset_cells(spark, sf_dir))
-    batches = cell.groupBy("dataset", "batch_id").agg(
-        F.avg(F.pow(F.col("yhat") - F.col("y"), F.lit(2.0))).alias("loss")
-    )
-    out = M.epoch_loss(batches, ["dataset"])
-    return out.select("dataset", "n_batches", "n_defined", num("loss_lenient"), num("loss_strict"))
+    dark = (F.col("dataset") == "test") & (F.col("batch_id") % 7 == 3)
+    return _epoch_loss(cell.withColumn("y", F.when(~dark, F.col("y"))))
+
+
+@query
+def epoch_loss_ar(spark, sf_dir):
+    """Epoch loss of the fully autoregressive forecast; its strict form is the published one."""
+    return _epoch_loss(FC.forecast_ar(dataset_cells(spark, sf_dir)))
+
+
+@query
+def gap_fill_loss(spark, sf_dir):
+    """Epoch loss of forecasts from inputs whose gaps were filled round by round."""
+    sample = SG.gap_samples(modelled_target(spark, sf_dir), keep=["a", "b"])
+    filled = FC.fill_gaps_reference(SG.with_rounds(numbered(sample, spark, sf_dir)))
+    cell = filled.withColumn("yhat", F.col("a") + F.col("b") * F.col("filled"))
+    return _epoch_loss(cell, ())
 
 
 @query
@@ -430,8 +468,12 @@ def forecast_samples(spark, sf_dir):
 
 @query
 def scheduled_mix(spark, sf_dir):
-    sample = site_samples(spark, sf_dir)
-    cell = SQ.cells(FC.join_cache(sample, FC.build_cache(sample)))
+    """Samples mixed with the forecasts that are cached for training samples alone: those of
+    the other samples are absent and skipped."""
+    sample = SQ.samples(modelled_target(spark, sf_dir), keep=["a", "b", "n_rows"])
+    upto = F.expr(f"n_rows * {EV.SHARES['train'][1]} div 100")
+    cached = sample.filter(F.col("start_idx") + LOOKBACK + HORIZON <= upto)
+    cell = SQ.cells(FC.join_cache(sample, FC.build_cache(cached)))
     out = FC.scheduled_mix(cell, MIX_EPOCH, MIX_EPOCHS, SEED)
     return out.select(SITE, "start_idx", "step", "taken", num("mixed"))
 
@@ -483,10 +525,12 @@ def arx_forecast(spark, sf_dir):
 
 @query
 def direct_forecast(spark, sf_dir):
-    """One model per site and step, scored in place of rolling a one-step model out."""
-    cell = SQ.cells(SQ.samples(modelled_target(spark, sf_dir)))
-    out = M.metrics_by_step(MD.direct_forecast(cell, MD.fit_direct(cell)), keys=[SITE])
-    return out.select(SITE, "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
+    """One model per site and step, fitted on whole training samples, scored per data set."""
+    series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
+    cell = SQ.cells(SQ.samples(series, keys=DATASET_KEYS))
+    model = MD.fit_direct(cell.filter(F.col("dataset") == "train"))
+    out = M.metrics_by_step(MD.direct_forecast(cell, model), keys=["dataset", SITE])
+    return out.select("dataset", SITE, "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
 
 
 def _forecast(spark, sf_dir, apply):
@@ -536,7 +580,7 @@ def prediction_cache(spark, sf_dir):
 @query
 def refine_history(spark, sf_dir):
     series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
-    out = refine(series, epochs=REFINE_EPOCHS, seed=SEED)
+    out = refine(series, epochs=REFINE_EPOCHS, patience=REFINE_PATIENCE, seed=SEED)
     return out.select("epoch", num("rate"), num("ar_rmse"), num("best"), "improved")
 
 

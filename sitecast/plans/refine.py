@@ -4,7 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitecast.operators.chunks import attach_by_site
-from sitecast.operators.forecast import autoregressive, cached_path, scheduled_mix, usage_rate
+from sitecast.operators.forecast import (
+    autoregressive,
+    build_cache,
+    join_cache,
+    scheduled_mix,
+    usage_rate,
+)
 from sitecast.operators.metrics import batch_mean_rmse
 from sitecast.operators.models import regression
 from sitecast.operators.sequences import (
@@ -20,10 +26,8 @@ from sitecast.sources.checkpoints import cut
 from sitecast.sources.files import save_model
 
 
-def ar_error(series: DataFrame) -> float | None:
-    """Batch-mean error of the autoregressive forecast of a series with `a` and `b`."""
-    offsets = series_offsets(sequence_counts(series))
-    sample = number_samples(samples(series, keep=["a", "b"]), offsets)
+def ar_error(sample: DataFrame) -> float | None:
+    """Batch-mean error of the autoregressive forecast of numbered samples with `a` and `b`."""
     cell = cells(with_batch(sample)).withColumn("yhat", autoregressive())
     return batch_mean_rmse(cell).first()["yhat"]
 
@@ -39,24 +43,27 @@ def refine(
     """Refit the site models on inputs that hold more and more of their own forecasts.
 
     `series` holds the scaled data sets `train` and `validation` with the first `a` and `b`
-    of every site. Each epoch is two distributed passes; the driver sees one error per epoch.
-    The series and each model are stored once, so an epoch does not replay the ones before
-    it. Returns the history; the model with the smallest error goes to `save_to`.
+    of every site. The samples of both are built and stored once. Each epoch stores the
+    forecasts of the training samples as a cache that takes the place of the one before, mixes
+    them into the inputs, refits, and scores the validation samples; the driver sees one error
+    per epoch. Returns the history; the model with the smallest error goes to `save_to`.
     """
     series = cut(series.select("dataset", SITE, "row_idx", "n_rows", TARGET, "a", "b"))
     train, validation = (
-        series.filter(F.col("dataset") == name).drop("dataset") for name in ("train", "validation")
+        series.filter(F.col("dataset") == name).drop("dataset", "a", "b")
+        for name in ("train", "validation")
     )
-    model, history, best, waited = None, [], None, 0
+    offsets = series_offsets(sequence_counts(validation))
+    held = cut(number_samples(samples(validation), offsets))
+    sample = cut(samples(train))
+    model = cut(series.groupBy(SITE).agg(F.first("a").alias("a"), F.first("b").alias("b")))
+    history, best, waited = [], None, 0
     for epoch in range(epochs):
-        if model is None:
-            sample = samples(train, keep=["a", "b"])
-        else:
-            sample = samples(attach_by_site(train.drop("a", "b"), model), keep=["a", "b"])
-        cell = cells(sample.withColumn("cached", cached_path()))
+        known = attach_by_site(sample, model)
+        cell = cells(join_cache(known, cut(build_cache(known))))
         mixed = scheduled_mix(cell, epoch, epochs, seed, mode)
         model = cut(mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b"))
-        error = ar_error(attach_by_site(validation.drop("a", "b"), model))
+        error = ar_error(attach_by_site(held, model))
         better = error is not None and (best is None or error < best)
         best, waited = (error, 0) if better else (best, waited + 1)
         if better and save_to:

@@ -1,12 +1,10 @@
 """Cutting the lineage of iterative jobs through storage all executors can reach."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the whole session is local."""
+    """The cluster's shared folder, as the session names it in spark.checkpoint.dir."""
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found
@@ -14,7 +12,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not wanted:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        wanted = tempfile.mkdtemp(prefix="sitecast-")
+        # One machine holds driver and tasks; its warehouse is the folder they share.
+        wanted = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     spark.sparkContext.setCheckpointDir(wanted)
     return wanted
 

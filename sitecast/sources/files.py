@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitecast.functions.values import parse_number
+from sitecast.operators.chunks import attach_by_site
 from sitecast.operators.grid import to_grid
 from sitecast.operators.scaling import scale_by_site
 from sitecast.schema import ENCODER, SCALED, SITE
@@ -16,9 +17,6 @@ from sitecast.schema import ENCODER, SCALED, SITE
 _MOMENTS = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
 STATS_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), _MOMENTS))
 
-# A single JSON document is put together in one row; beyond this many sites use lines.
-MAX_DOCUMENT_SITES = 10_000
-
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system it names."""
@@ -44,8 +42,13 @@ def read_readings(
     ts: str = "ts",
     features: Sequence[str] = ENCODER,
 ) -> DataFrame:
-    """Readings CSV with a header line; columns are found by name, others are ignored."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Readings CSV with a header line; columns are found by name, others are ignored.
+
+    Where `path` names several files, their headers must agree: one that differs is an error
+    when its rows are read, so that no column takes the place of another.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    raw = reader.option("enforceSchema", False).csv(path)
     absent = [c for c in [site, ts, *features] if c not in raw.columns]
     if absent:
         raise ValueError(f"{path}: no column {', '.join(absent)}")
@@ -75,16 +78,9 @@ def read_stats(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return parse_stats(spark.read.text(path, wholetext=not lines))
 
 
-def write_stats(long: DataFrame, path: str, lines: bool = True) -> None:
-    """Scaler rows to JSON: a line per site, or one document where the sites are few."""
-    texts = format_stats(long)
-    if not lines:
-        if texts.limit(MAX_DOCUMENT_SITES + 1).count() > MAX_DOCUMENT_SITES:
-            raise ValueError("too many sites for a single document; write lines")
-        inner = F.expr("substring(value, 2, length(value) - 2)")
-        joined = F.array_join(F.array_sort(F.collect_list(inner)), ",")
-        texts = texts.agg(F.concat(F.lit("{"), joined, F.lit("}")).alias("value"))
-    texts.select("value").write.mode("overwrite").text(path)
+def write_stats(long: DataFrame, path: str) -> None:
+    """Scaler rows to JSON, a line per site."""
+    format_stats(long).select("value").write.mode("overwrite").text(path)
 
 
 def load_datasets(
@@ -107,10 +103,10 @@ def load_datasets(
                 raise FileNotFoundError(path)
             warnings.warn(f"{name}: {path} not found, skipped", stacklevel=2)
             continue
-        gridded = to_grid(read_readings(spark, path, **columns))
-        scaled = scale_by_site(gridded, stats, cols)
-        if scaled.isEmpty():
+        readings = read_readings(spark, path, **columns)
+        if attach_by_site(readings.select(SITE).distinct(), stats.select(SITE)).isEmpty():
             raise ValueError(f"{name}: no rows left after scaling")
+        scaled = scale_by_site(to_grid(readings), stats, cols)
         parts.append(scaled.withColumn("dataset", F.lit(name)))
     if not parts:
         raise FileNotFoundError("none of the data sets exists")

@@ -15,6 +15,7 @@ from sitecast.operators import metrics as M
 from sitecast.operators import scaling as SC
 from sitecast.operators import segments as SG
 from sitecast.operators import sequences as SQ
+from sitecast.operators import sites as ST
 from sitecast.operators.chunks import attach_by_site, running
 from sitecast.plans import prepare
 from sitecast.schema import TARGET, WEATHER
@@ -247,9 +248,14 @@ def test_grid_averages_completes_and_keeps_bounds(spark):
         "campus_key", F.col("t").cast("timestamp_ntz").alias("ts"), TARGET
     )
     out = G.to_grid(df, [TARGET]).collect()
-    assert len(out) == 192 and {r.n_rows for r in out} == {192}
+    assert len(out) == 89 and {r.n_rows for r in out} == {89}
     known = {(r.row_idx, str(r.ts)): r[TARGET] for r in out if r[TARGET] is not None}
-    assert known == {(8, "2024-03-10 02:00:00"): 2.0, (96, "2024-03-11 00:00:00"): 7.0}
+    assert known == {(0, "2024-03-10 02:00:00"): 2.0, (88, "2024-03-11 00:00:00"): 7.0}
+    slots = df.filter("campus_key is not null").select("campus_key", clock.slot_floor(clock.micros(F.col("ts"))).alias("slot"))
+    assert [r.n_rows for r in G.site_bounds(slots, align=96).collect()] == [192]
+    gone = df.withColumn("ts", F.when(F.col(TARGET) < 5, F.col("ts")))
+    with pytest.raises(Exception, match="no timestamp"):
+        G.to_grid(gone, [TARGET]).collect()
     day = [F.lit(d).cast("timestamp_ntz") for d in ("2024-03-10", "2024-03-11")]
     sites = df.filter("campus_key is not null")
     fixed = G.to_grid(df, [TARGET], G.fixed_bounds(sites, *day)).collect()
@@ -354,7 +360,38 @@ def test_a_hot_slot_and_a_hot_site(spark):
     out = G.to_grid(df, [TARGET]).cache()
     hot = out.filter("campus_key = 1 and row_idx = 500").first()
     assert hot[TARGET] == pytest.approx(sum(range(0, n, 3)) / (n / 3))
-    assert out.filter("campus_key = 1").count() == 6 * 96
-    assert out.filter("campus_key <> 1").count() == 49 * 96
+    assert out.filter("campus_key = 1").count() == 501
+    others = out.filter("campus_key <> 1").groupBy("campus_key").agg(F.max("n_rows").alias("n")).collect()
+    assert len(others) == 49 and all(80 < r.n <= 96 for r in others)
     wide = SQ.samples(out, width=120)
-    assert wide.count() == 6 * 96 - 115
+    assert wide.count() == 501 - 115
+
+
+def test_cross_scores_keep_their_digits_on_series_that_hardly_vary(spark):
+    """Against regr_r2-like sums in numpy about exact means, for both scopes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {(c, s): 19.9999 + 1e-6 * rng.standard_normal(80) for c, s in ((1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 6))}
+    rows = [(c, s, i, float(v)) for (c, s), y in data.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, f"city int, campus_key int, row_idx bigint, {TARGET} double")
+
+    def score(a, b, chosen):
+        y = np.concatenate([data[k][1:] for k in chosen]) - 19.9999
+        x = np.concatenate([data[k][:-1] for k in chosen]) - 19.9999
+        left = ((y - a - b * x) ** 2).sum()
+        return 1 - left / ((y - y.mean()) ** 2).sum(), (left / len(y)) ** 0.5
+
+    for scope in ("within", "across"):
+        for r in ST.cross_site_scores(df, scope=scope).collect():
+            me = (r.city, r.campus_key)
+            others = [k for k in data if (k[0] == r.city and k != me if scope == "within" else k[0] != r.city)]
+            x, y = data[me][:-1] - 19.9999, data[me][1:] - 19.9999
+            b = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+            a = y.mean() - b * x.mean()
+            assert r.own_r2 == pytest.approx(score(a, b, [me])[0], abs=1e-6)
+            assert r.n_cross == 79 * len(others)
+            if others:
+                r2, rmse = score(a, b, others)
+                assert r.cross_r2 == pytest.approx(r2, abs=1e-5)
+                assert r.cross_rmse == pytest.approx(rmse, rel=1e-5)
