@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,9 @@ HEADLINE = [
     "cross_site_scores",
     "metric_stall",
     "evaluation_report",
+    "stats_table",
+    "arx_forecast",
+    "refine_history",
 ]
 
 
@@ -43,6 +47,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     )
     spark = build(builder)
     spark.sparkContext.setLogLevel("ERROR")

@@ -107,7 +107,7 @@ def asof_hourly(
     latest = latest.select(SITE, (F.col("slot") * 2).alias("turn"), *values)
     rows = grid.withColumn("turn", slot * 2 + 1).unionByName(latest, allowMissingColumns=True)
     folds = {f"{name}_asof": (name, "last") for name in values}
-    found = running(rows, folds, idx="turn", carriers=latest)
+    found = running(rows, folds, idx="turn", levels=2, carriers=latest)
     return found.filter(F.col("row_idx").isNotNull()).select(
         *grid.columns,
         *[F.col(f"{name}_asof.value").alias(name) for name in values],

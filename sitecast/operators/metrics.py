@@ -9,10 +9,6 @@ from sitecast.operators.chunks import KEYS, running
 from sitecast.schema import STEP_MINUTES
 
 
-def valid_cells(df: DataFrame, y: str = "y") -> DataFrame:
-    return df.filter(F.col(y).isNotNull())
-
-
 def _truth(y: str, yhat: str) -> Column:
     return F.when(F.col(yhat).isNotNull(), F.col(y))
 
@@ -168,10 +164,10 @@ def metric_stall(
     running minimum of (metric, epoch) holds the best value and the first epoch that had it.
     """
     pair = F.when(F.col(metric).isNotNull(), F.struct(metric, idx))
-    seen = running(df.withColumn("pair", pair), {"top": ("pair", "min")}, keys, idx)
+    seen = running(df.withColumn("pair", pair), {"top": ("pair", "min")}, keys, idx, levels=2)
     since = F.col(idx) - F.col(f"top.{idx}")
     marked = seen.withColumn("out", F.when(since >= patience, 1).otherwise(0))
-    ended = running(marked, {"stopped": ("out", "max")}, keys, idx)
+    ended = running(marked, {"stopped": ("out", "max")}, keys, idx, levels=2)
     return ended.select(
         *df.columns,
         F.col(f"top.{metric}").alias("best"),

@@ -4,13 +4,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sitecast.operators.chunks import KEYS, attach_by_site, chunk_window, drop_halo, with_halo
 from sitecast.operators.sequences import samples
 from sitecast.functions.values import zscore
-from sitecast.schema import HORIZON, LOOKBACK, MIN_STD, SITE, TARGET, TIME
+from sitecast.schema import HORIZON, LOOKBACK, MIN_STD, SITE, TARGET, TIME, WEATHER
 
 
 def with_lag(df: DataFrame, value: str = TARGET, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -90,20 +90,29 @@ def direct_forecast(cell: DataFrame, model: DataFrame) -> DataFrame:
 
 
 # What the pooled linear model sees of a step: the previous target and the time features of
-# the step itself, and the look-back window that ends at the seed.
+# the step itself; and of the look-back window that ends at the seed the mean of every weather
+# feature and of the target, and the share of valid targets.
 STEP_FEATURES = ["prev", *TIME]
-WINDOW_FEATURES = ["window_avg", "window_share"]
+WINDOW_FEATURES = [*[f"{c}_level" for c in WEATHER], "window_avg", "window_share"]
 
 
 def look_back_features(framed: DataFrame, w: WindowSpec, lookback: int, ends: int, value: str) -> DataFrame:
-    """Mean level and valid share of the `lookback` rows that end `-ends` rows back."""
-    back = w.rowsBetween(ends - lookback + 1, ends)
-    return framed.withColumns(
-        {
-            "window_avg": F.avg(F.coalesce(F.col(value), F.lit(0.0))).over(back),
-            "window_share": F.count(F.col(value)).over(back) / lookback,
-        }
-    )
+    """WINDOW_FEATURES of the `lookback` rows that end `-ends` rows back.
+
+    Differences of running sums within the chunk, so a row costs the same for any look-back.
+    """
+    sums = {f"{c}_level": F.coalesce(F.col(c), F.lit(0.0)) for c in WEATHER}
+    sums["window_avg"] = F.coalesce(F.col(value), F.lit(0.0))
+    sums["window_share"] = F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    added = framed.withColumns({f"{n}_sum": F.sum(c).over(upto) for n, c in sums.items()})
+
+    def at(name: str, back: int) -> Column:
+        total = F.col(f"{name}_sum")
+        return F.coalesce(F.lag(total, back).over(w) if back else total, F.lit(0.0))
+
+    out = {n: (at(n, -ends) - at(n, lookback - ends)) / lookback for n in sums}
+    return added.withColumns(out).drop(*[f"{n}_sum" for n in sums])
 
 
 def arx_rows(
@@ -111,19 +120,17 @@ def arx_rows(
 ) -> DataFrame:
     """Training rows of the pooled model; the look-back window ends one row earlier."""
     w = chunk_window(keys)
-    framed = with_halo(df.select(*keys, "row_idx", "n_rows", *TIME, value), before=lookback)
-    framed = look_back_features(framed, w, lookback, -1, value)
+    lean = df.select(*keys, "row_idx", "n_rows", *WEATHER, *TIME, value)
+    framed = look_back_features(with_halo(lean, before=lookback), w, lookback, -1, value)
     framed = framed.withColumn("prev", F.coalesce(F.lag(value, 1).over(w), F.lit(0.0)))
     return drop_halo(framed).filter(F.col("row_idx") >= lookback)
 
 
-def fit_arx(rows: DataFrame, value: str = TARGET, ridge: float = 1e-6) -> LinearRegressionModel:
-    """Pooled one-step linear model by the normal equations (one distributed pass)."""
+def fit_arx(rows: DataFrame, value: str = TARGET) -> LinearRegressionModel:
+    """Pooled one-step least squares by the normal equations (one distributed pass)."""
     assembler = VectorAssembler(inputCols=STEP_FEATURES + WINDOW_FEATURES, outputCol="features")
     usable = rows.filter(F.col(value).isNotNull()).dropna(subset=STEP_FEATURES + WINDOW_FEATURES)
-    fit = LinearRegression(
-        featuresCol="features", labelCol=value, solver="normal", regParam=ridge, standardization=True
-    )
+    fit = LinearRegression(featuresCol="features", labelCol=value, solver="normal")
     return fit.fit(assembler.transform(usable).select("features", value))
 
 
@@ -142,16 +149,16 @@ def arx_forecast(
 ) -> DataFrame:
     """Autoregressive roll-out of the pooled model: cells with `y` and `yhat`.
 
-    With a linear model the roll-out is a weighted sum: what the look-back window gives, what
-    the known features of each step up to the current one give, and the seed.
+    With a linear model a step adds what the look-back window gives and what the known features
+    of the step give to a part of the step before; a sample is folded once for all its steps.
     """
     b = weights["prev"]
     known = sum((F.col(c) * weights[c] for c in TIME), F.lit(0.0))
     sample = samples(
-        df.select(*keys, "row_idx", "n_rows", value, known.alias("known")),
+        df.select(*keys, "row_idx", "n_rows", *WEATHER, value, known.alias("known")),
         value,
         extra=["known"],
-        keep=["window_avg", "window_share"],
+        keep=WINDOW_FEATURES,
         derive=lambda framed, w: look_back_features(framed, w, lookback, 0, value),
         before=lookback - 1,
         lookback=lookback,
@@ -159,16 +166,17 @@ def arx_forecast(
         keys=keys,
     )
     level = sum((F.col(c) * weights[c] for c in WINDOW_FEATURES), F.lit(weights["intercept"]))
-    long = sample.select(
-        *keys, "start_idx", "seed", level.alias("level"), "ahead", F.posexplode("ahead").alias("step", "cell")
+    folded = F.aggregate(
+        "ahead",
+        F.array("seed"),
+        lambda path, c: F.concat(path, F.array(F.element_at(path, -1) * b + F.col("level") + c["known"])),
     )
-    # sum over i <= step of b^(step - i) * (level + known_i)
-    path = F.aggregate(
-        F.slice("ahead", F.lit(1), F.col("step") + 1),
-        F.col("seed"),
-        lambda acc, c: acc * b + F.col("level") + c["known"],
+    path = sample.select(*keys, "start_idx", "seed", "ahead", level.alias("level"))
+    path = path.select(*keys, "start_idx", F.col("ahead.y").alias("y"), folded.alias("path"))
+    long = path.select(*keys, "start_idx", "path", F.posexplode("y").alias("step", "y"))
+    return long.select(
+        *keys, "start_idx", "step", "y", F.get("path", F.col("step") + 1).alias("yhat")
     )
-    return long.select(*keys, "start_idx", "step", F.col("cell.y").alias("y"), path.alias("yhat"))
 
 
 def closed_ar1(a: Column, b: Column, seed: Column, step: Column | int) -> Column:

@@ -331,6 +331,23 @@ def sample_windows(
     return ranked.filter(F.col("pick") <= n).drop("draw")
 
 
+def picked_rows(
+    series: DataFrame,
+    picks: DataFrame,
+    lookback: int = LOOKBACK,
+    horizon: int = HORIZON,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """The rows of `series` that the picked samples (`keys`, start_idx) cover.
+
+    A pick covers lookback + horizon rows, so the lookup table is as bounded as the picks and
+    the series is never moved for them.
+    """
+    span = F.sequence(F.col("start_idx"), F.col("start_idx") + lookback + horizon - 1)
+    rows = picks.select(*keys, F.explode(span).alias("row_idx")).distinct()
+    return series.join(F.broadcast(rows), [*keys, "row_idx"], "left_semi")
+
+
 def _cuts(shares: dict[str, tuple[int, int]], total: int) -> Column:
     return F.array(
         *[

@@ -435,6 +435,55 @@ applied AS (
   FROM dcells c JOIN direct d ON d.campus_key = c.campus_key AND d.step = c.step)
 SELECT dataset, campus_key, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {SCORES}
 FROM applied GROUP BY dataset, campus_key, step""")
+
+# Least squares by taking one feature after the other out of those that follow, then solving
+# backwards.
+_STEP = ["prev", *TIME]
+_WINDOW = [f"{c}_level" for c in WEATHER] + ["window_avg", "window_share"]
+_X = _STEP + _WINDOW
+
+
+def _windows(first: str, last: str) -> str:
+    over = f"OVER (PARTITION BY campus_key ORDER BY row_idx ROWS BETWEEN {first} AND {last})"
+    parts = [f"avg(coalesce({c}, 0)) {over} AS {c}_level" for c in WEATHER]
+    parts += [f"avg(coalesce({TARGET}, 0)) {over} AS window_avg", f"count({TARGET}) {over} / 96e0 AS window_share"]
+    return ", ".join(parts)
+
+
+part("arx_rows", "scaled_all", f"""
+  SELECT * FROM (
+    SELECT row_idx, n_rows, {TARGET} AS y, {", ".join(TIME)}, {_windows("96 PRECEDING", "1 PRECEDING")},
+           coalesce(lag({TARGET}) OVER (PARTITION BY campus_key ORDER BY row_idx), 0) AS prev
+    FROM scaled_all)
+  WHERE row_idx >= 96 AND row_idx < n_rows * 70 // 100 AND y IS NOT NULL""")
+part("arx_means", "arx_rows", "SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in [*_X, "y"]) + " FROM arx_rows")
+part("arx_g0", "arx_rows arx_means", "SELECT " + ", ".join(f"{c} - m_{c} AS {c}" for c in [*_X, "y"]) + " FROM arx_rows, arx_means")
+for _k, _x in enumerate(_X):
+    _later = [*_X[_k + 1 :], "y"]
+    part(f"arx_s{_k}", f"arx_g{_k}", "SELECT " + ", ".join(f"sum({_x} * {c}) / sum({_x} * {_x}) AS s{_k}_{c}" for c in _later) + f" FROM arx_g{_k}")
+    part(f"arx_g{_k + 1}", f"arx_g{_k} arx_s{_k}", "SELECT " + ", ".join(f"{c} - s{_k}_{c} * {_x} AS {c}" for c in _later) + f" FROM arx_g{_k}, arx_s{_k}")
+part(f"arx_b{len(_X)}", "arx_means", "SELECT * FROM arx_means")
+for _k in reversed(range(len(_X))):
+    _less = "".join(f" - s{_k}_{c} * b_{c}" for c in _X[_k + 1 :])
+    part(f"arx_b{_k}", f"arx_s{_k} arx_b{_k + 1}", f"SELECT t.*, s{_k}_y{_less} AS b_{_X[_k]} FROM arx_b{_k + 1} t, arx_s{_k}")
+part("arx_beta", "arx_b0", "SELECT *, m_y" + "".join(f" - b_{c} * m_{c}" for c in _X) + " AS b_0 FROM arx_b0")
+part("arx_seed", "scaled_all arx_beta", f"""
+  SELECT campus_key, row_idx, coalesce({TARGET}, 0) AS seed, b_prev, b_0{"".join(f" + b_{c} * {c}" for c in _WINDOW)} AS level
+  FROM (SELECT campus_key, row_idx, {TARGET}, {_windows("95 PRECEDING", "CURRENT ROW")} FROM scaled_all), arx_beta""")
+part("arx_known", "scaled_all arx_beta", f"""
+  SELECT campus_key, row_idx, {TARGET} AS y, {" + ".join(f"b_{c} * {c}" for c in TIME)} AS known FROM scaled_all, arx_beta""")
+part("arx_cells", "places arx_seed arx_known", """
+  SELECT p.campus_key, p.start_idx, p.step, k.y, s.seed, s.b_prev, s.level + k.known AS gain
+  FROM places p
+  JOIN arx_seed s ON s.campus_key = p.campus_key AND s.row_idx = p.seed_idx
+  JOIN arx_known k ON k.campus_key = p.campus_key AND k.row_idx = p.row_idx""")
+ORACLES["arx_forecast"] = sql("arx_cells", f"""
+, rolled AS (
+  SELECT c.campus_key, c.start_idx, c.step, any_value(c.y) AS y,
+         any_value(pow(c.b_prev, c.step + 1) * c.seed) + sum(pow(c.b_prev, c.step - i.step) * i.gain) AS yhat
+  FROM arx_cells c JOIN arx_cells i ON i.campus_key = c.campus_key AND i.start_idx = c.start_idx AND i.step <= c.step
+  GROUP BY c.campus_key, c.start_idx, c.step)
+SELECT campus_key, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {{SCORES}} FROM rolled GROUP BY campus_key, step""".replace("{SCORES}", SCORES))
 for _name, _col in (("guided", "guided"), ("ar", "ar"), ("hybrid", "hybrid")):
     ORACLES[f"forecast_{_name}"] = sql("fc", f"SELECT campus_key, start_idx, step, {r(_col, 'yhat')} FROM fc")
 ORACLES["prediction_cache"] = ORACLES["forecast_ar"]

@@ -459,8 +459,10 @@ def shuffle_order(spark, sf_dir):
 def forecast_samples(spark, sf_dir):
     """Fifty forecast windows per data set beside the truth."""
     series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
-    sample = SQ.samples(series, keep=MD.model_columns(), keys=DATASET_KEYS)
-    picked = SQ.sample_windows(sample, PICKS, SEED)
+    picks = SQ.sample_windows(SQ.sample_keys(series, keys=DATASET_KEYS), PICKS, SEED)
+    rows = SQ.picked_rows(series, picks, keys=DATASET_KEYS)
+    sample = SQ.samples(rows, keep=MD.model_columns(), keys=DATASET_KEYS)
+    picked = sample.join(F.broadcast(picks), [*DATASET_KEYS, "start_idx"])
     out = EV.in_kilowatts(FC.forecast_ar(SQ.cells(picked)))
     minutes = ((F.col("step") + 1) * 15).alias("minutes_ahead")
     return out.select("dataset", "pick", SITE, "start_idx", minutes, num("y"), num("yhat"))
@@ -512,11 +514,8 @@ def ar1_coefficients(spark, sf_dir):
 
 @query
 def arx_forecast(spark, sf_dir):
-    """Pooled linear model with known-ahead features, rolled out and scored per step."""
-    full = prepare.cycle_features(proxy.target_series(spark, sf_dir))
-    full = prepare.solar_position(full, proxy.places(proxy.events(spark, sf_dir)))
-    lean = full.select(SITE, "row_idx", "n_rows", *TIME, TARGET)
-    scaled = SC.scale_by_site(lean, SC.fit_stats(lean.filter(EV.in_train()), [TARGET]), [TARGET])
+    """Pooled linear model on all encoder inputs, rolled out and scored per step."""
+    scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
     fitted = MD.fit_arx(MD.arx_rows(scaled).filter(EV.in_train()))
     cell = MD.arx_forecast(scaled, MD.arx_weights(fitted))
     out = M.metrics_by_step(cell, keys=[SITE])

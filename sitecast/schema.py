@@ -1,6 +1,4 @@
-"""Column names, sizes and the readings schema."""
-
-from pyspark.sql import types as T
+"""Column names and sizes."""
 
 # Column names and sizes that readings and scaler files use.
 TARGET = "SolarGeneration"
@@ -30,8 +28,3 @@ SLOTS_PER_DAY = 24 * 60 // STEP_MINUTES
 # Rows of one site that share a window partition (10 days). Frames reach at most
 # LOOKBACK rows back, so the copied margin stays near a tenth of the data.
 CHUNK = 960
-
-READINGS = T.StructType(
-    [T.StructField(SITE, T.IntegerType()), T.StructField("ts", T.TimestampNTZType())]
-    + [T.StructField(name, T.DoubleType()) for name in ENCODER]
-)

@@ -12,7 +12,7 @@ from sitecast.operators import segments as SG
 from sitecast.operators import sequences as SQ
 from sitecast.operators import sites as ST
 from sitecast.plans.refine import refine
-from sitecast.schema import ENCODER, TARGET, TIME
+from sitecast.schema import ENCODER, TARGET, TIME, WEATHER
 
 WHOLE = 10_000
 
@@ -159,16 +159,31 @@ def test_one_pass_fit_of_a_flat_and_an_empty_site(spark):
     assert got == {1: (4.0, 0.0), 2: (0.0, 0.0)}
 
 
+def with_inputs(series):
+    """Time features as sines, weather as cosines of the row number; one row in seven without."""
+    time = {c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate(TIME)}
+    seen = F.col("row_idx") % 7 != 3
+    weather = {c: F.when(seen, F.cos(F.col("row_idx") * F.col("row_idx") * (i + 1) / 31.0)) for i, c in enumerate(WEATHER)}
+    return series.withColumns(time | weather)
+
+
+def weather_levels(first, last):
+    """Means of the weather over the rows `first` .. `last` - 1, missing = 0."""
+    return [sum(np.cos(t * t * (i + 1) / 31.0) for t in range(first, last) if t % 7 != 3) / 96 for i in range(len(WEATHER))]
+
+
 def test_arx_rollout_against_a_loop(series, plain):
     """The pooled model's roll-out, step by step, with given weights."""
     weights = dict(intercept=0.2, prev=0.6, window_avg=0.3, window_share=-0.5, **{c: 0.1 * (i + 1) for i, c in enumerate(TIME)})
-    df = series.withColumns({c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate(TIME)})
+    weights |= {f"{c}_level": 0.7 - i for i, c in enumerate(WEATHER)}
+    df = with_inputs(series)
     out = MD.arx_forecast(df, weights).collect()
     assert len(out) == 186 * 20
     for r in out[::37]:
         ys = plain[r.campus_key]
         back = ys[r.start_idx : r.start_idx + 96]
         level = 0.2 + 0.3 * sum(y or 0.0 for y in back) / 96 - 0.5 * sum(y is not None for y in back) / 96
+        level += sum((0.7 - i) * v for i, v in enumerate(weather_levels(r.start_idx, r.start_idx + 96)))
         value = back[-1] or 0.0
         for k in range(r.step + 1):
             t = r.start_idx + 96 + k
@@ -178,14 +193,13 @@ def test_arx_rollout_against_a_loop(series, plain):
 
 
 def test_arx_fit_against_least_squares(series, plain):
-    df = series.withColumns({c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate(TIME)})
-    weights = MD.arx_weights(MD.fit_arx(MD.arx_rows(df), ridge=0.0))
+    weights = MD.arx_weights(MD.fit_arx(MD.arx_rows(with_inputs(series))))
     x, y = [], []
     for ys in plain.values():
         for t in range(96, len(ys)):
             if ys[t] is not None:
                 back = ys[t - 96 : t]
-                x.append([1.0, back[-1] or 0.0, *[np.sin(t * (i + 1) / 9.0) for i in range(4)],
+                x.append([1.0, back[-1] or 0.0, *[np.sin(t * (i + 1) / 9.0) for i in range(4)], *weather_levels(t - 96, t),
                           sum(v or 0.0 for v in back) / 96, sum(v is not None for v in back) / 96])
                 y.append(ys[t])
     want = np.linalg.lstsq(np.array(x), np.array(y), rcond=None)[0]

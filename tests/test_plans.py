@@ -5,7 +5,7 @@ import pytest
 from sitecast.plans.queries import QUERIES
 from tests.conftest import DATA
 
-LAZY = sorted(set(QUERIES) - {"refine_history", "arx_forecast"})
+LAZY = sorted(QUERIES)
 
 
 def plan_of(df):

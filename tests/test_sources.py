@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitecast.operators import models as MD
 from sitecast.operators import scaling as SC
 from sitecast.plans.evaluate import evaluate_files
-from sitecast.schema import ENCODER, SITE, TARGET, TIME
+from sitecast.schema import ENCODER, SITE, TARGET, TIME, WEATHER
 from sitecast.sources import checkpoints, files
 
 SCALER = {
@@ -105,7 +105,7 @@ def test_models_are_reloaded_equal(spark, series, tmp_path):
     table = MD.fit_ar1(series)
     files.save_model(table, str(tmp_path / "ar1"))
     assert sorted(files.load_model(spark, str(tmp_path / "ar1")).collect()) == sorted(table.collect())
-    df = series.withColumns({c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate(TIME)})
+    df = series.withColumns({c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate(TIME + WEATHER)})
     fitted = MD.fit_arx(MD.arx_rows(df))
     files.save_model(fitted, str(tmp_path / "arx"))
     assert MD.arx_weights(files.load_model(spark, str(tmp_path / "arx"))) == MD.arx_weights(fitted)
