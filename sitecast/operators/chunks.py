@@ -125,3 +125,22 @@ def attach_by_site(df: DataFrame, sites: DataFrame, how: str = "inner", key: str
         # Names a left column too, or the optimizer would turn the join back into an inner one.
         joined = joined.filter(F.coalesce(F.col("found"), F.length("site_text") < 0))
     return joined.drop("site_text", "found")
+
+
+def attach_by_chunk(df: DataFrame, sites: DataFrame, width: int = CHUNK) -> DataFrame:
+    """Look up one row per site (with the site's `n_rows`) beside rows with `row_idx`; rows of
+    unknown sites drop out.
+
+    The lookup has one row per chunk of a site, a thousandth of the data, so a site with a third
+    of all rows is joined by as many tasks as it has chunks, whatever size Spark may broadcast.
+    As in `attach_by_site`, only the lookup may be the broadcast side.
+    """
+    last = F.expr(f"(n_rows - 1) div {width}")
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_id")
+    columns = [c for c in sites.columns if c not in (SITE, "n_rows")]
+    right = sites.filter("n_rows > 0").select(SITE, chunk, *columns, F.lit(True).alias("found"))
+    left = df.withColumn("chunk_id", F.expr(f"row_idx div {width}"))
+    joined = left.join(right, [SITE, "chunk_id"], "left")
+    # Names a left column too, or the optimizer would turn the join back into an inner one.
+    joined = joined.filter(F.coalesce(F.col("found"), F.col("chunk_id") < 0))
+    return joined.select(*df.columns, *columns)

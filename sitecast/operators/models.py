@@ -7,7 +7,14 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from sitecast.operators.chunks import KEYS, attach_by_site, chunk_window, drop_halo, with_halo
+from sitecast.operators.chunks import (
+    KEYS,
+    attach_by_chunk,
+    attach_by_site,
+    chunk_window,
+    drop_halo,
+    with_halo,
+)
 from sitecast.operators.sequences import samples
 from sitecast.functions.values import zscore
 from sitecast.schema import HORIZON, LOOKBACK, MIN_STD, SITE, TARGET, TIME, WEATHER
@@ -42,13 +49,14 @@ def fit_scaled_ar1(df: DataFrame, value: str = TARGET, train: Column | None = No
     """Statistics and AR(1) of the scaled series from the raw one, in a single pass.
 
     Scaling moves and stretches both sides of the regression alike: the slope stays and the
-    intercept follows from the mean and spread. Adds `{value}_mean` and `{value}_std`.
+    intercept follows from the mean and spread. Adds `{value}_mean`, `{value}_std` and `n_rows`.
     """
     pairs = with_lag(df.select(SITE, "row_idx", "n_rows", value), value)
     if train is not None:
         pairs = pairs.filter(train)
     mean, std = f"{value}_mean", f"{value}_std"
     fitted = pairs.groupBy(SITE).agg(
+        F.max("n_rows").alias("n_rows"),
         F.avg(value).alias(mean), F.stddev_samp(value).alias(std), *regression(value, "before")
     )
     scaled = F.col(std) > MIN_STD
@@ -60,7 +68,7 @@ def fit_scaled_ar1(df: DataFrame, value: str = TARGET, train: Column | None = No
 
 def attach_model(df: DataFrame, site_model: DataFrame, value: str = TARGET) -> DataFrame:
     """Scale the target and put the site's `a`, `b`, mean and spread beside every row."""
-    joined = attach_by_site(df, site_model.select(SITE, *model_columns(value)))
+    joined = attach_by_chunk(df, site_model.select(SITE, "n_rows", *model_columns(value)))
     scaled = zscore(F.col(value), F.col(f"{value}_mean"), F.col(f"{value}_std"))
     return joined.withColumn(value, scaled)
 

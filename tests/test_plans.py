@@ -41,3 +41,18 @@ def test_readings_are_never_the_broadcast_side(spark):
 def test_top_picks_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(QUERIES["forecast_samples"](spark, DATA))
     assert "WindowGroupLimit" in plan_of(QUERIES["champion_sites"](spark, DATA))
+
+
+def test_models_are_looked_up_by_chunk(spark):
+    """With broadcasts off, no reading is moved by its site alone once the grid is built."""
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for limit in limits:
+            spark.conf.set(limit, "-1")
+        plan = plan_of(QUERIES["evaluation_report"](spark, DATA))
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
+    assert "site_text" not in plan
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("chunk_id" in line for line in joins)
