@@ -20,7 +20,7 @@ from sitecast.llm.shingles import shingle_hashes
 WIDTH, THRESHOLD, FUNCTIONS, SEED = 5, 0.8, 64, 11
 # Shingles of the items that one pass over the documents compares; more items take more passes.
 SHINGLES_PER_PASS = 1 << 20
-BLOCKS_PER_WINDOW, MIN_LEVEL = 5, 2
+MIN_LEVEL = 2
 FILTER_BITS = 22
 BATCH_SHINGLES = 1 << 17
 FOUND = "item_id {key}, n_shared long, n_item long, containment double"
@@ -28,7 +28,29 @@ FOUND = "item_id {key}, n_shared long, n_item long, containment double"
 
 def _multipliers(functions: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, size=functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 1 << 31, size=functions, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _halves(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+
+
+def _halved(n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """For documents of `n` blocks: how many of twice the length, and the two blocks of each."""
+    half = -(-n // 2)
+    owner = np.repeat(np.arange(len(n)), half)
+    start = (np.cumsum(n) - n)[owner]
+    left = 2 * (np.arange(len(owner)) - (np.cumsum(half) - half)[owner])
+    return half, (start + left, start + np.minimum(left + 1, n[owner] - 1))
+
+
+def _windows(n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document of every block, and the blocks one, two and four further on, or its last: the
+    least of five blocks is that of two pairs and the fifth."""
+    owner = np.repeat(np.arange(len(n)), n)
+    last = (np.cumsum(n) - 1)[owner]
+    at = np.arange(len(owner))
+    return owner, np.minimum(at + 1, last), np.minimum(at + 2, last), np.minimum(at + 4, last)
 
 
 class ItemIndex:
@@ -57,7 +79,7 @@ class ItemIndex:
             ]
             known = np.zeros(1 << FILTER_BITS, dtype=bool)
             for v in values:
-                known[v >> (32 - FILTER_BITS)] = True
+                known[v >> np.uint32(32 - FILTER_BITS)] = True
             order = [np.argsort(v, kind="stable") for v in values]
             self.levels[level] = (
                 known,
@@ -66,7 +88,11 @@ class ItemIndex:
             )
 
     def _hashed(self, shingles: np.ndarray, function: int) -> np.ndarray:
-        return ((shingles * self.multipliers[function]) >> np.uint64(32)).astype(np.uint32)
+        """32 bits per shingle: its low half times an odd number, mixed with its high half."""
+        return self._mixed(*_halves(shingles), function)
+
+    def _mixed(self, low: np.ndarray, high: np.ndarray, function: int) -> np.ndarray:
+        return (low * self.multipliers[function]) ^ high
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(place of the document, place of the item) of windows that share a MinHash."""
@@ -75,52 +101,48 @@ class ItemIndex:
             return set()
         sizes = np.array([len(docs[i]) for i in docs_at], dtype=np.int64)
         flat = np.concatenate([docs[i] for i in docs_at])
-        base = min(self.levels)
+        base, top = min(self.levels), max(self.levels)
         # Documents become whole blocks; the last shingle fills the last block up.
         blocks = -(-sizes // (1 << base))
-        ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(sizes)), blocks << base)
         first = np.cumsum(blocks << base) - (blocks << base)
         place = np.arange(len(owner)) - first[owner]
-        spread = flat[np.minimum(place, sizes[owner] - 1) + (ends - sizes)[owner]]
+        low, high = _halves(flat[np.minimum(place, sizes[owner] - 1) + (np.cumsum(sizes) - sizes)[owner]])
+        # Where the blocks of each level lie is the same for all functions.
+        steps, n = [], blocks
+        for level in range(base, top + 1):
+            halves = None
+            if level > base:
+                n, halves = _halved(n)
+            steps.append((level, halves, _windows(n) if level in self.levels else None))
         found: set[tuple[int, int]] = set()
         for f in range(len(self.multipliers)):
-            least = self._hashed(spread, f).reshape(-1, 1 << base).min(axis=1)
-            n = blocks
-            for level in range(base, max(self.levels) + 1):
-                if level > base:
-                    n, least = self._halved(n, least)
-                if level in self.levels:
-                    found |= self._matches(level, f, n, least, docs_at)
+            least = self._mixed(low, high, f)
+            for _ in range(base):
+                least = np.minimum(least[::2], least[1::2])
+            for level, halves, windows in steps:
+                if halves:
+                    least = np.minimum(least[halves[0]], least[halves[1]])
+                if windows:
+                    found |= self._matches(level, f, windows, least, docs_at)
         return found
 
-    @staticmethod
-    def _halved(n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks twice as long."""
-        half = -(-n // 2)
-        owner = np.repeat(np.arange(len(n)), half)
-        start = (np.cumsum(n) - n)[owner]
-        left = 2 * (np.arange(len(owner)) - (np.cumsum(half) - half)[owner])
-        right = np.minimum(left + 1, n[owner] - 1)
-        return half, np.minimum(least[start + left], least[start + right])
-
     def _matches(
-        self, level: int, f: int, n: np.ndarray, least: np.ndarray, docs_at: list[int]
+        self, level: int, f: int, windows: tuple[np.ndarray, ...], least: np.ndarray, docs_at: list[int]
     ) -> set[tuple[int, int]]:
-        owner = np.repeat(np.arange(len(n)), n)
-        last = np.cumsum(n)[owner] - 1
-        at = np.arange(len(owner))
-        window = least
-        for step in range(1, BLOCKS_PER_WINDOW):
-            window = np.minimum(window, least[np.minimum(at + step, last)])
+        owner, one, two, four = windows
+        pair = np.minimum(least, least[one])
+        window = np.minimum(np.minimum(pair, pair[two]), least[four])
         known, values, items = self.levels[level]
-        maybe = np.flatnonzero(known[window >> (32 - FILTER_BITS)])
-        low = np.searchsorted(values[f], window[maybe], "left")
-        high = np.searchsorted(values[f], window[maybe], "right")
+        maybe = np.flatnonzero(known[window >> np.uint32(32 - FILTER_BITS)])
+        if not len(maybe):
+            return set()
+        start = np.searchsorted(values[f], window[maybe], "left")
+        end = np.searchsorted(values[f], window[maybe], "right")
         pairs = set()
-        for i in np.flatnonzero(high > low):
+        for i in np.flatnonzero(end > start):
             doc = docs_at[owner[maybe[i]]]
-            pairs.update((doc, int(j)) for j in items[f][low[i] : high[i]])
+            pairs.update((doc, int(j)) for j in items[f][start[i] : end[i]])
         return pairs
 
     def contained(self, texts: list[str | None], threshold: float) -> Iterator[tuple]:
