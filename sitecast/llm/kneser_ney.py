@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from sitecast.llm.common import cut, ship
 
 BYTES, SHARDS, BUCKET_ROWS = 256, 4, 20_000
+LANGUAGE_PARTS = 64
+# Rows whose trigrams are unpacked at a time.
+SLICE_ROWS = 500
 # A text is rejected beyond the quantile of its language, times TOLERANCE, times a factor that
 # goes to 1 with its length, since the perplexity of a few bytes says little.
 QUANTILE, TOLERANCE_NATS, SHORT_NATS, MIN_TRUSTED, BIN = 0.99, 0.5, 4.0, 20, 1e-3
@@ -75,12 +78,13 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
         for batch in batches:
-            found = [unpacked(g) for g in batch.column(0).to_pylist()]
-            both = np.concatenate([codes, *[f[0] for f in found]])
-            codes, place = np.unique(both, return_inverse=True)
-            counts = np.bincount(
-                place, np.concatenate([counts, *[f[1] for f in found]]), len(codes)
-            ).astype(np.int64)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                found = [unpacked(g) for g in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
+                both = np.concatenate([codes, *[f[0] for f in found]])
+                codes, place = np.unique(both, return_inverse=True)
+                counts = np.bincount(
+                    place, np.concatenate([counts, *[f[1] for f in found]]), len(codes)
+                ).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -218,13 +222,15 @@ def perplexities(docs: DataFrame, shards_of: DataFrame, shards: int = SHARDS) ->
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def score(sent: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        found = [unpacked(g) for g in sent["_grams"]]
-        owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        codes = np.concatenate([f[0] for f in found] or [np.array([], dtype=np.int64)])
-        counts = np.concatenate([f[1] for f in found] or [np.array([], dtype=np.int64)])
-        nats = -log_probabilities(codes, shard.iloc[0].to_dict()) * counts
+        own_shard, sums = shard.iloc[0].to_dict(), []
+        for at in range(0, len(sent), SLICE_ROWS):
+            found = [unpacked(g) for g in sent["_grams"].iloc[at : at + SLICE_ROWS]]
+            owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            codes, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            nats = -log_probabilities(codes, own_shard) * counts
+            sums.append(np.bincount(owner, nats, len(found)))
         return pd.DataFrame(
-            {"_row": sent["_row"], "_n": sent["_n"], "_nats": np.bincount(owner, nats, len(found))}
+            {"_row": sent["_row"], "_n": sent["_n"], "_nats": np.concatenate(sums)}
         )
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
@@ -283,8 +289,11 @@ def _judged(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
     scored = cut(perplexities(docs, cut(model(counts, shards)), shards))
     limits = cut(thresholds(scored.join(trusted.distinct(), "doc_id", "left_semi")))
     whole = limits.filter("lang = '*'").first()
-    own = limits.filter("lang <> '*'").select(F.col("lang").alias("_lang"), "limit")
-    wanted = F.coalesce("lang", F.lit("")) == F.col("_lang")
+    # A language can hold nearly all rows, so each is looked up in LANGUAGE_PARTS parts.
+    part = F.explode(F.sequence(F.lit(0), F.lit(LANGUAGE_PARTS - 1))).alias("_part")
+    own = limits.filter("lang <> '*'").select(F.col("lang").alias("_of"), "limit", part)
+    scored = scored.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(LANGUAGE_PARTS)))
+    wanted = (F.coalesce("lang", F.lit("")) == F.col("_of")) & (F.col("_at") == F.col("_part"))
     slack = F.lit(TOLERANCE_NATS) + F.lit(SHORT_NATS) / F.sqrt(F.col("n_bytes"))
     top = F.coalesce("limit", F.lit(whole["limit"] if whole else None).cast("double")) + slack
     known = F.col("nats").isNotNull()
@@ -293,6 +302,7 @@ def _judged(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
         scored.join(own, wanted, "left")
         .withColumn("top", F.when(known, top))
         .withColumn("kept", known & passed)
+        .drop("_of", "_part", "_at", "limit")
     )
 
 
