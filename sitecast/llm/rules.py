@@ -44,7 +44,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("repeated_lines", F.col("n_dup_lines") * 2 > lines),
         Rule("capitals", _kept_chars(t, r"\p{Lu}") > _kept_chars(t, r"\p{Ll}")),
         Rule("digits", _kept_chars(t, r"0-9") * 3 > F.length(t)),
-        Rule("no_letters", F.regexp_count(t, F.lit(r"\p{L}")) * 2 < F.col("word_chars")),
+        Rule("no_letters", _kept_chars(t, r"\p{L}") * 2 < F.col("word_chars")),
         Rule("bullets", _lines_like(t, r"^[\x20\t]*[-*•]") * 10 > 9 * lines),
         Rule("ellipses", _lines_like(t, r"(\.\.\.|…)[\x20\t]*$") * 10 > 3 * lines),
     ]

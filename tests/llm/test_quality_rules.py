@@ -32,7 +32,8 @@ def test_verdicts_do_not_depend_on_the_order(spark, docs):
     rows = [(1, PROSE), (2, JUNK), (3, SHOUT), (4, None), (5, "short"), (1, PROSE)]
     got = {r["doc_id"]: r for r in rules.apply_rules(docs(rows, extra=True)).collect()}
     assert [got[i]["kept"] for i in (1, 2, 3, 4, 5)] == [True, False, False, False, False]
-    assert (got[2]["rejected_by"], got[3]["rejected_by"], got[5]["rejected_by"]) == ("symbols", "capitals", None)
+    assert got[2]["rejected_by"] in ("symbols", "no_letters")  # whichever the cascade asks first
+    assert (got[3]["rejected_by"], got[5]["rejected_by"]) == ("capitals", None)
     kept = rules.keep(docs(rows, extra=True), rules.default_rules()[::-1])
     assert [r["doc_id"] for r in kept.collect()] == [1, 1]
     assert kept.columns == docs(rows, extra=True).columns
