@@ -166,7 +166,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
             kind = batch.schema.field(0).type
             owners = batch.column(0).to_pylist()
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            ids_of = encode_texts(tokenizer, batch.column(1).to_pylist(), end_id)
+            ids_of = encode_texts(tokenizer, batch.column(1), end_id)
             for owner, ids in zip(owners, ids_of, strict=True):
                 names.append(owner)
                 sizes.append(len(ids))

@@ -46,7 +46,7 @@ def token_pieces(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, rows = [], []
-            for at, ids in enumerate(encode_texts(tokenizer, batch.column(1).to_pylist(), end_id)):
+            for at, ids in enumerate(encode_texts(tokenizer, batch.column(1), end_id)):
                 for number, (start, size) in enumerate(cuts(len(ids), capacity)):
                     owner.append(at)
                     rows.append((number, start, size, crc32_of(ids[start : start + size])))

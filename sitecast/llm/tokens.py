@@ -1,22 +1,28 @@
 """Token ids of whole texts, encoded inside Spark tasks with a public byte-level BPE."""
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
 
 END_ID = 2
-# Pieces kept per worker, in two generations; they set the speed, never the ids. A third of a
-# corpus' words can be rare, but a million of the frequent ones are over 95 % of its text.
-KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
-# The vocabulary cuts a text before every single space between two other characters, whatever
-# stands around, so the pieces between such places can be encoded one by one.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+# Words kept per worker, in two generations; they set the speed, never the ids. A third of a
+# corpus' words can be rare, but half a million of the frequent ones are over 95 % of its text.
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+# Stand-ins while a text is cut: for the place before a word without a space (BARE), and for a
+# point, a comma and a line end.
+BARE, POINT, COMMA, LINE = "\x01", "\x02", "\x03", "\x04"
 
 
-class PieceEncoder:
-    """Encodes texts piece by piece and remembers frequent pieces; ids come as uint16 bytes."""
+class WordEncoder:
+    """Encodes texts word by word and remembers frequent words; ids come as uint16 bytes.
+
+    In the vocabulary's pattern a space belongs to the word after it, and letters or digits
+    never share a token with a point, a comma or a line end beside them. So a text can be cut
+    there and its words encoded one by one. Texts with other runs of white space or of marks
+    are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -25,114 +31,104 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.line_end = self._ids("\n")
-        self.first = Pieces("", KEPT_PIECES // 10)
-        self.rest = Pieces(" ", KEPT_PIECES)
+        self.fixed = {"": None, BARE: None, POINT: self._ids("."), COMMA: self._ids(","), LINE: self._ids("\n")}
+        self.known: dict[str, bytes | None] = dict(self.fixed)
+        self.older: dict[str, bytes | None] = {}
+        self.odd: set[str] = set()  # known words that end in a mark
 
     def _ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u2").tobytes()
 
-    def _learn(self, pieces: "Pieces", parts: set[str]) -> None:
-        """Ids of new pieces; None where a piece begins or ends in white space of its own."""
-        known, lead, plain = pieces.known, pieces.lead, []
-        for part in pieces.recalled(parts):
-            if part.isalnum() or part and part.split() == part.split("\n"):
-                plain.append(part)
-            elif part == "" and not lead:
-                known[part] = b""
-            elif (lead and (part == "" or part[0].isspace())) or part[-1].isspace():
-                known[part] = None
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        if ".." in text or ",." in text or any(c in text for c in (BARE, POINT, COMMA, LINE)):
+            return None
+        marked = f"{BARE}{text} ".replace(".\n", f" {POINT} {LINE} {BARE}")
+        marked = marked.replace("\n", f" {LINE} {BARE}")
+        parts = marked.replace(". ", f" {POINT} ").replace(", ", f" {COMMA} ").split(" ")
+        parts.pop()
+        return parts
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words, encoded as the lines of one text: a line end is a token of its own
+        before a letter, a mark or a single space. None for words that hold white space."""
+        plain = []
+        for word in new:
+            if word in self.older:
+                self.known[word] = self.older[word]
+            elif word.isalnum() or len(word.split()) == 1 and word == word.strip():
+                plain.append(word)
             else:
-                known[part] = self._ids(lead + part)
-        # A single line end is a token of its own before a letter or a single space, so many
-        # pieces, of one line or more, are encoded as the lines of one text.
-        mark = np.frombuffer(self.line_end, "<u2")[0]
+                self.known[word] = None
+            if not word[-1].isalnum():
+                self.odd.add(word)
+        line_end = np.frombuffer(self.fixed[LINE], "<u2")[0]
         for i in range(0, len(plain), 4096):
             some = plain[i : i + 4096]
-            ids = self._ids("\n".join([lead + p for p in some]))
-            ends = [*(np.flatnonzero(np.frombuffer(ids, "<u2") == mark) * 2).tolist(), len(ids)]
-            line, at = 0, 0
-            for part in some:
-                line += part.count("\n")
-                known[part] = ids[at : ends[line]]
-                at = ends[line] + 2
-                line += 1
+            ids = self._ids("\n".join([w[1:] if w[0] == BARE else " " + w for w in some]))
+            ends = (np.flatnonzero(np.frombuffer(ids, "<u2") == line_end) * 2).tolist()
+            starts = [0, *(end + 2 for end in ends)]
+            self.known.update((w, ids[a:b]) for w, a, b in zip(some, starts, [*ends, len(ids)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        first, rest = self.first.known, self.rest.known
-        heads = [parts.pop(0) for parts in split]
+        split = [self._cut(t) for t in texts]
         new: set[str] = set()
         for parts in split:
-            new.update(filterfalse(rest.__contains__, parts))
-        self._learn(self.rest, new)
-        self._learn(self.first, set(filterfalse(first.__contains__, heads)))
+            if parts:
+                new.update(filterfalse(self.known.__contains__, parts))
+        self._learn(new)
         out = []
-        for text, head, parts in zip(texts, heads, split, strict=True):
-            try:
-                out.append(b"".join([first[head], *map(rest.__getitem__, parts)]))
-            except TypeError:  # a run of white space, which a cut at every space would tear
-                out.append(b"".join([self._ids(piece) for piece in CUT.split(text)]))
-        self.first.age()
-        self.rest.age()
+        for text, parts in zip(texts, split, strict=True):
+            ids = None
+            if parts and (self.odd.isdisjoint(parts) or not self._marks_meet(parts)):
+                try:
+                    ids = b"".join(map(self.known.__getitem__, parts))
+                except TypeError:  # None: a word that cannot be cut out
+                    pass
+            out.append(self._ids(text) if ids is None else ids)
+        for word in [w for w in new if len(w) > KEPT_LENGTH]:
+            del self.known[word]
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known, self.older = dict(self.fixed), self.known
+            self.odd = {w for w in self.odd if w in self.older}
         return out
 
-
-class Pieces:
-    """Ids of pieces after `lead`; when the newer half is full the older one is forgotten."""
-
-    def __init__(self, lead: str, limit: int):
-        self.lead, self.limit = lead, limit
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
-        self.long: list[str] = []
-
-    def recalled(self, parts: set[str]) -> list[str]:
-        """Takes what the older half knows; returns the rest."""
-        unknown = []
-        for part in parts:
-            if part in self.older:
-                self.known[part] = self.older[part]
-            else:
-                unknown.append(part)
-        self.long = [p for p in unknown if len(p) > KEPT_LENGTH]
-        return unknown
-
-    def age(self) -> None:
-        for part in self.long:
-            del self.known[part]
-        self.long = []
-        if len(self.known) > self.limit // 2:
-            self.known, self.older = {}, self.known
+    def _marks_meet(self, parts: list[str]) -> bool:
+        """Whether a point or comma follows a word that ends in a mark: one token may hold both."""
+        return any(b in (POINT, COMMA) and a in self.odd for a, b in zip(parts, parts[1:], strict=False))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
-def text_batches(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of about `limit` characters, with the place of their first text; NULL is empty."""
-    run, size, at = [], 0, 0
-    for i, text in enumerate(texts):
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield at, run
-            run, size, at = [], 0, i + 1
+def text_runs(texts: Sequence[str | None] | pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of about `limit` characters; NULL is empty. Arrow columns are unfolded in parts."""
+    run, size = [], 0
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for text in part.to_pylist() if isinstance(part, pa.Array) else part:
+            run.append(text or "")
+            size += len(run[-1])
+            if size >= limit:
+                yield run
+                run, size = [], 0
     if run:
-        yield at, run
+        yield run
 
 
-def encode_texts(path: str, texts: list[str | None], end_id: int = END_ID) -> Iterator[np.ndarray]:
+def encode_texts(
+    path: str, texts: Sequence[str | None] | pa.Array, end_id: int = END_ID
+) -> Iterator[np.ndarray]:
     """Ids of each text with the end id after them."""
     end = np.array([end_id], dtype="<u2").tobytes()
-    for _, run in text_batches(texts):
+    for run in text_runs(texts):
         for ids in encoder(path).encode(run):
             yield np.frombuffer(ids + end, dtype="<u2")
