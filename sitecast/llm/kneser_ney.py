@@ -89,7 +89,9 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {key}, grams binary")
-    mine = rows.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The ids grow with the corpus: the same join at every size, not a broadcast of the first few.
+    ids = trusted.select("doc_id").distinct().hint("merge")
+    mine = rows.join(ids, "doc_id", "left_semi")
     partial = mine.select("grams").mapInArrow(count, "code long, n long")
     return partial.groupBy("code").agg(F.sum("n").alias("n"))
 
