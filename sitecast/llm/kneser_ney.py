@@ -1,99 +1,134 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model has order three over the 256 values of UTF-8 bytes, so it knows any script and has at
-most 2^24 trigrams, whatever the corpus. Its counts cover all trusted texts. Scoring never ships
-the model as a whole: trigram probabilities live in shards by context, every document sends the
-counts of its distinct trigrams to the shards that hold them, and the partial sums come back as
-its perplexity. Thresholds are quantiles of the trusted texts of each language.
+The model has order three over UTF-8 bytes, so it knows any script, and its n-grams of all orders
+grow with the trusted texts. Nothing holds it as a whole: n-grams lie in shards by the two bytes
+before the last, which has every order from three on with its contexts in one shard. Documents
+are dealt into blocks; a block sends the distinct n-grams of all its texts to the shards, once
+each, with how often its trusted texts have them. The shards sum these counts, answer each block
+with its probabilities, and the block scores its texts. Shards and blocks are as many as the
+corpus has bytes for.
+
+Limits come from label-quality-1 texts that the model they are scored with has not seen, by
+language and length.
 """
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sitecast.llm.common import cut, ship
+from sitecast.llm.common import bytes_of, cut, ship
 
-BYTES, SHARDS, BUCKET_ROWS = 256, 4, 20_000
+# Bytes of an n-gram, 3 to 8: it is kept in 64 bits.
+ORDER = 3
+BYTES = 256
+# Bytes of text for each shard and for each block of documents.
+SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 32_000_000, 64_000_000, 4
 LANGUAGE_PARTS = 64
-# Rows whose trigrams are unpacked at a time.
-SLICE_ROWS = 500
-# A text is rejected beyond the quantile of its language, times TOLERANCE, times a factor that
-# goes to 1 with its length, since the perplexity of a few bytes says little.
-QUANTILE, TOLERANCE_NATS, SHORT_NATS, MIN_TRUSTED, BIN = 0.99, 0.5, 4.0, 20, 1e-3
+# Bytes of text whose n-grams are taken at a time.
+SLICE_BYTES, TALLY_ROWS = 2_000_000, 4_000_000
+QUANTILE, MIN_TRUSTED, BIN = 0.99, 20, 1e-3
 DEFAULT_DISCOUNTS = (0.5, 0.75, 0.9)
 
 
+def codes_of(raw: bytes, order: int) -> np.ndarray:
+    """The n-gram that ends at each byte of `raw`, after order - 1 line ends, first byte highest."""
+    wide = np.frombuffer(b"\n" * (order - 1) + raw, dtype=np.uint8).astype(np.uint64)
+    out = np.zeros(len(raw), np.uint64)
+    for i in range(order):
+        out = (out << np.uint64(8)) | wide[i : i + len(raw)]
+    return out
+
+
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct byte trigrams of a text after two line ends, sorted, and how often each occurs."""
-    raw = np.frombuffer(b"\n\n" + (text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    wide = raw.astype(np.uint32)
-    codes, counts = np.unique((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:], return_counts=True)
-    return codes, counts.astype(np.int64)
+    return np.unique(codes_of(_encoded(text), 3), return_counts=True)
+
 
+def _last(codes: np.ndarray, order: int) -> np.ndarray:
+    """The last `order` bytes of n-grams."""
+    return codes & np.uint64((1 << 8 * order) - 1)
 
-def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted codes as steps and their counts, in single bytes where they fit, compressed."""
-    steps = np.diff(codes.astype(np.int64), prepend=0)
-    parts = [np.array([len(codes)], dtype="<u4").tobytes()]
-    parts += [np.minimum(x, 255).astype(np.uint8).tobytes() for x in (steps, counts)]
-    parts += [x[x >= 255].astype("<u4").tobytes() for x in (steps, counts)]
-    return zstandard.compress(b"".join(parts), 1)
 
+def packed(codes: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted codes as steps, and counts, each as planes of bytes, compressed."""
+    steps = np.diff(codes.astype(np.uint64), prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T) for x in (steps, *counts)]
+    sizes = np.array([len(planes), len(codes)], "<u8")
+    return zstandard.compress(b"".join(x.tobytes() for x in (sizes, *planes)), 3)
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+
+def unpacked(data: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    out, at = [], 4 + 2 * n
-    for i in range(2):
-        x = np.frombuffer(raw, np.uint8, n, 4 + i * n).astype(np.int64)
-        wide = np.flatnonzero(x == 255)
-        x[wide] = np.frombuffer(raw, "<u4", len(wide), at)
-        at += 4 * len(wide)
-        out.append(x)
-    return np.cumsum(out[0]), out[1]
+    k, n = np.frombuffer(raw, "<u8", 2).tolist()
+    planes = np.frombuffer(raw, np.uint8, offset=16).reshape(k, 8, n)
+    out = [np.ascontiguousarray(p.T).view("<u8").reshape(n) for p in planes]
+    return [np.cumsum(out[0], dtype=np.uint64), *[x.astype(np.int64) for x in out[1:]]]
 
 
 def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
-    """By context, the first two bytes."""
-    return ((codes >> 8) * 40503 >> 4) % shards
+    """By the two bytes before the last."""
+    mixed = (_last(codes, 3) >> np.uint64(8)) * np.uint64(2654435761) >> np.uint64(7)
+    return (mixed % np.uint64(shards)).astype(np.int64)
 
 
-def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(code, n) over all `docs` whose doc_id is in `trusted`: one partial row per code and task.
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    every, place = np.unique(np.concatenate([np.array([], np.uint64), *codes]), return_inverse=True)
+    both = np.concatenate([np.array([], np.int64), *counts])
+    return every, np.bincount(place, both, len(every)).astype(np.int64)
 
-    What is joined with the ids is each document's packed trigrams, not its text.
-    """
-    ship(docs.sparkSession)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [packed(*trigrams(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["doc_id", "grams"])
+class _Tally:
+    """Sums of counts per code; what is added waits until it is as much as what is there."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                found = [unpacked(g) for g in batch.column(0).slice(at, SLICE_ROWS).to_pylist()]
-                both = np.concatenate([codes, *[f[0] for f in found]])
-                codes, place = np.unique(both, return_inverse=True)
-                counts = np.bincount(
-                    place, np.concatenate([counts, *[f[1] for f in found]]), len(codes)
-                ).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    key = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(pack, f"doc_id {key}, grams binary")
-    # The ids grow with the corpus: the same join at every size, not a broadcast of the first few.
-    ids = trusted.select("doc_id").distinct().hint("merge")
-    mine = rows.join(ids, "doc_id", "left_semi")
-    partial = mine.select("grams").mapInArrow(count, "code long, n long")
-    return partial.groupBy("code").agg(F.sum("n").alias("n"))
+    def __init__(self):
+        self.codes, self.counts, self.size = [], [], 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.counts.append(counts)
+        self.size += len(codes)
+        if self.size > max(TALLY_ROWS, 2 * len(self.codes[0])):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = _summed(self.codes, self.counts)
+        self.codes, self.counts, self.size = [codes], [counts], len(codes)
+        return codes, counts
+
+
+class _Places:
+    """Where codes lie in a sorted array that has them all: by a hash, else by bisection."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.bits = codes, (4 * len(codes) + 1).bit_length()
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.slots[self._slot(codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(codes)]
+        lost = np.flatnonzero(self.codes[at] != codes)
+        at[lost] = np.searchsorted(self.codes, codes[lost])
+        return at
+
+
+def _fold(raw: bytes) -> int:
+    """One of two folds, the same for equal texts."""
+    return zlib.crc32(raw) & 1
 
 
 def discounts(found: dict[int, int]) -> np.ndarray:
@@ -110,11 +145,6 @@ def discounts(found: dict[int, int]) -> np.ndarray:
     return np.array(out)
 
 
-def _of_counts(counts: DataFrame, column: str) -> np.ndarray:
-    few = counts.filter(F.col(column) <= 4).groupBy(column).count().collect()
-    return discounts({r[column]: r["count"] for r in few})
-
-
 def lower_orders(bigrams: dict[int, int]) -> np.ndarray:
     """p(c | b) for all 2^16 bigrams, from their continuation counts."""
     codes = np.array(sorted(bigrams), dtype=np.int64)
@@ -134,129 +164,278 @@ def lower_orders(bigrams: dict[int, int]) -> np.ndarray:
     return p2
 
 
-def model(counts: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per shard: its trigrams with log p, its contexts with log of the mass they leave.
+class Levels:
+    """The n-grams of orders three and up of one shard, of counts of those of the highest order."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
+        self.of = {order: (codes, counts)}
+        for m in range(order - 1, 1, -1):
+            self.of[m] = np.unique(_last(self.of[m + 1][0], m), return_counts=True)
+
+    def frequencies(self) -> list[tuple[int, int, int]]:
+        """(order, count up to 4, n-grams that have it), and (2, bigram, its continuations)."""
+        out = [(2, c, n) for c, n in zip(*(x.tolist() for x in self.of[2]), strict=True)]
+        for m, (_, counts) in self.of.items():
+            if m > 2:
+                out += [(m, k, int((counts == k).sum())) for k in (1, 2, 3, 4)]
+        return out
+
+    def log_probabilities(self, codes: np.ndarray, cuts: dict[int, np.ndarray], p2: np.ndarray) -> np.ndarray:
+        """log p of the last byte of sorted n-grams after the others."""
+        p = p2[_last(codes, 2).astype(np.int64)]
+        for m in sorted(self.of)[1:]:
+            known, counts = self.of[m]
+            if not len(known):
+                continue
+            cut_off = cuts[m][np.minimum(counts, 3)]
+            contexts, place = np.unique(known >> np.uint64(8), return_inverse=True)
+            total = np.bincount(place, counts)
+            mine = _last(codes, m)
+            at = np.minimum(np.searchsorted(contexts, mine >> np.uint64(8)), len(contexts) - 1)
+            met = contexts[at] == mine >> np.uint64(8)
+            p[met] *= (np.bincount(place, cut_off) / total)[at[met]]
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            met = known[at] == mine
+            p[met] += ((counts - cut_off) / total[place])[at[met]]
+        return np.log(p)
+
+
+# Which counts a model has: those of all trusted texts, or of one fold.
+_ALL, _FOLDS = 2, (0, 1)
+
+
+def _counts_of(n: list[np.ndarray], which: int) -> np.ndarray:
+    return n[0] + n[1] if which == _ALL else n[which]
+
+
+def _dealt(docs: DataFrame, block: Column) -> DataFrame:
+    """(block, rows): the columns of `docs`, bundled per block and Arrow batch, compressed."""
+    names = docs.columns
 
-    `counts` (code, n) is joined with the totals of its contexts, shard by shard. Only the 2^16
-    bigrams and twelve numbers pass through the driver. Columns: shard, codes, logp, contexts,
-    logfree, logp2 (the bigrams, in every shard).
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(len(names)).to_numpy()
+            rows = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+            found, bundles = np.unique(blocks), []
+            for k in found.tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows.take(pa.array(np.flatnonzero(blocks == k))))
+                bundles.append(zstandard.compress(sink.getvalue(), 6))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array(bundles, pa.binary())], names=["block", "rows"]
+            )
+
+    return docs.withColumn("_block", block).mapInArrow(bundle, "block int, rows binary")
+
+
+def _table(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
+def _flags(rows: pa.Table, ids: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a label of quality 1, and which of these are trusted."""
+    good = pc.is_in(rows["doc_id"], ids["doc_id"].combine_chunks(), skip_nulls=True)
+    trusted = pc.is_in(rows["doc_id"], ids.filter(ids["trusted"])["doc_id"].combine_chunks(), skip_nulls=True)
+    return tuple(x.to_numpy().astype(bool) for x in (good, trusted))
+
+
+def _asked(dealt: DataFrame, ids: DataFrame, order: int, shards: int) -> DataFrame:
+    """What each block asks of each shard: block, shard, others, own.
+
+    `own` has the n-grams of its trusted texts with their counts in either fold, `others` the
+    rest. Under shard -1 it has the block's part of `ids`.
     """
-    ship(counts.sparkSession)
-    d3 = _of_counts(counts, "n")
-    seen = counts.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).count().collect()
-    p2 = lower_orders({r["code"]: r["count"] for r in seen})
-    context = F.shiftright("code", 8)
-    cut_off = F.when(F.col("n") == 1, d3[1]).when(F.col("n") == 2, d3[2]).otherwise(d3[3])
-    rows = counts.withColumn("context", context).withColumn("d", cut_off)
-    totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-    joined = rows.join(totals, "context").withColumn("shard", F.lit(0))
-
-    def shard_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            frame["shard"] = _shard_of(frame["code"].to_numpy(), shards)
-            yield frame
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("code")
-        codes = frame["code"].to_numpy()
-        free = (frame["left"] / frame["total"]).to_numpy()
-        p = ((frame["n"] - frame["d"]) / frame["total"]).to_numpy() + free * p2[codes & 0xFFFF]
-        contexts, first = np.unique(codes >> 8, return_index=True)
-        arrays = [codes.astype("<u4"), np.log(p), contexts.astype("<u4"), np.log(free[first]), np.log(p2)]
-        names = ["codes", "logp", "contexts", "logfree", "logp2"]
-        data = {n: [a.tobytes()] for n, a in zip(names, arrays, strict=True)}
-        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], **data})
-
-    every = counts.sparkSession.createDataFrame(
-        [(i, b"", b"", b"", b"", np.log(p2).tobytes()) for i in range(shards)], _MODEL
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty, tallies = np.array([], np.uint64), [_Tally(), _Tally(), _Tally()]
+        for bundle in left["rows"]:
+            rows = _table(bundle.as_py())
+            _, trusted = _flags(rows, right)
+            texts, size = [[], [], []], 0
+            for i, text in enumerate(rows["text"].to_pylist()):
+                raw = _encoded(text)
+                texts[_fold(raw) if trusted[i] else 2].append(codes_of(raw, order))
+                size += len(raw)
+                if size < SLICE_BYTES and i < rows.num_rows - 1:
+                    continue
+                for tally, found in zip(tallies, texts, strict=True):
+                    tally.add(*np.unique(np.concatenate([empty, *found]), return_counts=True))
+                texts, size = [[], [], []], 0
+        (*codes, seen), (*counts, _) = zip(*(t.sums() for t in tallies), strict=True)
+        own = np.union1d(*codes)
+        n = [np.zeros(len(own), np.int64) for _ in _FOLDS]
+        for k in _FOLDS:
+            n[k][np.searchsorted(own, codes[k])] = counts[k]
+        others = np.setdiff1d(seen, own, assume_unique=True)
+        at_own, at_others = _shard_of(own, shards), _shard_of(others, shards)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, right.schema) as out:
+            out.write_table(right)
+        block = (left if left.num_rows else right)["block"][0].as_py()
+        asked = [(block, -1, b"", zstandard.compress(sink.getvalue(), 3))] if left.num_rows else []
+        for k in np.union1d(at_own, at_others).tolist():
+            mine = at_own == k
+            asked.append((block, k, packed(others[at_others == k]), packed(own[mine], n[0][mine], n[1][mine])))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        arrays = [pa.array([a[i] for a in asked], t) for i, t in enumerate(kinds)]
+        return pa.Table.from_arrays(arrays, names=["block", "shard", "others", "own"])
+
+    return (
+        dealt.groupBy("block")
+        .cogroup(ids.groupBy("block"))
+        .applyInArrow(ask, "block int, shard int, others binary, own binary")
     )
-    known = joined.mapInPandas(shard_rows, joined.schema).groupBy("shard").applyInPandas(pack, _MODEL)
-    return known.unionByName(every.join(known.select("shard"), "shard", "left_anti"))
 
 
-_MODEL = "shard int, codes binary, logp binary, contexts binary, logfree binary, logp2 binary"
+def _counted(asked: DataFrame) -> DataFrame:
+    """(shard, grams): n-grams of all trusted texts and their counts in either fold."""
 
+    def count(part: pa.Table) -> pa.Table:
+        codes, n = np.array([], np.uint64), [np.array([], np.int64)] * 2
+        for data in part["own"]:
+            new, *more = unpacked(data.as_py())
+            n = [_summed([codes, new], [n[k], more[k]])[1] for k in _FOLDS]
+            codes = np.union1d(codes, new)
+        return pa.table({"shard": part["shard"].slice(0, 1), "grams": pa.array([packed(codes, *n)], pa.binary())})
 
-def log_probabilities(codes: np.ndarray, shard: dict[str, bytes]) -> np.ndarray:
-    """log p of the last byte of every trigram after its first two; all contexts in `shard`."""
-    known = np.frombuffer(shard["codes"], "<u4").astype(np.int64)
-    contexts = np.frombuffer(shard["contexts"], "<u4").astype(np.int64)
-    out = np.frombuffer(shard["logp2"], "<f8")[codes & 0xFFFF].copy()
-    if len(known):
-        at = np.minimum(np.searchsorted(contexts, codes >> 8), len(contexts) - 1)
-        met = contexts[at] == codes >> 8
-        out[met] += np.frombuffer(shard["logfree"], "<f8")[at[met]]
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        met = known[at] == codes
-        out[met] = np.frombuffer(shard["logp"], "<f8")[at[met]]
-    return out
+    return asked.filter("shard >= 0").select("shard", "own").groupBy("shard").applyInArrow(count, "shard int, grams binary")
 
 
-def perplexities(docs: DataFrame, shards_of: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The columns of `docs` but its last, the text, with n_bytes and nats per row.
+def _frequencies(counted: DataFrame, order: int) -> dict[tuple[int, int], dict[int, int]]:
+    """Levels.frequencies of each model, summed over the shards: {(model, order): {key: n}}.
 
-    nats is the mean of -log p per byte, NULL without bytes. Every row sends its packed trigrams
-    to the shards; buckets of rows keep a task's share bounded, and the model's shard goes to
-    each bucket.
+    At most 2^16 bigrams and four numbers per order and model reach the driver.
     """
-    ship(docs.sparkSession)
-    *own, text = docs.columns
-    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *own, text)
-    width = len(own) + 1
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, number, size, grams = [], [], [], []
-            for i, content in enumerate(batch.column(width).to_pylist()):
-                codes, counts = trigrams(content)
-                shard = _shard_of(codes.astype(np.int64), shards)
-                for k in np.unique(shard).tolist() or [0]:
-                    at.append(i)
-                    number.append(k)
-                    mine = shard == k
-                    size.append(int(counts[mine].sum()))
-                    grams.append(packed(codes[mine], counts[mine]))
-            take = pa.array(at, pa.int64())
-            columns = [batch.column(i).take(take) for i in range(width)]
-            columns += [pa.array(number, pa.int32()), pa.array(size, pa.int64()), pa.array(grams, pa.binary())]
-            names = [*batch.schema.names[:width], "_shard", "_n", "_grams"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    def score(sent: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        own_shard, sums = shard.iloc[0].to_dict(), []
-        for at in range(0, len(sent), SLICE_ROWS):
-            found = [unpacked(g) for g in sent["_grams"].iloc[at : at + SLICE_ROWS]]
-            owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            codes, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            nats = -log_probabilities(codes, own_shard) * counts
-            sums.append(np.bincount(owner, nats, len(found)))
-        return pd.DataFrame(
-            {"_row": sent["_row"], "_n": sent["_n"], "_nats": np.concatenate(sums)}
-        )
+            for data in batch.column(0).to_pylist():
+                codes, *n = unpacked(data)
+                for which in (*_FOLDS, _ALL):
+                    mine = _counts_of(n, which)
+                    rows = Levels(codes[mine > 0], mine[mine > 0], order).frequencies()
+                    arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+                    model = pa.array([which] * len(rows), pa.int64())
+                    yield pa.RecordBatch.from_arrays([model, *arrays], names=["model", "m", "key", "n"])
+
+    rows = counted.select("grams").mapInArrow(of_shard, "model long, m long, key long, n long")
+    out = {(which, m): {} for which in (*_FOLDS, _ALL) for m in range(2, order + 1)}
+    for r in rows.groupBy("model", "m", "key").agg(F.sum("n").alias("n")).collect():
+        out[r["model"], r["m"]][r["key"]] = r["n"]
+    return out
 
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
-    sent = rows.mapInArrow(split, f"_row long, {kept}_shard int, _n long, _grams binary")
-    sent = sent.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
-    spread = shards_of.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    spread = spread.withColumnRenamed("shard", "_shard")
-
-    def scored(sent: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([score(sent, shard), sent[own]], axis=1)
-
-    found = (
-        sent.groupBy("_shard", "_bucket")
-        .cogroup(spread.groupBy("_shard", "_bucket"))
-        .applyInPandas(
-            lambda x, m: scored(x, m) if len(x) else pd.DataFrame(columns=["_row", "_n", "_nats", *own]),
-            f"_row long, _n long, _nats double, {kept[:-2]}",
+
+def _answered(asked: DataFrame, counted: DataFrame, order: int) -> DataFrame:
+    """The rows of `asked` with logs: log p of `others` and `own` under all trusted texts, then of
+    the n-grams of either fold under the texts of the other one."""
+    found = _frequencies(counted, order)
+    models = {
+        which: (
+            {m: discounts(found[which, m]) for m in range(3, order + 1)},
+            lower_orders(found[which, 2]),
         )
+        for which in (*_FOLDS, _ALL)
+    }
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, *n = unpacked(right["grams"][0].as_py())
+        levels = {}
+        for which in models:
+            mine = _counts_of(n, which)
+            levels[which] = Levels(known[mine > 0], mine[mine > 0], order)
+        logs = []
+        for others, own in zip(left["others"], left["own"], strict=True):
+            mine, *seen = unpacked(own.as_py())
+            every = [unpacked(others.as_py())[0], mine]
+            values = [levels[_ALL].log_probabilities(x, *models[_ALL]) for x in every]
+            # A fold's texts are held against the model of the other one.
+            values += [levels[1 - k].log_probabilities(mine[seen[k] > 0], *models[1 - k]) for k in _FOLDS]
+            logs.append(np.concatenate(values).astype("<f4").tobytes())
+        return pa.table({
+            "block": left["block"],
+            "shard": left["shard"],
+            "others": left["others"],
+            "own": left["own"],
+            "logs": pa.array(logs, pa.binary()),
+        })
+
+    return (
+        asked.filter("shard >= 0")
+        .groupBy("shard")
+        .cogroup(counted.groupBy("shard"))
+        .applyInArrow(answer, "block int, shard int, others binary, own binary, logs binary")
     )
-    return found.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in own],
-        F.sum("_n").alias("n_bytes"),
-        F.when(F.sum("_n") > 0, F.sum("_nats") / F.sum("_n")).alias("nats"),
-    ).drop("_row")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """The columns of `docs` but its last, the text, with n_bytes, nats and held per row.
+
+    nats is the mean of -log p per byte, NULL without bytes. held has it for texts of label
+    quality 1 under a model that has not seen them: trusted texts, which that of nats has seen,
+    are scored with those of the other one of two folds. Texts move twice, compressed.
+    """
+    ship(docs.sparkSession)
+    *own, _ = docs.columns
+    size = docs.agg(F.sum(bytes_of(F.col("text")))).first()[0] or 0
+    shards, blocks = max(LEAST_SHARDS, -(-size // SHARD_BYTES)), max(1, -(-size // BLOCK_BYTES))
+    key = docs.schema["doc_id"].dataType
+    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    by_text = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
+    ids = (
+        labels.filter("quality = 1 and doc_id is not null")
+        .select(F.col("doc_id").cast(key).alias("doc_id"), (F.coalesce("toxic", F.lit(0)) == 0).alias("trusted"))
+        .groupBy("doc_id")
+        .agg(F.max("trusted").alias("trusted"))
+        .select("doc_id", "trusted", by_id.alias("block"))
+    )
+    dealt = _dealt(docs, F.when(F.col("doc_id").isNotNull(), by_id).otherwise(by_text))
+    asked = cut(_asked(dealt, ids, order, shards))
+    answered = _answered(asked, cut(_counted(asked)), order)
+    of_ids = asked.filter("shard < 0").withColumn("logs", F.lit(b""))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, logs, ids = [np.array([], np.uint64)], [np.zeros((3, 0), "<f4")], None
+        for k, others, mine, values in zip(*(right[c] for c in ("shard", "others", "own", "logs")), strict=True):
+            if k.as_py() < 0:
+                ids = _table(mine.as_py())
+                continue
+            rest, (grams, *n) = unpacked(others.as_py())[0], unpacked(mine.as_py())
+            both, held = np.frombuffer(values.as_py(), "<f4"), [x > 0 for x in n]
+            table = np.full((3, len(rest) + len(grams)), np.nan, "<f4")
+            table[_ALL] = both[: table.shape[1]]
+            at = table.shape[1]
+            for i in _FOLDS:
+                table[i, len(rest) :][held[i]] = both[at : at + held[i].sum()]
+                at += held[i].sum()
+            codes += [rest, grams]
+            logs.append(table)
+        every, table = np.concatenate(codes), np.concatenate(logs, axis=1)
+        order_of = np.argsort(every)
+        every, table = every[order_of], table[:, order_of]
+        places = _Places(every)
+        out = []
+        for bundle in left["rows"]:
+            rows = _table(bundle.as_py())
+            good, trusted = _flags(rows, ids)
+            n, nats, held = [], [], []
+            for i, text in enumerate(rows["text"].to_pylist()):
+                raw = _encoded(text)
+                n.append(len(raw))
+                at = places.of(codes_of(raw, order)) if raw else None
+                nats.append(-float(table[_ALL, at].mean(dtype=float)) if raw else None)
+                # Row k of the table has what the other fold says of the texts of fold k.
+                fold = _fold(raw) if trusted[i] else _ALL
+                held.append(-float(table[fold, at].mean(dtype=float)) if raw and good[i] else None)
+            columns = [*(rows[c] for c in own), pa.array(n, pa.int64()), pa.array(nats, pa.float64()), pa.array(held, pa.float64())]
+            out.append(pa.Table.from_arrays(columns, names=[*own, "n_bytes", "nats", "held"]))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
+    result = f"{kinds}n_bytes long, nats double, held double"
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
+    right = answered.unionByName(of_ids)
+    return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, result)
 
 
 def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -283,32 +462,42 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return ranked.filter(enough).groupBy("lang").agg(((F.min("step") + 1) * BIN).alias("limit"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
-    """The columns of `docs` (doc_id, lang, ..., text) but the text, with n_bytes, nats, top (the
-    limit in nats) and kept."""
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    counts = cut(trusted_counts(docs, trusted))
-    scored = cut(perplexities(docs, cut(model(counts, shards)), shards))
-    limits = cut(thresholds(scored.join(trusted.distinct(), "doc_id", "left_semi")))
+def _looked_up(rows: DataFrame, limits: DataFrame, name: str) -> DataFrame:
+    """`rows` with the limit of their language as `name`, or that of all where it has none."""
     whole = limits.filter("lang = '*'").first()
     # A language can hold nearly all rows, so each is looked up in LANGUAGE_PARTS parts.
     part = F.explode(F.sequence(F.lit(0), F.lit(LANGUAGE_PARTS - 1))).alias("_part")
     own = limits.filter("lang <> '*'").select(F.col("lang").alias("_of"), "limit", part)
-    scored = scored.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(LANGUAGE_PARTS)))
+    rows = rows.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(LANGUAGE_PARTS)))
     wanted = (F.coalesce("lang", F.lit("")) == F.col("_of")) & (F.col("_at") == F.col("_part"))
-    slack = F.lit(TOLERANCE_NATS) + F.lit(SHORT_NATS) / F.sqrt(F.col("n_bytes"))
-    top = F.coalesce("limit", F.lit(whole["limit"] if whole else None).cast("double")) + slack
+    value = F.coalesce("limit", F.lit(whole["limit"] if whole else None).cast("double"))
+    return rows.join(own, wanted, "left").withColumn(name, value).drop("_of", "_part", "_at", "limit")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
+    """The columns of `docs` (doc_id, lang, ..., text) but the text, with n_bytes, nats, top (the
+    limit in nats) and kept.
+
+    The mean over n bytes scatters with 1 / sqrt(n): a limit is the median of a language's held
+    texts and, over sqrt(n), the quantile of what they exceed it by, times sqrt(n).
+    """
+    scored = cut(perplexities(docs, labels, order))
+    held = scored.filter("held is not null").select("lang", "n_bytes", F.col("held").alias("nats"))
+    centres = cut(thresholds(held, 0.5))
+    beyond = (F.col("nats") - F.col("_centre")) * F.sqrt("n_bytes")
+    widths = cut(thresholds(_looked_up(held, centres, "_centre").select("lang", beyond.alias("nats"))))
+    rows = _looked_up(_looked_up(scored, centres, "_centre"), widths, "_width")
     known = F.col("nats").isNotNull()
+    top = F.col("_centre") + F.col("_width") / F.sqrt("n_bytes")
     passed = F.coalesce(F.col("nats") <= F.col("top"), F.lit(True))
     return (
-        scored.join(own, wanted, "left")
-        .withColumn("top", F.when(known, top))
+        rows.withColumn("top", F.when(known, top))
         .withColumn("kept", known & passed)
-        .drop("_of", "_part", "_at", "limit")
+        .drop("_centre", "_width", "held")
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept for every row of `docs`.
 
     `labels` (doc_id, quality, toxic) says which texts are trusted: quality 1, not toxic. A text
@@ -317,7 +506,7 @@ def classify(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataFr
     no perplexity and are rejected; without any trusted text nothing else is. Repeated rows are
     scored each, and count as often in the model if their doc_id is trusted.
     """
-    return _judged(docs.select("doc_id", "lang", "text"), labels, shards).select(
+    return _judged(docs.select("doc_id", "lang", "text"), labels, order).select(
         "doc_id",
         "lang",
         "n_bytes",
@@ -327,7 +516,7 @@ def classify(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataFr
     )
 
 
-def keep(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
     A verdict depends on language and text alone, so the rejected rows are those whose language,
@@ -336,6 +525,6 @@ def keep(docs: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keys = {"_a": F.xxhash64(text), "_b": F.hash(text), "_c": F.octet_length(text)}
     rows = docs.withColumns(keys | {"_lang": F.coalesce("lang", F.lit(""))})
-    judged = _judged(rows.select("doc_id", "lang", *keys, "text"), labels, shards)
+    judged = _judged(rows.select("doc_id", "lang", *keys, "text"), labels, order)
     rejected = judged.filter(~F.col("kept")).select(F.coalesce("lang", F.lit("")).alias("_lang"), *keys)
     return rows.join(rejected.distinct(), ["_lang", *keys], "left_anti").select(*docs.columns)

@@ -104,3 +104,12 @@ def test_edges(spark, docs):
     frame = docs(rows, extra=True)
     kept = kn.keep(frame, labels)
     assert kept.columns == frame.columns and kept.count() == 2
+
+
+def test_limits_come_from_held_out_texts(spark):
+    folder = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    judged = kn.classify(docs, labels).join(labels, "doc_id").collect()
+    bad = [r["kept"] for r in judged if r["quality"] == 0]
+    good = [r["kept"] for r in judged if r["quality"] == 1]
+    assert sum(bad) <= 0.04 * len(bad) and sum(good) >= 0.99 * len(good)
