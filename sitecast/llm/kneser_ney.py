@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model has order three over UTF-8 bytes, so it knows any script, and its n-grams of all orders
+The model has order six over UTF-8 bytes, so it knows any script, and its n-grams of all orders
 grow with the trusted texts. Nothing holds it as a whole: n-grams lie in shards by the two bytes
 before the last, which has every order from three on with its contexts in one shard. Documents
 are dealt into blocks; a block sends the distinct n-grams of all its texts to the shards, once
@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sitecast.llm.common import bytes_of, cut, ship
 
 # Bytes of an n-gram, 3 to 8: it is kept in 64 bits.
-ORDER = 3
+ORDER = 6
 BYTES = 256
 # Bytes of text for each shard and for each block of documents.
 SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 32_000_000, 64_000_000, 4

@@ -113,3 +113,41 @@ def test_limits_come_from_held_out_texts(spark):
     bad = [r["kept"] for r in judged if r["quality"] == 0]
     good = [r["kept"] for r in judged if r["quality"] == 1]
     assert sum(bad) <= 0.04 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+def brute_of(texts, order):
+    """p of the last byte of an n-gram by the definition at any order, over dictionaries."""
+    grams = Counter()
+    for t in texts:
+        raw = b"\n" * (order - 1) + t.encode()
+        grams.update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    levels = {order: grams}
+    for m in range(order - 1, 0, -1):
+        levels[m] = Counter(k[1:] for k in levels[m + 1])
+    cuts = {m: kn.discounts(Counter(c.values())) for m, c in levels.items()}
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        m = len(gram)
+        near = {k: n for k, n in levels[m].items() if k[:-1] == gram[:-1]}
+        if not near:
+            return p(gram[1:])
+        n, d, total = near.get(gram, 0), cuts[m], sum(near.values())
+        return (n - d[min(n, 3)]) / total + sum(d[min(k, 3)] for k in near.values()) / total * p(gram[1:])
+
+    return p
+
+
+def test_default_order_sees_six_bytes(spark, docs):
+    assert kn.ORDER == 6
+    random.seed(2)
+    made = ["".join(random.choices("abc d\né", k=random.randint(1, 40))) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(made)] + [(100, "never séen ZZ", "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS)
+    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs(rows), labels).collect()}
+    p = brute_of(made[:20], 6)
+    for i, text, _ in rows:
+        raw = b"\n" * 5 + text.encode()
+        nats = [-math.log(p(raw[k : k + 6])) for k in range(len(raw) - 5)]
+        assert math.isclose(got[i], math.exp(np.mean(nats)), rel_tol=1e-5)
