@@ -178,3 +178,35 @@ FROM d JOIN b USING (g) JOIN size ON size.rid = b.rid
 GROUP BY d.rid, b.rid, d.doc_id, b.item_id
 HAVING count(*) >= 0.8 * any_value(n_item)
 """
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+ORACLES["op13_ranked_search"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, {_TERMS} AS t FROM documents
+), sizes AS (
+  SELECT count(*) AS many, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), tf AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY rid, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(many) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, sizes GROUP BY term
+), m AS (
+  SELECT rid, doc_id, 100 - 50 + (50 * len(t) * many) // total AS m FROM d, sizes WHERE len(t) > 0
+), scored AS (
+  SELECT item_id, rid, any_value(doc_id) AS doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""

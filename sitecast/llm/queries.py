@@ -6,8 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import chat, decontaminate, hosts, huffman, kneser_ney, licences, packing, rules, shards, simhash
-from sitecast.llm.common import shared_path, table
+from sitecast.llm import (
+    chat,
+    decontaminate,
+    hosts,
+    huffman,
+    kneser_ney,
+    licences,
+    nra,
+    packing,
+    pii,
+    rules,
+    runs,
+    shards,
+    simhash,
+)
+from sitecast.llm.common import shared_path, table, words_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +115,38 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents whose doc_id's checksum ends in 0 repeat p words from word a on to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.expr("h div 10")
+    words = F.when(F.col("h") % 10 == 0, words_of(F.col("text")))
+    cut = docs.select("doc_id", "text", h.alias("h")).select("doc_id", "text", g.alias("g"), words.alias("words"))
+    n = F.size("words")
+    a = F.pmod("g", F.greatest(n, F.lit(1))).cast("int").alias("a")
+    cut = cut.select("doc_id", "text", "g", "words", a)
+    p = (1 + F.expr("(size(words) - a) div (3 + g % 8)")).cast("int").alias("p")
+    cut = cut.select("doc_id", "text", "words", "a", p)
+
+    def source(i):
+        return F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))
+
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", source(i)))
+    changed = F.coalesce(n, F.lit(0)) > 0
+    return cut.select("doc_id", F.when(changed, F.array_join(places, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(_with_repeats(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
