@@ -484,6 +484,37 @@ ORACLES["arx_forecast"] = sql("arx_cells", f"""
   FROM arx_cells c JOIN arx_cells i ON i.campus_key = c.campus_key AND i.start_idx = c.start_idx AND i.step <= c.step
   GROUP BY c.campus_key, c.start_idx, c.step)
 SELECT campus_key, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {{SCORES}} FROM rolled GROUP BY campus_key, step""".replace("{SCORES}", SCORES))
+
+# The same elimination per step for the joint forecast.
+_J = ["seed", *_WINDOW, *TIME]
+part("jx", "scaled_all", f"""
+  SELECT campus_key, row_idx, {TARGET} AS y, coalesce({TARGET}, 0) AS seed, {", ".join(TIME)},
+         {_windows("95 PRECEDING", "CURRENT ROW")} FROM scaled_all""")
+part("jcells", "dplaces jx", f"""
+  SELECT p.dataset, p.step, t.y, {", ".join(f"s.{c}" for c in _J)}
+  FROM dplaces p
+  JOIN jx s ON s.campus_key = p.campus_key AND s.row_idx = p.seed_idx
+  JOIN jx t ON t.campus_key = p.campus_key AND t.row_idx = p.row_idx""")
+part("j_means", "jcells", "SELECT step, " + ", ".join(f"avg({c}) AS m_{c}" for c in [*_J, "y"])
+     + " FROM jcells WHERE dataset = 'train' AND y IS NOT NULL GROUP BY step")
+part("j_g0", "jcells j_means", "SELECT step, " + ", ".join(f"{c} - m_{c} AS {c}" for c in [*_J, "y"])
+     + " FROM jcells JOIN j_means USING (step) WHERE dataset = 'train' AND y IS NOT NULL")
+for _k, _x in enumerate(_J):
+    _later = [*_J[_k + 1 :], "y"]
+    part(f"j_s{_k}", f"j_g{_k}", "SELECT step, " + ", ".join(f"sum({_x} * {c}) / sum({_x} * {_x}) AS s{_k}_{c}" for c in _later) + f" FROM j_g{_k} GROUP BY step")
+    part(f"j_g{_k + 1}", f"j_g{_k} j_s{_k}", "SELECT step, " + ", ".join(f"{c} - s{_k}_{c} * {_x} AS {c}" for c in _later) + f" FROM j_g{_k} JOIN j_s{_k} USING (step)")
+part(f"j_b{len(_J)}", "j_means", "SELECT * FROM j_means")
+for _k in reversed(range(len(_J))):
+    _less = "".join(f" - s{_k}_{c} * b_{c}" for c in _J[_k + 1 :])
+    part(f"j_b{_k}", f"j_s{_k} j_b{_k + 1}", f"SELECT t.*, s{_k}_y{_less} AS b_{_J[_k]} FROM j_b{_k + 1} t JOIN j_s{_k} USING (step)")
+part("j_beta", "j_b0", "SELECT *, m_y" + "".join(f" - b_{c} * m_{c}" for c in _J) + " AS b_intercept FROM j_b0")
+ORACLES["joint_weights"] = sql("j_beta", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT step + 1 AS step, '{c}' AS input, {r(f'b_{c}', 'weight')} FROM j_beta" for c in ["intercept", *_J]) + ")")
+ORACLES["joint_forecast"] = sql("jcells j_beta", f"""
+SELECT dataset, step + 1 AS step, (step + 1) * 15 AS minutes_ahead, {SCORES}
+FROM (SELECT c.dataset, c.step, c.y, b_intercept{"".join(f" + b_{c} * c.{c}" for c in _J)} AS yhat
+      FROM jcells c JOIN j_beta USING (step))
+GROUP BY dataset, step""")
 for _name, _col in (("guided", "guided"), ("ar", "ar"), ("hybrid", "hybrid")):
     ORACLES[f"forecast_{_name}"] = sql("fc", f"SELECT campus_key, start_idx, step, {r(_col, 'yhat')} FROM fc")
 ORACLES["prediction_cache"] = ORACLES["forecast_ar"]

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from sitecast.functions import values as V
 from sitecast.operators import forecast as FC
+from sitecast.operators import joint as J
 from sitecast.operators import metrics as M
 from sitecast.operators import models as MD
 from sitecast.operators import scaling as SC
 from sitecast.operators import segments as SG
 from sitecast.operators import sequences as SQ
 from sitecast.operators import sites as ST
+from sitecast.operators import trees as TR
 from sitecast.operators.chunks import attach_by_site
 from sitecast.plans import evaluate as EV
 from sitecast.plans import prepare, proxy
 from sitecast.plans.refine import refine
 from sitecast.schema import ENCODER, HORIZON, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
+from sitecast.sources.checkpoints import cut
 from sitecast.sources.files import clean_readings, format_stats, parse_stats
 
 DIGITS = 6
@@ -515,7 +518,7 @@ def ar1_coefficients(spark, sf_dir):
 @query
 def arx_forecast(spark, sf_dir):
     """Pooled linear model on all encoder inputs, rolled out and scored per step."""
-    scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
+    scaled = cut(scaled_readings_of(proxy.readings(spark, sf_dir)))
     fitted = MD.fit_arx(MD.arx_rows(scaled).filter(EV.in_train()))
     cell = MD.arx_forecast(scaled, MD.arx_weights(fitted))
     out = M.metrics_by_step(cell, keys=[SITE])
@@ -532,6 +535,44 @@ def direct_forecast(spark, sf_dir):
     return out.select("dataset", SITE, "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
 
 
+def _joint(spark, sf_dir):
+    """Samples of all data sets, and the joint model of the training ones."""
+    scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
+    series = SQ.split_by_time(scaled.drop("ts"), EV.SHARES, 100)
+    sample = cut(J.joint_samples(series, keys=DATASET_KEYS))
+    return sample, J.fit_joint(sample.filter(F.col("dataset") == "train"))
+
+
+@query
+def joint_weights(spark, sf_dir):
+    """Weights of all inputs per step, from one aggregate over the training samples."""
+    _, weights = _joint(spark, sf_dir)
+    rows = [(k + 1, name, w) for k, of in enumerate(weights) for name, w in of.items()]
+    out = spark.createDataFrame(rows, "step int, input string, weight double")
+    return out.select("step", "input", num("weight"))
+
+
+@query
+def joint_forecast(spark, sf_dir):
+    """All twenty steps at once from the encoder inputs, scored per data set."""
+    sample, weights = _joint(spark, sf_dir)
+    out = M.metrics_by_step(J.joint_forecast(sample, weights, DATASET_KEYS))
+    return out.select("dataset", "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
+
+
+@query
+def tree_forecast(spark, sf_dir):
+    """Boosted trees on window summaries and known-ahead features, fitted on the training
+    samples, scored per data set."""
+    scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
+    series = SQ.split_by_time(scaled.drop("ts"), EV.SHARES, 100)
+    sample = cut(TR.tree_samples(series, keys=DATASET_KEYS))
+    cell = TR.tree_cells(sample, DATASET_KEYS)
+    model = TR.fit_trees(cell.filter(F.col("dataset") == "train"))
+    out = M.metrics_by_step(TR.tree_forecast(cell, model))
+    return out.select("dataset", "step", "minutes_ahead", "n_valid", num("rmse"), num("r2"))
+
+
 def _forecast(spark, sf_dir, apply):
     out = apply(site_cells(spark, sf_dir))
     return out.select(SITE, "start_idx", "step", num("yhat"))

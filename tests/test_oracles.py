@@ -36,8 +36,12 @@ def test_query_equals_sql(spark, duck, name):
         assert same.all(), (c, got[c][~same].head(), want[c][~same].head())
 
 
+# Boosted trees have no SQL; tests/test_models.py compares them with greedy ones.
+NO_SQL = {"tree_forecast"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - NO_SQL == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
