@@ -1,5 +1,7 @@
 """Staged refinement: forecast, mix the forecasts into the inputs, refit, score, repeat."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from sitecast.operators.sequences import (
     with_batch,
 )
 from sitecast.schema import SITE, TARGET
-from sitecast.sources.checkpoints import cut
+from sitecast.sources import versions
+from sitecast.sources.checkpoints import checkpoint_dir
 from sitecast.sources.files import save_model
 
 
@@ -32,6 +35,32 @@ def ar_error(sample: DataFrame) -> float | None:
     return batch_mean_rmse(cell).first()["yhat"]
 
 
+def _store(df: DataFrame, root: str) -> DataFrame:
+    """The rows as the one version under `root`; the version before is removed."""
+    spark = df.sparkSession
+    return spark.read.parquet(versions.commit(spark, root, df.write.parquet, keep=1))
+
+
+def _prepare(series: DataFrame, state: str) -> None:
+    """Stores the samples of both data sets and the first model."""
+    spark = series.sparkSession
+
+    def write(folder: str) -> None:
+        lean = series.select("dataset", SITE, "row_idx", "n_rows", TARGET, "a", "b")
+        lean.write.parquet(f"{folder}/series")
+        read = spark.read.parquet(f"{folder}/series")
+        train, validation = (
+            read.filter(F.col("dataset") == name).drop("dataset", "a", "b") for name in ("train", "validation")
+        )
+        offsets = series_offsets(sequence_counts(validation))
+        number_samples(samples(validation), offsets).write.parquet(f"{folder}/held")
+        samples(train).write.parquet(f"{folder}/sample")
+        first = read.groupBy(SITE).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+        first.write.parquet(f"{folder}/model")
+
+    versions.commit(spark, f"{state}/inputs", write, keep=1)
+
+
 def refine(
     series: DataFrame,
     epochs: int = 10,
@@ -39,6 +68,7 @@ def refine(
     seed: str = "mix",
     mode: str = "reference",
     save_to: str | None = None,
+    state: str | None = None,
 ) -> DataFrame:
     """Refit the site models on inputs that hold more and more of their own forecasts.
 
@@ -47,30 +77,51 @@ def refine(
     forecasts of the training samples as a cache that takes the place of the one before, mixes
     them into the inputs, refits, and scores the validation samples; the driver sees one error
     per epoch. Returns the history; the model with the smallest error goes to `save_to`.
+
+    `state` names a folder that keeps the samples, and after each epoch its model together with
+    the history so far. A call that finds such a folder goes on after the last whole epoch, and
+    reads its samples instead of `series`; the settings must be the same. Without `state` the
+    files go to the shared folder and are removed at the end.
     """
-    series = cut(series.select("dataset", SITE, "row_idx", "n_rows", TARGET, "a", "b"))
-    train, validation = (
-        series.filter(F.col("dataset") == name).drop("dataset", "a", "b")
-        for name in ("train", "validation")
-    )
-    offsets = series_offsets(sequence_counts(validation))
-    held = cut(number_samples(samples(validation), offsets))
-    sample = cut(samples(train))
-    model = cut(series.groupBy(SITE).agg(F.first("a").alias("a"), F.first("b").alias("b")))
-    history, best, waited = [], None, 0
-    for epoch in range(epochs):
+    spark = series.sparkSession
+    own = state is None
+    state = state or f"{checkpoint_dir(spark)}/refine-{uuid.uuid4().hex}"
+    settings = {"epochs": epochs, "patience": patience, "seed": seed, "mode": mode}
+    found = versions.manifest(spark, f"{state}/epochs")
+    notes = found["notes"] if found else {"settings": settings, "history": []}
+    if notes["settings"] != settings:
+        raise ValueError(f"{state} was begun with {notes['settings']}")
+    if versions.current(spark, f"{state}/inputs") is None:
+        _prepare(series, state)
+    inputs = versions.current(spark, f"{state}/inputs")
+    held, sample = (spark.read.parquet(f"{inputs}/{name}") for name in ("held", "sample"))
+    model = spark.read.parquet(versions.current(spark, f"{state}/epochs") or f"{inputs}/model")
+    history = [tuple(h) for h in notes["history"]]
+
+    def waited() -> int:
+        return len(history) - 1 - max((i for i, h in enumerate(history) if h[-1]), default=-1)
+
+    while len(history) < epochs and waited() < patience:
+        epoch = len(history)
+        best = history[-1][3] if history else None
         known = attach_by_site(sample, model)
-        cell = cells(join_cache(known, cut(build_cache(known))))
+        cell = cells(join_cache(known, _store(build_cache(known), f"{state}/cache")))
         mixed = scheduled_mix(cell, epoch, epochs, seed, mode)
-        model = cut(mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b"))
-        error = ar_error(attach_by_site(held, model))
-        better = error is not None and (best is None or error < best)
-        best, waited = (error, 0) if better else (best, waited + 1)
-        if better and save_to:
-            save_model(model, save_to)
-        history.append((epoch, usage_rate(epoch, epochs), error, best, better))
-        if waited >= patience:
-            break
-    return series.sparkSession.createDataFrame(
+        fitted = mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b")
+
+        def write(folder: str, fitted=fitted, epoch=epoch, best=best) -> dict:
+            fitted.write.parquet(folder)
+            stored = spark.read.parquet(folder)
+            error = ar_error(attach_by_site(held, stored))
+            better = error is not None and (best is None or error < best)
+            if better and save_to:
+                save_model(stored, save_to)
+            history.append((epoch, usage_rate(epoch, epochs), error, error if better else best, better))
+            return {"settings": settings, "history": history}
+
+        model = spark.read.parquet(versions.commit(spark, f"{state}/epochs", write, keep=1))
+    if own:
+        versions.remove(spark, state)
+    return spark.createDataFrame(
         history, "epoch int, rate double, ar_rmse double, best double, improved boolean"
     )

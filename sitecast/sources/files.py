@@ -13,17 +13,13 @@ from sitecast.operators.chunks import attach_by_site
 from sitecast.operators.grid import to_grid
 from sitecast.operators.scaling import scale_by_site
 from sitecast.schema import ENCODER, SCALED, SITE
+from sitecast.sources import versions
+from sitecast.sources.versions import exists
 
 _MOMENTS = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
 STATS_JSON = T.MapType(T.StringType(), T.MapType(T.StringType(), _MOMENTS))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def clean_readings(
     raw: DataFrame, site: str = "CampusKey", ts: str = "ts", features: Sequence[str] = ENCODER
 ) -> DataFrame:
@@ -126,17 +122,33 @@ def write_results(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 
-def save_model(model: DataFrame | LinearRegressionModel, path: str) -> None:
-    """Coefficient table or fitted linear model."""
-    if isinstance(model, DataFrame):
-        model.write.mode("overwrite").parquet(path)
-    else:
-        model.write().overwrite().save(path)
+def save_model(model: DataFrame | LinearRegressionModel, path: str, keep: int = versions.KEEP) -> None:
+    """Coefficient table or fitted linear model, as a new version under `path`.
 
+    The model saved before stays current until the new one is whole, and the last `keep` are
+    kept.
+    """
 
-def load_model(spark: SparkSession, path: str) -> DataFrame | LinearRegressionModel:
-    if not exists(spark, path):
+    def write(folder: str) -> None:
+        if isinstance(model, DataFrame):
+            model.write.parquet(folder)
+        else:
+            model.write().save(folder)
+
+    versions.commit(SparkSession.getActiveSession(), path, write, keep)
+
+
+def load_model(spark: SparkSession, path: str, back: int = 0) -> DataFrame | LinearRegressionModel:
+    """The current model under `path`, or the one saved `back` times before it.
+
+    A folder that holds a model itself, without versions, is read as it is.
+    """
+    kept = versions.earlier(spark, path)
+    if back and back >= len(kept):
+        raise FileNotFoundError(f"{path}: no model {back} versions back")
+    folder = kept[-1 - back] if kept else path
+    if not exists(spark, folder):
         raise FileNotFoundError(path)
-    if exists(spark, f"{path}/metadata"):
-        return LinearRegressionModel.load(path)
-    return spark.read.parquet(path)
+    if exists(spark, f"{folder}/metadata"):
+        return LinearRegressionModel.load(folder)
+    return spark.read.parquet(folder)

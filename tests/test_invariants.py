@@ -249,3 +249,46 @@ def test_refinement_keeps_the_best_model(spark, series, tmp_path):
     numbered = SQ.with_batch(cell.withColumn("sample_id", F.col("start_idx")))
     again = M.batch_mean_rmse(FC.forecast_ar(numbered)).first().yhat
     assert again == pytest.approx(out[-1].best)
+
+
+@pytest.fixture
+def two_sets(series):
+    data = series.filter("campus_key = 1").withColumns({"a": F.lit(1.0), "b": F.lit(0.8)})
+    return data.withColumn("dataset", F.explode(F.array(F.lit("train"), F.lit("validation"))))
+
+
+def test_refinement_goes_on_where_it_stopped(spark, two_sets, tmp_path, monkeypatch):
+    from sitecast.plans import refine as R
+    from sitecast.sources.files import load_model
+
+    whole = refine(two_sets, epochs=5, patience=5, save_to=str(tmp_path / "a")).collect()
+    score, calls = R.ar_error, []
+
+    def lost(sample):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("the driver is gone")
+        return score(sample)
+
+    state, best = str(tmp_path / "state"), str(tmp_path / "b")
+    monkeypatch.setattr(R, "ar_error", lost)
+    with pytest.raises(RuntimeError):
+        refine(two_sets, epochs=5, patience=5, save_to=best, state=state)
+    again = refine(two_sets.limit(0), epochs=5, patience=5, save_to=best, state=state).collect()
+    assert again == whole and len(calls) == 6  # epochs 0, 1, the lost 2, then 2, 3, 4
+    assert load_model(spark, best).collect() == load_model(spark, str(tmp_path / "a")).collect()
+    assert refine(two_sets, epochs=5, patience=5, state=state).collect() == whole and len(calls) == 6
+    with pytest.raises(ValueError):
+        refine(two_sets, epochs=6, patience=5, state=state)
+
+
+def test_refinement_keeps_only_the_last_state(spark, two_sets, tmp_path):
+    import glob
+    import os
+
+    state, shared = str(tmp_path / "state"), spark.sparkContext.getCheckpointDir()
+    refine(two_sets, epochs=3, state=state)
+    for part in ("inputs", "cache", "epochs"):
+        assert len(glob.glob(f"{state}/{part}/v-*")) == 1
+    refine(two_sets, epochs=2)
+    assert not glob.glob(os.path.join(shared.removeprefix("file:"), "refine-*"))

@@ -144,3 +144,30 @@ def test_evaluation_of_files(spark, tmp_path):
     assert overall.n_valid == len(errors)
     assert overall.rmse == pytest.approx((sum(errors) / len(errors)) ** 0.5)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 21
+
+
+def test_a_failed_save_leaves_the_best_model(spark, tmp_path):
+    path = str(tmp_path / "best")
+    tables = [spark.createDataFrame([(i, float(i))], "campus_key int, a double") for i in range(6)]
+    files.save_model(tables[0], path)
+    broken = tables[1].withColumn("a", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception):
+        files.save_model(broken, path)
+    assert files.load_model(spark, path).first().a == 0.0
+    # A write that ends before the pointer moves counts as not done either.
+    tables[2].write.parquet(f"{path}/v-halfway")
+    (tmp_path / "best" / "notes.txt").write_text("mine")
+    assert files.load_model(spark, path).first().a == 0.0
+    for table in tables[1:]:
+        files.save_model(table, path, keep=3)
+    assert [files.load_model(spark, path, back).first().a for back in range(3)] == [5.0, 4.0, 3.0]
+    with pytest.raises(FileNotFoundError):
+        files.load_model(spark, path, 3)
+    kept = sorted(p.name for p in (tmp_path / "best").iterdir() if not p.name.endswith(".crc"))
+    assert len([n for n in kept if n.startswith("v-")]) == 3 and "v-halfway" not in kept and "notes.txt" in kept
+
+
+def test_models_without_versions_are_still_read(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0.5)], "campus_key int, a double")
+    table.write.parquet(str(tmp_path / "old"))
+    assert files.load_model(spark, str(tmp_path / "old")).collect() == table.collect()
