@@ -262,6 +262,15 @@ SELECT event_id, campus_key, ts, CASE WHEN event_type NOT IN ('error', 'signup')
 ORACLES["stats_table"] = sql("stats_long", f"""
 SELECT CAST(campus_key AS VARCHAR) AS campus_key, feature, {rs(['mean', 'std'])} FROM stats_long""")
 ORACLES["fit_stats"] = sql("stats_long", f"SELECT campus_key, feature, {rs(['mean', 'std'])} FROM stats_long")
+_INC = [TARGET, "AirTemperature", "RelativeHumidity"]
+ORACLES["incremental_stats"] = sql("slots", """
+, paired AS (
+  SELECT t.*, b.{y} AS x FROM slots t LEFT JOIN slots b ON b.campus_key = t.campus_key AND b.slot = t.slot - 1)
+SELECT campus_key, {stats}, {a}, {b}, CAST(regr_count({y}, x) AS BIGINT) AS n_pairs FROM paired GROUP BY campus_key""".format(
+    y=TARGET,
+    stats=", ".join(f"CAST(count({c}) AS BIGINT) AS {c}_n, " + r(f"avg({c})", f"{c}_mean") + ", " + r(f"stddev_samp({c})", f"{c}_std") for c in _INC),
+    a=r(f"coalesce(regr_intercept({TARGET}, x), avg({TARGET}), 0)", "a"),
+    b=r(f"coalesce(regr_slope({TARGET}, x), 0)", "b")))
 ORACLES["feature_vectors"] = sql("readings", "SELECT campus_key, row_idx, "
     + ", ".join(r(c, f"enc_{i}") for i, c in enumerate(ENCODER)) + ", "
     + ", ".join(r(c, f"dec_{i}") for i, c in enumerate(TIME + [TARGET])) + " FROM readings")

@@ -85,6 +85,16 @@ def station_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.complete_grid(slotted, day_bounds(ev), {n: F.avg(n) for n in columns})
 
 
+def slotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns per site and slot with an event, without the empty slots."""
+    ev = events(spark, sf_dir)
+    return ev.groupBy(SITE, "slot").agg(
+        F.avg("value").alias(TARGET),
+        F.avg(F.when(F.col("event_type") == "view", F.col("k"))).alias("AirTemperature"),
+        F.avg(F.when(F.col("event_type") == "click", F.col("k"))).alias("RelativeHumidity"),
+    )
+
+
 def with_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station grid with the latest hourly values and the age of the irradiance."""
     found = G.asof_hourly(

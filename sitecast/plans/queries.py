@@ -1,5 +1,6 @@
 """The registered queries: each applies one operator to the readings of a data directory."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from sitecast.operators import forecast as FC
 from sitecast.operators import joint as J
 from sitecast.operators import metrics as M
 from sitecast.operators import models as MD
+from sitecast.operators import moments as MO
 from sitecast.operators import scaling as SC
 from sitecast.operators import segments as SG
 from sitecast.operators import sequences as SQ
@@ -20,7 +22,8 @@ from sitecast.plans import evaluate as EV
 from sitecast.plans import prepare, proxy
 from sitecast.plans.refine import refine
 from sitecast.schema import ENCODER, HORIZON, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
-from sitecast.sources.checkpoints import cut
+from sitecast.sources import states as day_store
+from sitecast.sources.checkpoints import checkpoint_dir, cut
 from sitecast.sources.files import clean_readings, format_stats, parse_stats
 
 DIGITS = 6
@@ -31,6 +34,7 @@ MIX_EPOCH, MIX_EPOCHS, REFINE_EPOCHS, REFINE_PATIENCE = 4, 10, 10, 3
 BLEND_EPOCH, SEGMENT = 4, 5
 PATIENCE = 3
 PICKS = 50
+NEW_DAYS = 5
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -357,6 +361,21 @@ def fit_stats(spark, sf_dir):
     return stats.select(SITE, "feature", num("mean"), num("std"))
 
 
+@query
+def incremental_stats(spark, sf_dir):
+    """Statistics and AR(1) from stored day states: history, then new days, then one day again."""
+    columns = [TARGET, "AirTemperature", "RelativeHumidity"]
+    slotted = proxy.slotted(spark, sf_dir)
+    day = MO.day_of(F.col("slot"))
+    known = slotted.agg(F.max(day).alias("last")).first()["last"]
+    root = f"{checkpoint_dir(spark)}/day-states-{uuid.uuid4().hex}"
+    for new in (day <= known - NEW_DAYS, day > known - NEW_DAYS, day == known - NEW_DAYS):
+        day_store.add_days(MO.day_states(slotted.filter(new), columns), root)
+    out = MO.fit_from_states(day_store.read_states(spark, root), columns)
+    floats = [f"{c}_{s}" for c in columns for s in ("mean", "std")]
+    return out.select(SITE, *[f"{c}_n" for c in columns], *[num(c) for c in floats], num("a"), num("b"), "n_pairs")
+
+
 @query
 def power_rescaled(spark, sf_dir):
     out = SC.rescale_power(proxy.supplier_series(spark, sf_dir))
