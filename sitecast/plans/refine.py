@@ -25,6 +25,7 @@ from sitecast.operators.sequences import (
 )
 from sitecast.schema import SITE, TARGET
 from sitecast.sources import versions
+from sitecast.sources.buckets import bucket_count, forget, read_bucketed, write_bucketed
 from sitecast.sources.checkpoints import checkpoint_dir
 from sitecast.sources.files import save_model
 
@@ -35,17 +36,14 @@ def ar_error(sample: DataFrame) -> float | None:
     return batch_mean_rmse(cell).first()["yhat"]
 
 
-def _store(df: DataFrame, root: str) -> DataFrame:
-    """The rows as the one version under `root`; the version before is removed."""
-    spark = df.sparkSession
-    return spark.read.parquet(versions.commit(spark, root, df.write.parquet, keep=1))
+PLACE = [SITE, "start_idx"]
 
 
 def _prepare(series: DataFrame, state: str) -> None:
-    """Stores the samples of both data sets and the first model."""
+    """Stores the samples of both data sets, those for training in buckets, and the first model."""
     spark = series.sparkSession
 
-    def write(folder: str) -> None:
+    def write(folder: str) -> dict:
         lean = series.select("dataset", SITE, "row_idx", "n_rows", TARGET, "a", "b")
         lean.write.parquet(f"{folder}/series")
         read = spark.read.parquet(f"{folder}/series")
@@ -54,9 +52,13 @@ def _prepare(series: DataFrame, state: str) -> None:
         )
         offsets = series_offsets(sequence_counts(validation))
         number_samples(samples(validation), offsets).write.parquet(f"{folder}/held")
-        samples(train).write.parquet(f"{folder}/sample")
+        n_rows = sequence_counts(train).agg(F.sum("n_sequences")).first()[0] or 0
+        buckets = bucket_count(spark, n_rows)
+        dealt = samples(train).repartition(buckets, *PLACE)
+        write_bucketed(dealt, f"{folder}/sample", PLACE, buckets)
         first = read.groupBy(SITE).agg(F.first("a").alias("a"), F.first("b").alias("b"))
         first.write.parquet(f"{folder}/model")
+        return {"buckets": buckets}
 
     versions.commit(spark, f"{state}/inputs", write, keep=1)
 
@@ -94,7 +96,9 @@ def refine(
     if versions.current(spark, f"{state}/inputs") is None:
         _prepare(series, state)
     inputs = versions.current(spark, f"{state}/inputs")
-    held, sample = (spark.read.parquet(f"{inputs}/{name}") for name in ("held", "sample"))
+    buckets = versions.manifest(spark, f"{state}/inputs")["notes"]["buckets"]
+    held = spark.read.parquet(f"{inputs}/held")
+    sample = read_bucketed(spark, f"{inputs}/sample", PLACE, buckets)
     model = spark.read.parquet(versions.current(spark, f"{state}/epochs") or f"{inputs}/model")
     history = [tuple(h) for h in notes["history"]]
 
@@ -104,9 +108,13 @@ def refine(
     while len(history) < epochs and waited() < patience:
         epoch = len(history)
         best = history[-1][3] if history else None
-        known = attach_by_site(sample, model)
-        cell = cells(join_cache(known, _store(build_cache(known), f"{state}/cache")))
-        mixed = scheduled_mix(cell, epoch, epochs, seed, mode)
+        made = build_cache(attach_by_site(sample, model))
+        folder = versions.commit(
+            spark, f"{state}/cache", lambda path, made=made: write_bucketed(made, path, PLACE, buckets), keep=1
+        )
+        # Samples and cache lie by the same buckets, so the join moves neither.
+        cache = read_bucketed(spark, folder, PLACE, buckets)
+        mixed = scheduled_mix(cells(join_cache(sample, cache)), epoch, epochs, seed, mode)
         fitted = mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b")
 
         def write(folder: str, fitted=fitted, epoch=epoch, best=best) -> dict:
@@ -120,6 +128,8 @@ def refine(
             return {"settings": settings, "history": history}
 
         model = spark.read.parquet(versions.commit(spark, f"{state}/epochs", write, keep=1))
+        forget(cache)
+    forget(sample)
     if own:
         versions.remove(spark, state)
     return spark.createDataFrame(
