@@ -3,6 +3,7 @@
 Written directly from the definitions, with plain self-joins and windows over whole series.
 """
 
+from sitecast.operators.orders import BLOCK, PRIME, round_keys
 from sitecast.schema import ENCODER, SCALED, TARGET, TIME, WEATHER
 
 PARTS: dict[str, tuple[str, str]] = {}
@@ -259,6 +260,11 @@ ORACLES: dict[str, str] = {}
 ORACLES["readings_clean"] = sql("ev", f"""
 SELECT event_id, campus_key, ts, CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS {TARGET},
        CASE WHEN event_type = 'view' THEN k END AS AirTemperature FROM ev""")
+ORACLES["readings_rejected"] = sql("ev", f"""
+SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'number of fields'
+    WHEN event_type = 'error' THEN 'CampusKey;{TARGET}' ELSE '' END AS reasons,
+  CASE WHEN event_type NOT IN ('signup', 'purchase', 'error') THEN k + 0e0 END AS {TARGET}
+FROM ev""")
 ORACLES["stats_table"] = sql("stats_long", f"""
 SELECT CAST(campus_key AS VARCHAR) AS campus_key, feature, {rs(['mean', 'std'])} FROM stats_long""")
 ORACLES["fit_stats"] = sql("stats_long", f"SELECT campus_key, feature, {rs(['mean', 'std'])} FROM stats_long")
@@ -571,3 +577,36 @@ marks AS (
 since AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch) AS waited FROM marks)
 SELECT epoch, {r('rate')}, {r('ar_rmse')}, {r('best')}, improved FROM since
 WHERE epoch <= coalesce((SELECT min(epoch) FROM since WHERE waited >= 3), 9)""")
+
+# Two swap-or-not shuffles round by round: blocks, then the places inside each full or last block.
+part("ord_start", "numbers", f"""
+  SELECT campus_key, start_idx, sample_id, sample_id // {BLOCK} AS block, sample_id % {BLOCK} AS inside,
+    count(*) OVER () // {BLOCK} AS full_blocks, count(*) OVER () % {BLOCK} AS tail FROM numbers""")
+part("ord_b", "ord_start", "SELECT DISTINCT block, block AS moved, full_blocks FROM ord_start WHERE block < full_blocks")
+
+
+def _turn(x: str, size: str, of: str, key: tuple) -> str:
+    k, m, a, b, c = key
+    swap = f"((({k} + {m} * {of} % {PRIME}) % {PRIME} % {size} - {x}) % {size} + {size}) % {size}"
+    mixed = f"({a} * greatest({x}, {swap}) + {b} * ({of} + 1) % {PRIME}) % {PRIME}"
+    return f"CASE WHEN ({mixed} * ({mixed}) + {c}) % {PRIME} % 2 = 1 THEN {swap} ELSE {x} END"
+
+
+_last = "ord_b"
+for _i, _key in enumerate(round_keys("s1", 4, "blocks")):
+    part(f"ord_b{_i}", _last, f"SELECT block, {_turn('moved', 'full_blocks', '0', _key)} AS moved, full_blocks FROM {_last}")
+    _last = f"ord_b{_i}"
+part("ord_i", f"ord_start {_last}", f"""
+  SELECT s.*, coalesce(b.moved, s.block) AS moved, CASE WHEN s.block < s.full_blocks THEN {BLOCK} ELSE tail END AS size
+  FROM ord_start s LEFT JOIN {_last} b ON b.block = s.block""")
+_last = "ord_i"
+for _i, _key in enumerate(round_keys("s1", 4, "inside")):
+    part(f"ord_i{_i}", _last, f"SELECT * EXCLUDE (inside), {_turn('inside', 'size', 'block', _key)} AS inside FROM {_last}")
+    _last = f"ord_i{_i}"
+ORACLES["epoch_order"] = sql(_last, f"""
+SELECT campus_key, start_idx, sample_id, CAST(moved * {BLOCK} + inside AS BIGINT) AS position, sample_id AS found FROM {_last}""")
+ORACLES["trainer_shards"] = sql("numbers scaled_all", f"""
+SELECT batch_id, min(sample_id) AS first_sample, max(sample_id) AS last_sample, count(DISTINCT sample_id) AS n_samples,
+  {r(f"sum(coalesce({TARGET}, -999))", "tgt_out_sum")}, true AS in_order
+FROM numbers n JOIN scaled_all t ON t.campus_key = n.campus_key AND t.row_idx BETWEEN n.start_idx + 96 AND n.start_idx + 115
+GROUP BY batch_id""")

@@ -12,6 +12,7 @@ from sitecast.operators import joint as J
 from sitecast.operators import metrics as M
 from sitecast.operators import models as MD
 from sitecast.operators import moments as MO
+from sitecast.operators import orders as ORD
 from sitecast.operators import scaling as SC
 from sitecast.operators import segments as SG
 from sitecast.operators import sequences as SQ
@@ -22,7 +23,9 @@ from sitecast.plans import evaluate as EV
 from sitecast.plans import prepare, proxy
 from sitecast.plans.refine import refine
 from sitecast.schema import ENCODER, HORIZON, LOOKBACK, SENTINEL, SITE, TARGET, TIME, WEATHER
+from sitecast.sources import shards
 from sitecast.sources import states as day_store
+from sitecast.sources.checked import read_checked
 from sitecast.sources.checkpoints import checkpoint_dir, cut
 from sitecast.sources.files import clean_readings, format_stats, parse_stats
 
@@ -115,6 +118,41 @@ def readings_clean(spark, sf_dir):
     )
 
 
+@query
+def readings_rejected(spark, sf_dir):
+    """Rows of a readings file that cannot be read, with the reasons, beside the rest.
+
+    The file is written from the events: some lines are cut short, some are too long, some
+    hold text where numbers belong.
+    """
+    ev = proxy.events(spark, sf_dir)
+    kind = F.col("event_type")
+    cells = F.concat_ws(
+        ",",
+        "event_id",
+        F.when(kind == "error", F.concat(F.lit("site"), F.col(SITE).cast("string"))).otherwise(F.col(SITE).cast("string")),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+    )
+    rest = (
+        F.when(kind == "signup", "")
+        .when(kind == "purchase", F.concat_ws(",", F.lit(""), F.col("k").cast("int"), F.lit("1"), F.lit("2")))
+        .otherwise(F.concat(F.lit(","), F.when(kind == "error", "about 5").otherwise(F.col("k").cast("int").cast("string"))))
+    )
+    path = f"{checkpoint_dir(spark)}/readings-{uuid.uuid4().hex}"
+    # The lines as they are, below a header line in every file.
+    lines = ev.select(F.concat(cells, rest).alias(f"event_id,CampusKey,ts,{TARGET}"))
+    plain = {"header": True, "quote": "", "escapeQuotes": False, "sep": "\u0001"}
+    lines.write.options(**plain).csv(path)
+    found = read_checked(spark, path, features=["event_id", TARGET])
+    good = found.readings.select(F.col("event_id").cast("bigint").alias("event_id"), F.lit("").alias("reasons"), num(TARGET))
+    bad = found.rejects.select(
+        F.split("line", ",")[0].cast("bigint").alias("event_id"),
+        F.array_join("reasons", ";").alias("reasons"),
+        F.lit(None).cast("double").alias(TARGET),
+    )
+    return good.unionByName(bad)
+
+
 @query
 def stats_table(spark, sf_dir):
     """Fitted statistics through the scaler file's text form and back."""
@@ -477,6 +515,32 @@ def shuffle_order(spark, sf_dir):
     return SQ.shuffled(index, SEED)
 
 
+@query
+def epoch_order(spark, sf_dir):
+    """Where every sample comes in an epoch's shuffled order, and the sample found there again."""
+    index = numbered(SQ.sample_keys(proxy.target_series(spark, sf_dir)), spark, sf_dir)
+    total = SQ.sequence_counts(proxy.lengths(spark, sf_dir)).agg(F.sum("n_sequences")).first()[0] or 0
+    order = ORD.EpochOrder(total, SEED, MIX_EPOCH)
+    placed = index.select(SITE, "start_idx", "sample_id", order.position(F.col("sample_id")).alias("position"))
+    return placed.withColumn("found", order.sample_at(F.col("position")))
+
+
+@query
+def trainer_shards(spark, sf_dir):
+    """Samples exported as files of whole batches; each batch read from where the manifest says."""
+    scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
+    sample = numbered(SQ.export_sequences(scaled), spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    shards.write_shards(sample, path)
+    rows = shards.read_places(spark, path)
+    batch = rows.groupBy("batch_id", "first_sample", "last_sample").agg(
+        F.count("*").alias("n_samples"),
+        F.min(F.col("place") - (F.col("sample_id") - F.col("first_sample"))).alias("off_by"),
+        num(F.sum(F.aggregate("tgt_out", F.lit(0.0), lambda acc, y: acc + y)), "tgt_out_sum"),
+    )
+    return batch.withColumn("in_order", F.col("off_by") == 0).drop("off_by")
+
+
 @query
 def forecast_samples(spark, sf_dir):
     """Fifty forecast windows per data set beside the truth."""

@@ -14,6 +14,7 @@ from sitecast.operators.grid import to_grid
 from sitecast.operators.scaling import scale_by_site
 from sitecast.schema import ENCODER, SCALED, SITE
 from sitecast.sources import versions
+from sitecast.sources.checked import read_checked
 from sitecast.sources.versions import exists
 
 _MOMENTS = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
@@ -85,12 +86,16 @@ def load_datasets(
     stats: DataFrame,
     required: Sequence[str] = (),
     cols: Sequence[str] = SCALED,
+    report: dict[str, dict] | None = None,
     **columns,
 ) -> DataFrame:
     """Read, grid and scale several readings files into one table with a `dataset` column.
 
     A missing optional file is skipped with a warning, a missing required one is an error,
-    and so is a file that scaling leaves without rows.
+    and so is a file that scaling leaves without rows. Every file is read once. Rows that cannot
+    be read are left out with a warning; `report` gets the counts of what each file lost by data
+    set name: those of `checked.read_checked`, `unknown_sites`, `unknown_site_rows`, and the
+    rejected rows themselves as the table `rejects`.
     """
     parts = []
     for name, path in paths.items():
@@ -99,10 +104,23 @@ def load_datasets(
                 raise FileNotFoundError(path)
             warnings.warn(f"{name}: {path} not found, skipped", stacklevel=2)
             continue
-        readings = read_readings(spark, path, **columns)
-        if attach_by_site(readings.select(SITE).distinct(), stats.select(SITE)).isEmpty():
+        found = read_checked(spark, path, **columns)
+        lost = found.counts["rejected"]
+        if lost:
+            warnings.warn(f"{name}: {lost} of {found.counts['lines']} rows cannot be read", stacklevel=2)
+        per_site = found.readings.filter(F.col(SITE).isNotNull()).groupBy(SITE).agg(F.count("*").alias("rows"))
+        known = stats.select(SITE).distinct().withColumn("known", F.lit(True))
+        strange = attach_by_site(per_site, known, how="left").agg(
+            F.count(F.when(F.col("known"), 1)).alias("sites"),
+            F.count(F.when(F.col("known").isNull(), 1)).alias("unknown_sites"),
+            F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("rows"))), F.lit(0)).alias("unknown_site_rows"),
+        ).first()
+        if report is not None:
+            report[name] = {**found.counts, "rejects": found.rejects}
+            report[name] |= {k: strange[k] for k in ("unknown_sites", "unknown_site_rows")}
+        if not strange["sites"]:
             raise ValueError(f"{name}: no rows left after scaling")
-        scaled = scale_by_site(to_grid(readings), stats, cols)
+        scaled = scale_by_site(to_grid(found.readings), stats, cols)
         parts.append(scaled.withColumn("dataset", F.lit(name)))
     if not parts:
         raise FileNotFoundError("none of the data sets exists")

@@ -171,3 +171,50 @@ def test_models_without_versions_are_still_read(spark, tmp_path):
     table = spark.createDataFrame([(1, 0.5)], "campus_key int, a double")
     table.write.parquet(str(tmp_path / "old"))
     assert files.load_model(spark, str(tmp_path / "old")).collect() == table.collect()
+
+
+def test_bad_rows_are_kept_apart_and_counted(spark, tmp_path):
+    header = "note,CampusKey,ts,A,B"
+    good = ["x,1,2024-01-01 00:00:00,1.5,2", "x,1.0,2024-01-01 00:15:00,NaN, ", "x,,,1,1", '"a,b",2,2024-01-01 00:00:00,-1e3,n/a']
+    bad = {
+        "x,1,2024-01-01 00:00:00,1": ["number of fields"],
+        "x,1,2024-01-01 00:00:00,1,2,3": ["number of fields"],
+        "x,1,2024-01-01 00:00:00,1,2,": ["number of fields"],
+        "x,one,2024-01-01 00:00:00,1,2": ["CampusKey"],
+        "x,1.5,2024-01-01 00:00:00,1,2": ["CampusKey"],
+        "x,99999999999,2024-01-01 00:00:00,1,2": ["CampusKey"],
+        "x,1,yesterday,1,2": ["ts"],
+        "x,1,,1,2": ["ts"],
+        "x,1,2024-01-01 00:00:00,1 kW,about": ["A", "B"],
+    }
+    (tmp_path / "r.csv").write_text("\n".join([header, *good, *bad]) + "\n")
+    found = files.read_checked(spark, str(tmp_path / "r.csv"), features=["B", "A"])
+    rows = sorted(((r[SITE], str(r.ts), r.A, r.B) for r in found.readings.collect()), key=str)
+    assert rows == [
+        (1, "2024-01-01 00:00:00", 1.5, 2.0),
+        (1, "2024-01-01 00:15:00", None, None),
+        (2, "2024-01-01 00:00:00", -1000.0, None),
+        (None, "None", 1.0, 1.0),
+    ]
+    rejects = {r.line: sorted(r.reasons) for r in found.rejects.collect()}
+    assert rejects == bad and all(r.file.endswith("r.csv") for r in found.rejects.collect())
+    assert found.counts == {"lines": 13, "rejected": 9, "without_site": 1, "missing_B": 2, "missing_A": 1}
+    (tmp_path / "r.csv").write_text(header + "\n")
+    empty = files.read_checked(spark, str(tmp_path / "r.csv"), features=["A"])
+    assert empty.readings.count() == empty.rejects.count() == empty.counts["lines"] == 0
+
+
+def test_load_reports_what_each_file_lost(spark, tmp_path, monkeypatch):
+    rows = [reading(1, 0, 2.5), reading(3, 0, 2.5), reading(3, 15, 1.0), reading("", 0, 1), reading(1, 15, "much")]
+    path = write_csv(tmp_path / "v.csv", rows)
+    stats = spark.createDataFrame([("1", 0.5, 2.0)], f"campus_key string, {TARGET}_mean double, {TARGET}_std double")
+    report = {}
+    with pytest.warns(UserWarning, match="1 of 5 rows"):
+        df = files.load_datasets(spark, {"validation": path}, stats, cols=[TARGET], report=report)
+    got = report["validation"]
+    assert (got["lines"], got["rejected"], got["without_site"]) == (5, 1, 1)
+    assert (got["unknown_sites"], got["unknown_site_rows"], got[f"missing_{TARGET}"]) == (1, 2, 0)
+    assert [r.reasons for r in got["rejects"].collect()] == [[TARGET]]
+    # What follows reads the stored rows: the file itself is read in one pass only.
+    assert "csv" not in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert [r[TARGET] for r in df.collect()] == [1.0]
