@@ -578,31 +578,45 @@ since AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER B
 SELECT epoch, {r('rate')}, {r('ar_rmse')}, {r('best')}, improved FROM since
 WHERE epoch <= coalesce((SELECT min(epoch) FROM since WHERE waited >= 3), 9)""")
 
-# Two swap-or-not shuffles round by round: blocks, then the places inside each full or last block.
+# Two levels of Feistel networks, a table expression per round: blocks, then places inside.
+def _shuffle(last: str, prefix: str, x: str, of: str, keys: list) -> str:
+    """Permutes column x (below `size`, with `h` and `low`) of the table expression `last`."""
+    for i, rounds in enumerate(keys):
+        begin = "size - h" if i % 2 else "0"
+        part(f"{prefix}{i}", last, f"""
+          SELECT * EXCLUDE (y), greatest(y, 0) // low AS upper_half, greatest(y, 0) % low AS lower_half, y >= 0 AND y < h AS moves
+          FROM (SELECT *, {x} - ({begin}) AS y FROM {last})""")
+        last = f"{prefix}{i}"
+        for j, (m, a, c) in enumerate(rounds):
+            half, other, mask = ("upper_half", "lower_half", "h // low - 1") if j % 2 == 0 else ("lower_half", "upper_half", "low - 1")
+            part(f"{prefix}{i}_{j}", last, f"""
+              SELECT * EXCLUDE ({half}, f), xor({half}, (f * f % {PRIME} >> 9) & ({mask})) AS {half}
+              FROM (SELECT *, (({other} + {of} % {PRIME} * {m} % {PRIME}) % {PRIME} * {a} % {PRIME} + {c}) % {PRIME} AS f FROM {last})""")
+            last = f"{prefix}{i}_{j}"
+        part(f"{prefix}{i}_end", last, f"""
+          SELECT * EXCLUDE ({x}, upper_half, lower_half, moves),
+            CASE WHEN moves THEN {begin} + upper_half * low + lower_half ELSE {x} END AS {x} FROM {last}""")
+        last = f"{prefix}{i}_end"
+    return last
+
+
+def _powers(n: str) -> str:
+    bits = f"CAST(floor(log2(greatest({n}, 1)) + 1e-9) AS BIGINT)"
+    return f"{n} AS size, CAST(1 AS BIGINT) << {bits} AS h, CAST(1 AS BIGINT) << (({bits} + 1) // 2) AS low"
+
+
 part("ord_start", "numbers", f"""
   SELECT campus_key, start_idx, sample_id, sample_id // {BLOCK} AS block, sample_id % {BLOCK} AS inside,
     count(*) OVER () // {BLOCK} AS full_blocks, count(*) OVER () % {BLOCK} AS tail FROM numbers""")
-part("ord_b", "ord_start", "SELECT DISTINCT block, block AS moved, full_blocks FROM ord_start WHERE block < full_blocks")
-
-
-def _turn(x: str, size: str, of: str, key: tuple) -> str:
-    k, m, a, b, c = key
-    swap = f"((({k} + {m} * {of} % {PRIME}) % {PRIME} % {size} - {x}) % {size} + {size}) % {size}"
-    mixed = f"({a} * greatest({x}, {swap}) + {b} * ({of} + 1) % {PRIME}) % {PRIME}"
-    return f"CASE WHEN ({mixed} * ({mixed}) + {c}) % {PRIME} % 2 = 1 THEN {swap} ELSE {x} END"
-
-
-_last = "ord_b"
-for _i, _key in enumerate(round_keys("s1", 4, "blocks")):
-    part(f"ord_b{_i}", _last, f"SELECT block, {_turn('moved', 'full_blocks', '0', _key)} AS moved, full_blocks FROM {_last}")
-    _last = f"ord_b{_i}"
-part("ord_i", f"ord_start {_last}", f"""
-  SELECT s.*, coalesce(b.moved, s.block) AS moved, CASE WHEN s.block < s.full_blocks THEN {BLOCK} ELSE tail END AS size
-  FROM ord_start s LEFT JOIN {_last} b ON b.block = s.block""")
-_last = "ord_i"
-for _i, _key in enumerate(round_keys("s1", 4, "inside")):
-    part(f"ord_i{_i}", _last, f"SELECT * EXCLUDE (inside), {_turn('inside', 'size', 'block', _key)} AS inside FROM {_last}")
-    _last = f"ord_i{_i}"
+part("ord_blocks", "ord_start", f"""
+  SELECT block, block AS moved, {_powers("full_blocks")} FROM (SELECT DISTINCT block, full_blocks FROM ord_start)
+  WHERE block < full_blocks""")
+_moved = _shuffle("ord_blocks", "ord_b", "moved", "0", round_keys("s1", 4, "blocks"))
+part("ord_inside", f"ord_start {_moved}", f"""
+  SELECT s.*, coalesce(b.moved, s.block) AS moved,
+    {_powers(f"CASE WHEN s.block < s.full_blocks THEN {BLOCK} ELSE tail END")}
+  FROM ord_start s LEFT JOIN {_moved} b ON b.block = s.block""")
+_last = _shuffle("ord_inside", "ord_i", "inside", "block", round_keys("s1", 4, "inside"))
 ORACLES["epoch_order"] = sql(_last, f"""
 SELECT campus_key, start_idx, sample_id, CAST(moved * {BLOCK} + inside AS BIGINT) AS position, sample_id AS found FROM {_last}""")
 ORACLES["trainer_shards"] = sql("numbers scaled_all", f"""

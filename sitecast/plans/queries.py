@@ -521,8 +521,8 @@ def epoch_order(spark, sf_dir):
     index = numbered(SQ.sample_keys(proxy.target_series(spark, sf_dir)), spark, sf_dir)
     total = SQ.sequence_counts(proxy.lengths(spark, sf_dir)).agg(F.sum("n_sequences")).first()[0] or 0
     order = ORD.EpochOrder(total, SEED, MIX_EPOCH)
-    placed = index.select(SITE, "start_idx", "sample_id", order.position(F.col("sample_id")).alias("position"))
-    return placed.withColumn("found", order.sample_at(F.col("position")))
+    placed = order.with_position(index.select(SITE, "start_idx", "sample_id"))
+    return order.with_sample(placed, name="found")
 
 
 @query

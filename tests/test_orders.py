@@ -11,19 +11,30 @@ from sitecast.sources import shards
 
 
 def plain(number, size, of, keys):
-    p = ORD.PRIME
-    for k, m, a, b, c in keys:
-        other = ((k + m * of % p) % p % size - number) % size
-        mixed = (a * max(number, other) + b * (of + 1) % p) % p
-        number = other if (mixed * mixed + c) % p % 2 else number
+    bits = size.bit_length() - 1
+    h, low, p = 1 << bits, 1 << ((bits + 1) // 2), ORD.PRIME
+    for i, rounds in enumerate(keys):
+        start = size - h if i % 2 else 0
+        if not start <= number < start + h:
+            continue
+        a, b = divmod(number - start, low)
+        for j, (m, mul, c) in enumerate(rounds):
+            mixed = (((b, a)[j % 2] + of * m) % p * mul + c) % p
+            mixed = mixed * mixed % p >> 9
+            if j % 2:
+                b ^= mixed & (low - 1)
+            else:
+                a ^= mixed & (h // low - 1)
+        number = start + a * low + b
     return number
 
 
 @pytest.mark.parametrize("total, block", [(1, 4), (3, 4), (4, 4), (64, 8), (1000, 64), (1023, 1), (997, 2000), (5000, 4096)])
 def test_positions_are_a_permutation_that_can_be_undone(spark, total, block):
     order = ORD.EpochOrder(total, "s", 2, block)
-    df = spark.range(total).select("id", order.position(F.col("id")).alias("at"))
-    got = {r["id"]: (r["at"], r["back"]) for r in df.withColumn("back", order.sample_at(F.col("at"))).collect()}
+    ids = spark.range(total).withColumnRenamed("id", "sample_id")
+    df = order.with_sample(order.with_position(ids), name="back")
+    got = {r["sample_id"]: (r["position"], r["back"]) for r in df.collect()}
     assert sorted(at for at, _ in got.values()) == list(range(total))
     assert all(back == i for i, (_, back) in got.items())
     for i, (at, _) in list(got.items())[:: max(1, total // 50)]:
@@ -33,14 +44,16 @@ def test_positions_are_a_permutation_that_can_be_undone(spark, total, block):
         assert at == moved * block + plain(i % block, size, b, order.inner)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+    nothing = order.with_position(spark.createDataFrame([(None,)], "sample_id bigint"))
+    assert nothing.first()["position"] is None
 
 
 def test_epochs_differ_and_neighbours_part(spark):
-    ids = spark.range(4096)
-    places = [
-        [r["at"] for r in ids.select("id", ORD.EpochOrder(4096, "s", e, 256).position(F.col("id")).alias("at")).orderBy("id").collect()]
-        for e in (0, 1, 0)
-    ]
+    ids = spark.range(4096).withColumnRenamed("id", "sample_id")
+    places = []
+    for epoch in (0, 1, 0):
+        rows = ORD.EpochOrder(4096, "s", epoch, 256).with_position(ids).collect()
+        places.append([r["position"] for r in sorted(rows)])
     assert places[0] == places[2] != places[1]
     apart = sum(abs(a - b) == 1 for a, b in zip(places[0], places[0][1:]))
     fixed = sum(i == at for i, at in enumerate(places[0]))
