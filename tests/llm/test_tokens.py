@@ -13,14 +13,13 @@ from sitecast.llm.tokens import encode_texts
 
 HARD = [
     None, "", " ", "  ", "a", " a", "a  b", "a   b", "a.. b", "a,. b", "a., b", "a!. B", "a.\nB. C, d", "x.\n y",
-    "\n\n\nx", "x \n", "it's, it's.", "\x01\x02", "é, è.", "<|endoftext|> a", "1. 2, 3", "a\u2028 b", "\x1c a. b", "z" * 300 + ". a",
+    "\n\n\nx", "x \n", "it's, it's.", "\x01\x02", "é, è.", "<|endoftext|> a", "hello <|endoftext|> x", "a, b<|endoftext|>. c", "<|endoftext|><|endoftext", "1. 2, 3", "a\u2028 b", "\x1c a. b", "z" * 300 + ". a",
 ]
 
 
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
 
 
