@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitecast.sources.checkpoints import checkpoint_dir, cut
 
-__all__ = ["bytes_of", "cut", "numbered", "shared_path", "ship", "stored", "table", "words_of"]
+__all__ = ["bytes_of", "cut", "free_name", "numbered", "quoted", "shared_path", "ship", "stored", "table", "words_of"]
 
 # Words are runs of characters that are not ASCII white space (space, \t \n \x0B \f \r).
 GAP = r"[\x20\x09-\x0D]+"
@@ -78,3 +78,16 @@ def words_of(text: Column) -> Column:
 def bytes_of(text: Column) -> Column:
     """UTF-8 bytes of a text; a NULL text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` has it (in any case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, points and all."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -19,17 +19,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sitecast.llm.common import bytes_of, cut, ship
+from sitecast.llm.common import bytes_of, cut, free_name, quoted, ship
+from sitecast.operators.chunks import running
 
 # Bytes of an n-gram, 3 to 8: it is kept in 64 bits.
 ORDER = 6
 BYTES = 256
 # Bytes of text for each shard and for each block of documents.
-SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 32_000_000, 64_000_000, 4
+SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 32_000_000, 24_000_000, 4
 LANGUAGE_PARTS = 64
 # Bytes of text whose n-grams are taken at a time.
 SLICE_BYTES, TALLY_ROWS = 2_000_000, 4_000_000
@@ -50,11 +51,6 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct byte trigrams of a text after two line ends, sorted, and how often each occurs."""
-    return np.unique(codes_of(_encoded(text), 3), return_counts=True)
-
-
 def _last(codes: np.ndarray, order: int) -> np.ndarray:
     """The last `order` bytes of n-grams."""
     return codes & np.uint64((1 << 8 * order) - 1)
@@ -240,6 +236,31 @@ def _flags(rows: pa.Table, ids: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x.to_numpy().astype(bool) for x in (good, trusted))
 
 
+def _tallied(bundles, ids: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a block: the n-grams that its trusted texts do not have, those they have, and how often
+    in either fold; each sorted."""
+    empty, tallies = np.array([], np.uint64), [_Tally(), _Tally(), _Tally()]
+    for bundle in bundles:
+        rows = _table(bundle.as_py())
+        _, trusted = _flags(rows, ids)
+        texts, size = [[], [], []], 0
+        for i, text in enumerate(rows["text"]):
+            raw = _encoded(text.as_py())
+            texts[_fold(raw) if trusted[i] else 2].append(codes_of(raw, order))
+            size += len(raw)
+            if size < SLICE_BYTES and i < rows.num_rows - 1:
+                continue
+            for tally, found in zip(tallies, texts, strict=True):
+                tally.add(*np.unique(np.concatenate([empty, *found]), return_counts=True))
+            texts, size = [[], [], []], 0
+    (*codes, seen), (*counts, _) = zip(*(t.sums() for t in tallies), strict=True)
+    own = np.union1d(*codes)
+    n = [np.zeros(len(own), np.int64) for _ in _FOLDS]
+    for k in _FOLDS:
+        n[k][np.searchsorted(own, codes[k])] = counts[k]
+    return np.setdiff1d(seen, own, assume_unique=True), own, n
+
+
 def _asked(dealt: DataFrame, ids: DataFrame, order: int, shards: int) -> DataFrame:
     """What each block asks of each shard: block, shard, others, own.
 
@@ -248,26 +269,7 @@ def _asked(dealt: DataFrame, ids: DataFrame, order: int, shards: int) -> DataFra
     """
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty, tallies = np.array([], np.uint64), [_Tally(), _Tally(), _Tally()]
-        for bundle in left["rows"]:
-            rows = _table(bundle.as_py())
-            _, trusted = _flags(rows, right)
-            texts, size = [[], [], []], 0
-            for i, text in enumerate(rows["text"].to_pylist()):
-                raw = _encoded(text)
-                texts[_fold(raw) if trusted[i] else 2].append(codes_of(raw, order))
-                size += len(raw)
-                if size < SLICE_BYTES and i < rows.num_rows - 1:
-                    continue
-                for tally, found in zip(tallies, texts, strict=True):
-                    tally.add(*np.unique(np.concatenate([empty, *found]), return_counts=True))
-                texts, size = [[], [], []], 0
-        (*codes, seen), (*counts, _) = zip(*(t.sums() for t in tallies), strict=True)
-        own = np.union1d(*codes)
-        n = [np.zeros(len(own), np.int64) for _ in _FOLDS]
-        for k in _FOLDS:
-            n[k][np.searchsorted(own, codes[k])] = counts[k]
-        others = np.setdiff1d(seen, own, assume_unique=True)
+        others, own, n = _tallied(left["rows"], right, order)
         at_own, at_others = _shard_of(own, shards), _shard_of(others, shards)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, right.schema) as out:
@@ -327,8 +329,9 @@ def _frequencies(counted: DataFrame, order: int) -> dict[tuple[int, int], dict[i
 
 
 def _answered(asked: DataFrame, counted: DataFrame, order: int) -> DataFrame:
-    """The rows of `asked` with logs: log p of `others` and `own` under all trusted texts, then of
-    the n-grams of either fold under the texts of the other one."""
+    """(block, shard, logs): log p of `others` and `own` under all trusted texts, then of the
+    n-grams of either fold under the texts of the other one, in the order of the n-grams. These
+    stay behind: a block finds its n-grams again in its texts."""
     found = _frequencies(counted, order)
     models = {
         which: (
@@ -352,19 +355,13 @@ def _answered(asked: DataFrame, counted: DataFrame, order: int) -> DataFrame:
             # A fold's texts are held against the model of the other one.
             values += [levels[1 - k].log_probabilities(mine[seen[k] > 0], *models[1 - k]) for k in _FOLDS]
             logs.append(np.concatenate(values).astype("<f4").tobytes())
-        return pa.table({
-            "block": left["block"],
-            "shard": left["shard"],
-            "others": left["others"],
-            "own": left["own"],
-            "logs": pa.array(logs, pa.binary()),
-        })
+        return pa.table({"block": left["block"], "shard": left["shard"], "logs": pa.array(logs, pa.binary())})
 
     return (
         asked.filter("shard >= 0")
         .groupBy("shard")
         .cogroup(counted.groupBy("shard"))
-        .applyInArrow(answer, "block int, shard int, others binary, own binary, logs binary")
+        .applyInArrow(answer, "block int, shard int, logs binary")
     )
 
 
@@ -392,25 +389,27 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     dealt = _dealt(docs, F.when(F.col("doc_id").isNotNull(), by_id).otherwise(by_text))
     asked = cut(_asked(dealt, ids, order, shards))
     answered = _answered(asked, cut(_counted(asked)), order)
-    of_ids = asked.filter("shard < 0").withColumn("logs", F.lit(b""))
+    of_ids = asked.filter("shard < 0").select("block", "shard", F.col("own").alias("logs"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes, logs, ids = [np.array([], np.uint64)], [np.zeros((3, 0), "<f4")], None
-        for k, others, mine, values in zip(*(right[c] for c in ("shard", "others", "own", "logs")), strict=True):
-            if k.as_py() < 0:
-                ids = _table(mine.as_py())
-                continue
-            rest, (grams, *n) = unpacked(others.as_py())[0], unpacked(mine.as_py())
-            both, held = np.frombuffer(values.as_py(), "<f4"), [x > 0 for x in n]
-            table = np.full((3, len(rest) + len(grams)), np.nan, "<f4")
-            table[_ALL] = both[: table.shape[1]]
-            at = table.shape[1]
+        answers = dict(zip(right["shard"].to_pylist(), right["logs"], strict=True))
+        ids = _table(answers.pop(-1).as_py()) if -1 in answers else None
+        if ids is None:
+            return schema.empty_table()
+        others, own_grams, counts = _tallied(left["rows"], ids, order)
+        every = np.concatenate([others, own_grams])
+        table = np.full((3, len(every)), np.nan, "<f4")
+        at_others, at_own = _shard_of(others, shards), _shard_of(own_grams, shards)
+        for k in list(answers):
+            values = np.frombuffer(answers.pop(k).as_py(), "<f4")
+            mine = np.flatnonzero(at_own == k)
+            placed = np.concatenate([np.flatnonzero(at_others == k), len(others) + mine])
+            table[_ALL, placed] = values[: len(placed)]
+            at = len(placed)
             for i in _FOLDS:
-                table[i, len(rest) :][held[i]] = both[at : at + held[i].sum()]
-                at += held[i].sum()
-            codes += [rest, grams]
-            logs.append(table)
-        every, table = np.concatenate(codes), np.concatenate(logs, axis=1)
+                held = len(others) + mine[counts[i][mine] > 0]
+                table[i, held] = values[at : at + len(held)]
+                at += len(held)
         order_of = np.argsort(every)
         every, table = every[order_of], table[:, order_of]
         places = _Places(every)
@@ -434,7 +433,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Data
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
     result = f"{kinds}n_bytes long, nats double, held double"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
-    right = answered.unionByName(of_ids)
+    right = answered.unionByName(of_ids)  # one row per shard and block
     return dealt.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, result)
 
 
@@ -449,13 +448,9 @@ def thresholds(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     named = texts.select(F.coalesce("lang", F.lit("")).alias("lang"), step)
     steps = named.unionByName(texts.select(F.lit("*").alias("lang"), step))
     bins = steps.groupBy("lang", "step").count()
-    order = Window.partitionBy("lang").orderBy("step")
-    ranked = bins.select(
-        "lang",
-        "step",
-        F.sum("count").over(order).alias("upto"),
-        F.sum("count").over(Window.partitionBy("lang")).alias("total"),
-    )
+    # The running sum goes by stretches of steps, so no language is one task.
+    totals = bins.groupBy("lang").agg(F.sum("count").alias("total"))
+    ranked = running(bins, {"upto": ("count", "sum")}, keys=("lang",), idx="step").join(totals, "lang")
     enough = (F.col("upto") >= quantile * F.col("total")) & (
         (F.col("total") >= MIN_TRUSTED) | (F.col("lang") == "*")
     )
@@ -520,11 +515,15 @@ def keep(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
     A verdict depends on language and text alone, so the rejected rows are those whose language,
-    text length and two hashes of the text (96 bits) are those of a rejected one.
+    text length and two hashes of the text (96 bits) are those of a rejected one. Columns may
+    have any names; their values are those of `docs`.
     """
     text = F.coalesce("text", F.lit(""))
-    keys = {"_a": F.xxhash64(text), "_b": F.hash(text), "_c": F.octet_length(text)}
-    rows = docs.withColumns(keys | {"_lang": F.coalesce("lang", F.lit(""))})
+    hashes = (F.xxhash64(text), F.hash(text), F.octet_length(text))
+    keys = {free_name(docs, f"_key_{i}"): h for i, h in enumerate(hashes)}
+    lang = free_name(docs, "_key_lang")
+    rows = docs.withColumns(keys | {lang: F.coalesce("lang", F.lit(""))})
     judged = _judged(rows.select("doc_id", "lang", *keys, "text"), labels, order)
-    rejected = judged.filter(~F.col("kept")).select(F.coalesce("lang", F.lit("")).alias("_lang"), *keys)
-    return rows.join(rejected.distinct(), ["_lang", *keys], "left_anti").select(*docs.columns)
+    rejected = judged.filter(~F.col("kept")).select(F.coalesce("lang", F.lit("")).alias(lang), *keys)
+    kept = rows.join(rejected.distinct(), [lang, *keys], "left_anti")
+    return kept.select(*[quoted(c) for c in docs.columns])

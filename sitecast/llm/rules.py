@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import cut, words_of
+from sitecast.llm.common import cut, free_name, words_of
 
 SAMPLE_ROWS, SAMPLE_SEED, REPEATS = 2_000, 7, 2
 MIN_SECONDS = 1e-3
@@ -165,10 +165,16 @@ def apply_rules(
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
-    """The rows of `docs` that pass, with the columns of `docs`.
+    """The rows of `docs` that pass, with the columns of `docs`, their values untouched.
 
-    The row number keeps the optimiser from pushing the condition below the steps it is built
-    of, where each would be written out, and computed, as often as it is used.
+    The caller's columns travel as one, so those with the names of new ones come back as they
+    were; rules see the new ones. The row number keeps the optimiser from pushing the condition
+    below the steps it is built of, where each would be written out, and computed, as often as
+    it is used.
     """
-    judged = apply_rules(docs, rules, text).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    own = free_name(docs, "_caller")
+    row = free_name(docs, "_caller_row")
+    judged = apply_rules(docs.select("*", F.struct("*").alias(own)), rules, text)
+    judged = judged.withColumn(row, F.monotonically_increasing_id())
+    passed = judged.filter(F.col("kept") & (F.col(row) >= 0))
+    return passed.select(*[F.col(own)[c].alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import cut, ship
+from sitecast.llm.common import cut, free_name, quoted, ship
 from sitecast.llm.components import components
 from sitecast.llm.shingles import shingle_hashes
 
@@ -207,14 +207,14 @@ def keep_one(
     """One row of `docs` per component: the one with its smallest doc_id.
 
     Of rows that share this doc_id, or of a component without any doc_id, the one with the
-    smallest hash of its text stays; of equal rows any one.
+    smallest hash of its text stays; of equal rows any one. Columns may have any names; their
+    values are those of `docs`.
     """
-    keyed = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    found = near_duplicates(keyed, text, width, max_bits, ["_text"])
+    key, own_id, own_key = (free_name(docs, n) for n in ("_text_hash", "_kept_id", "_kept_hash"))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    found = near_duplicates(keyed, text, width, max_bits, [key])
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy("class_fp").agg(
-        F.first("component_id").alias("_id"), F.min("_text").alias("_key")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    kept = keyed.join(chosen.select("_id", "_key"), same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    chosen = first.groupBy("class_fp").agg(F.first("component_id").alias(own_id), F.min(key).alias(own_key))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
+    kept = keyed.join(chosen.select(own_id, own_key), same, "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*[quoted(c) for c in docs.columns])

@@ -52,7 +52,7 @@ def brute(texts):
 
 def test_packed_trigrams_come_back():
     for text in [None, "", "a", "é" * 3, "ab" * 500, "".join(map(chr, range(1, 3000)))]:
-        codes, counts = kn.trigrams(text)
+        codes, counts = np.unique(kn.codes_of((text or "").encode(), 3), return_counts=True)
         again = kn.unpacked(kn.packed(codes, counts))
         assert (again[0] == codes).all() and (again[1] == counts).all()
 
