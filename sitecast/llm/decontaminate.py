@@ -5,7 +5,9 @@ little. Items are partitioned by size into classes of powers of two; for each cl
 document is seen through overlapping windows that fit the class, so an item lies whole in some
 window with a similarity of at least 0.8 / 2.7. A window and an item that share a MinHash under
 any of the functions are a candidate, verified by exact containment of the item's shingles in
-the whole document. With 64 functions less than one planted item in 10^9 is missed.
+the whole document. Windows hold 20 shingles or more, so items of fewer than eight shingles would
+be too small a part of one: any of their shingles makes a candidate, which misses none. Of the
+others, planted whole, less than one in 10^9 is missed.
 """
 
 from collections.abc import Iterator
@@ -14,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sitecast.llm.common import ship
+from sitecast.llm.common import ship, stored
 from sitecast.llm.shingles import shingle_hashes
 
 WIDTH, THRESHOLD, FUNCTIONS, SEED = 5, 0.8, 64, 11
 # Shingles of the items that one pass over the documents compares; more items take more passes.
 SHINGLES_PER_PASS = 1 << 20
 MIN_LEVEL = 2
+# Items of fewer shingles are looked up by their shingles.
+SHORT = 8
 FILTER_BITS = 22
 BATCH_SHINGLES = 1 << 17
 FOUND = "item_id {key}, n_shared long, n_item long, containment double"
@@ -61,15 +65,26 @@ class ItemIndex:
         self.multipliers = _multipliers(functions, seed)
         self.ids, self.sets = [], []
         by_level: dict[int, list[tuple[int, np.ndarray]]] = {}
+        short: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             hashes = shingle_hashes(text, width)
             if not len(hashes):
                 continue
+            if len(hashes) < SHORT:
+                short.append((len(self.ids), np.unique(hashes)))
+                self.ids.append(item_id)
+                self.sets.append(short[-1][1])
+                continue
             # A class holds n in 2^c .. 2^(c+1) - 1; its blocks have 2^(c-1) shingles.
             level = max(len(hashes).bit_length() - 2, MIN_LEVEL)
             by_level.setdefault(level, []).append((len(self.ids), hashes))
             self.ids.append(item_id)
             self.sets.append(np.unique(hashes))
+        empty = np.array([], np.uint64)
+        keys = np.concatenate([empty, *[x for _, x in short]])
+        at = np.repeat([i for i, _ in short], [len(x) for _, x in short]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.short_keys, self.short_items = keys[order], at[order]
         self.levels = {}
         for level, members in sorted(by_level.items()):
             lists = [np.array([m[0] for m in members], dtype=np.int64)] * functions
@@ -97,10 +112,13 @@ class ItemIndex:
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(place of the document, place of the item) of windows that share a MinHash."""
         docs_at = [i for i, d in enumerate(docs) if len(d)]
-        if not docs_at or not self.levels:
+        if not docs_at:
             return set()
         sizes = np.array([len(docs[i]) for i in docs_at], dtype=np.int64)
         flat = np.concatenate([docs[i] for i in docs_at])
+        found = self._short(flat, np.repeat(docs_at, sizes))
+        if not self.levels:
+            return found
         base, top = min(self.levels), max(self.levels)
         # Documents become whole blocks; the last shingle fills the last block up.
         blocks = -(-sizes // (1 << base))
@@ -115,7 +133,6 @@ class ItemIndex:
             if level > base:
                 n, halves = _halved(n)
             steps.append((level, halves, _windows(n) if level in self.levels else None))
-        found: set[tuple[int, int]] = set()
         for f in range(len(self.multipliers)):
             least = self._mixed(low, high, f)
             for _ in range(base):
@@ -127,6 +144,18 @@ class ItemIndex:
                     found |= self._matches(level, f, windows, least, docs_at)
         return found
 
+    def _short(self, shingles: np.ndarray, doc_of: np.ndarray) -> set[tuple[int, int]]:
+        """(document, short item) pairs that share a shingle."""
+        if not len(self.short_keys):
+            return set()
+        start = np.searchsorted(self.short_keys, shingles, "left")
+        hits = np.flatnonzero(self.short_keys[np.minimum(start, len(self.short_keys) - 1)] == shingles)
+        pairs = set()
+        for i in hits:
+            end = np.searchsorted(self.short_keys, shingles[i], "right")
+            pairs.update((int(doc_of[i]), int(j)) for j in self.short_items[start[i] : end])
+        return pairs
+
     def _matches(
         self, level: int, f: int, windows: tuple[np.ndarray, ...], least: np.ndarray, docs_at: list[int]
     ) -> set[tuple[int, int]]:
@@ -171,17 +200,19 @@ def item_indexes(
     functions: int = FUNCTIONS,
     seed: int = SEED,
     per_pass: int = SHINGLES_PER_PASS,
-) -> list[ItemIndex]:
-    """The stated query set in blocks of at most `per_pass` shingles (or one longer item)."""
-    blocks, now, held = [], [], 0
+) -> Iterator[ItemIndex]:
+    """The stated query set in blocks of at most `per_pass` words (or one longer item), one at a
+    time."""
+    now, held = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        size = (row["text"] or "").count(" ") + 1
+        size = len((row["text"] or "").split()) + 1
         if now and held + size > per_pass:
-            blocks.append(now)
+            yield ItemIndex(now, width, functions, seed)
             now, held = [], 0
         now.append((row["item_id"], row["text"]))
         held += size
-    return [ItemIndex(block, width, functions, seed) for block in [*blocks, now] if block]
+    if now:
+        yield ItemIndex(now, width, functions, seed)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,10 +228,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     ship(spark)
     doc_key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_key}, " + FOUND.format(key=benchmark.schema["item_id"].dataType.simpleString())
-    passes = [_pairs(docs.select("doc_id", "text"), i, threshold, schema) for i in item_indexes(benchmark)]
-    out = spark.createDataFrame([], schema)
-    for found in passes:
-        out = out.unionByName(found)
+    blocks = item_indexes(benchmark)
+    out, index = spark.createDataFrame([], schema), next(blocks, None)
+    while index is not None:
+        found = _pairs(docs.select("doc_id", "text"), index, threshold, schema)
+        index = next(blocks, None)
+        # Where more blocks come, this one's pairs are stored, so that one index is held at a time.
+        out = out.unionByName(found if index is None else stored(found, "contaminated"))
     return out
 
 
@@ -231,7 +265,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     """The rows of `docs` that contain no item, whole and with all columns, without a shuffle."""
     ship(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in item_indexes(benchmark):
+    blocks = item_indexes(benchmark)
+    index = next(blocks, None)
+    while index is not None:
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -242,4 +278,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        index = next(blocks, None)
+        if index is not None:
+            docs = stored(docs, "decontaminated")
     return docs

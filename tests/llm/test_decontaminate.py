@@ -50,3 +50,38 @@ def test_edges(spark, docs, monkeypatch):
     assert dc.contaminated(docs(rows), none).count() == 0
     assert dc.without_contaminated(docs(rows), none).count() == 6
     assert dc.contaminated(docs([]), benchmark).count() == 0
+
+
+def test_short_items_are_never_missed():
+    """Items of one to seven shingles in documents of every length near theirs, and longer."""
+    rng = random.Random(9)
+    items = [words(rng, 5 + i % 7) for i in range(1400)]
+    index = dc.ItemIndex([(i, " ".join(x)) for i, x in enumerate(items)], dc.WIDTH, dc.FUNCTIONS, dc.SEED)
+    texts = []
+    for item in items:
+        body = words(rng, rng.choice([0, 1, 9, 120, 125]))
+        at = rng.randint(0, len(body))
+        texts.append(" ".join(body[:at] + item + body[at:]))
+    found = {(at, item) for at, item, _, _ in index.contained(texts, dc.THRESHOLD)}
+    assert found == {(i, i) for i in range(len(items))}
+
+
+def test_recall_of_items_scattered_over_a_document():
+    """Items whose sentences lie apart are not promised; most are found, none wrongly."""
+    rng = random.Random(10)
+    items = [words(rng, rng.randint(30, 60)) for _ in range(300)]
+    index = dc.ItemIndex([(i, " ".join(x)) for i, x in enumerate(items)], dc.WIDTH, dc.FUNCTIONS, dc.SEED)
+    texts = []
+    for item in items:
+        half = len(item) // 2
+        texts.append(" ".join(words(rng, 40) + item[:half] + words(rng, 60) + item[half:] + words(rng, 40)))
+    found = {(at, item) for at, item, _, _ in index.contained(texts, dc.THRESHOLD)}
+    exact = set()
+    for at, text in enumerate(texts):
+        whole = set(dc.shingle_hashes(text, dc.WIDTH).tolist())
+        mine = set(dc.shingle_hashes(" ".join(items[at]), dc.WIDTH).tolist())
+        if len(mine & whole) >= dc.THRESHOLD * len(mine):
+            exact.add((at, at))
+    assert found <= exact and len(exact) > 200
+    print("recall of halved items", len(found) / len(exact))
+    assert len(found) >= 0.9 * len(exact)
