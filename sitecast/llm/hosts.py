@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import cut
+from sitecast.llm.common import cut, free_name
 
 # Common public suffixes of two labels.
 TWO_LABEL_SUFFIXES = (
@@ -117,23 +117,25 @@ def with_outcome(pages: DataFrame) -> DataFrame:
     """`pages` with `outcome`, from a labelling function over the visible text of `html`.
 
     1 if it reads like prose, 0 if it has more than one of `#*$%&|` in ten words or more
-    capitals than small letters, NULL if it has no word.
+    capitals than small letters, NULL if it has no word. A column named `outcome` is replaced,
+    all others come back as they were.
     """
+    visible = free_name(pages, "visible")
     markup = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
     plain = F.replace(F.regexp_replace("html", markup, " "), F.lit("&amp;"), F.lit("&"))
-    text = F.trim(F.regexp_replace(F.col("visible"), r"[\x20\x09-\x0D]+", " "))
+    text = F.trim(F.regexp_replace(F.col(visible), r"[\x20\x09-\x0D]+", " "))
 
     def n_of(kept: str) -> Column:
-        return F.length(F.regexp_replace("visible", f"[^{kept}]+", ""))
+        return F.length(F.regexp_replace(visible, f"[^{kept}]+", ""))
 
-    words = F.size(F.split("visible", " "))
+    words = F.size(F.split(visible, " "))
     bad = (n_of(r"#*$%&|") * 10 > words) | (n_of(r"\p{Lu}") > n_of(r"\p{Ll}"))
-    outcome = F.when(F.col("visible") != "", F.when(bad, 0).otherwise(1))
+    outcome = F.when(F.col(visible) != "", F.when(bad, 0).otherwise(1))
     return (
-        pages.withColumn("visible", plain)
-        .withColumn("visible", text)
+        pages.withColumn(visible, plain)
+        .withColumn(visible, text)
         .withColumn("outcome", outcome)
-        .drop("visible")
+        .drop(visible)
     )
 
 

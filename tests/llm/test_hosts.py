@@ -56,3 +56,11 @@ def test_registered_domains_and_empty_table(spark):
     assert got == [("b.co.uk", "co.uk"), ("y.net", "net"), ("net", "net"), ("", "")]
     assert judged(spark, []) == {}
     assert judged(spark, [("http://a.net/", None)])[0]["verdict"] in ("allow", "block")
+
+
+def test_outcomes_of_missing_pages_and_clashing_names(spark):
+    rows = [(1, None), (2, ""), (3, "<p>Plain words of a page.</p>"), (4, "#* $% |& x"), (5, "ALL LOUD <b>WORDS</b>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'mine' AS visible", "'mine' AS Outcome")
+    got = hosts.with_outcome(pages).collect()
+    assert {r["page_id"]: r["outcome"] for r in got} == {1: None, 2: None, 3: 1, 4: 0, 5: 0}
+    assert all(r["visible"] == "mine" for r in got)
