@@ -195,8 +195,3 @@ def closed_ar1(a: Column, b: Column, seed: Column, step: Column | int) -> Column
         a * (1 - power) / F.nullif(1 - b, F.lit(0.0))
     )
     return power * seed + drift
-
-
-def rolled_ar1(a: Column, b: Column, seed: Column, step: Column) -> Column:
-    """The same by stepping through it; only for checking the closed form."""
-    return F.aggregate(F.sequence(F.lit(0), step), seed, lambda acc, _: a + b * acc)

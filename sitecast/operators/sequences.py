@@ -32,6 +32,9 @@ from sitecast.schema import (
     TIME,
 )
 
+# Picked windows that travel to all tasks; a pick is 116 rows of keys.
+MAX_SENT_PICKS = 10_000
+
 
 def sequence_counts(
     df: DataFrame, lookback: int = LOOKBACK, horizon: int = HORIZON, keys: Sequence[str] = KEYS
@@ -337,15 +340,28 @@ def picked_rows(
     lookback: int = LOOKBACK,
     horizon: int = HORIZON,
     keys: Sequence[str] = KEYS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """The rows of `series` that the picked samples (`keys`, start_idx) cover.
 
-    A pick covers lookback + horizon rows, so the lookup table is as bounded as the picks and
-    the series is never moved for them.
+    Up to MAX_SENT_PICKS picks go to where the series lies, which is not moved for them; more
+    of them meet it by site and row. `at_most` says how many there can be; else they are counted.
     """
     span = F.sequence(F.col("start_idx"), F.col("start_idx") + lookback + horizon - 1)
     rows = picks.select(*keys, F.explode(span).alias("row_idx")).distinct()
-    return series.join(F.broadcast(rows), [*keys, "row_idx"], "left_semi")
+    return series.join(_sent(rows, picks, at_most), [*keys, "row_idx"], "left_semi")
+
+
+def _sent(rows: DataFrame, picks: DataFrame, at_most: int | None) -> DataFrame:
+    n = picks.limit(MAX_SENT_PICKS + 1).count() if at_most is None else at_most
+    return F.broadcast(rows) if n <= MAX_SENT_PICKS else rows.hint("merge")
+
+
+def with_picks(
+    sample: DataFrame, picks: DataFrame, keys: Sequence[str] = KEYS, at_most: int | None = None
+) -> DataFrame:
+    """The samples that were picked, with the columns of `picks`."""
+    return sample.join(_sent(picks, picks, at_most), [*keys, "start_idx"])
 
 
 def _cuts(shares: dict[str, tuple[int, int]], total: int) -> Column:

@@ -7,6 +7,7 @@ from sitecast.operators.chunks import attach_by_site
 from sitecast.operators.metrics import r2_from
 from sitecast.operators.models import regression, with_lag
 from sitecast.schema import SITE, TARGET
+from sitecast.sources.checkpoints import cut
 
 # Pairs, means of x and y, and sums of squares and products about these means.
 _MOMENTS = ["n", "mx", "my", "cxx", "cxy", "cyy"]
@@ -71,7 +72,8 @@ def cross_site_scores(df: DataFrame, value: str = TARGET, scope: str = "within")
     """
     pairs = with_lag(df.select("city", SITE, "row_idx", value), value)
     y, x = F.col(value), F.col("before")
-    site = pairs.groupBy("city", SITE).agg(*regression(y, x), *_pair_moments(y, x))
+    # A row per site, stored: several sums over the sites follow, none of them over the data.
+    site = cut(pairs.groupBy("city", SITE).agg(*regression(y, x), *_pair_moments(y, x)))
     means = site.groupBy("city").agg(F.count(F.lit(1)).alias("n_sites"), *_means())
     placed = attach_by_site(site, means, key="city")
     city = placed.groupBy("city").agg(*_about_means())

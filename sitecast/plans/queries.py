@@ -546,9 +546,10 @@ def forecast_samples(spark, sf_dir):
     """Fifty forecast windows per data set beside the truth."""
     series = SQ.split_by_time(modelled_target(spark, sf_dir), EV.SHARES, 100)
     picks = SQ.sample_windows(SQ.sample_keys(series, keys=DATASET_KEYS), PICKS, SEED)
-    rows = SQ.picked_rows(series, picks, keys=DATASET_KEYS)
+    most = PICKS * len(EV.SHARES)
+    rows = SQ.picked_rows(series, picks, keys=DATASET_KEYS, at_most=most)
     sample = SQ.samples(rows, keep=MD.model_columns(), keys=DATASET_KEYS)
-    picked = sample.join(F.broadcast(picks), [*DATASET_KEYS, "start_idx"])
+    picked = SQ.with_picks(sample, picks, DATASET_KEYS, most)
     out = EV.in_kilowatts(FC.forecast_ar(SQ.cells(picked)))
     minutes = ((F.col("step") + 1) * 15).alias("minutes_ahead")
     return out.select("dataset", "pick", SITE, "start_idx", minutes, num("y"), num("yhat"))

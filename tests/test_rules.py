@@ -322,6 +322,20 @@ def test_window_sample_is_bounded_and_complete(spark):
     assert len({(r.dataset, r.start_idx) for r in out}) == 59
 
 
+def test_many_picks_find_the_same_rows(spark, monkeypatch):
+    df = frame(spark, [float(i) for i in range(300)]).withColumn("dataset", F.lit("d"))
+    keys = ("dataset", "campus_key")
+    picks = SQ.sample_windows(SQ.sample_keys(df, keys=keys), 4, "s").cache()
+    few = SQ.picked_rows(df, picks, keys=keys)
+    monkeypatch.setattr(SQ, "MAX_SENT_PICKS", 3)
+    many = SQ.picked_rows(df, picks, keys=keys)
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (few, many)]
+    assert "strategy=broadcast" in plans[0] and "strategy=merge" in plans[1]
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() > 116
+    sample = SQ.samples(many, keys=keys)
+    assert SQ.with_picks(sample, picks, keys).count() == 4
+
+
 def test_running_folds_on_sparse_rows(spark):
     values = {0: 3.0, 7: None, 8: 2.0, 40: 5.0, 41: None, 300: 1.0}
     df = spark.createDataFrame([(1, i, v) for i, v in values.items()], "campus_key int, row_idx bigint, v double")
