@@ -57,8 +57,9 @@ class WordEncoder:
         before a letter, a mark or a single space. None for words that hold white space."""
         back = new & self.older.keys()
         self.known.update({w: self.older[w] for w in back})
-        plain = [w for w in new if w.isalnum() and w not in back]
-        for word in [w for w in new if not w.isalnum()]:
+        other = {w for w in new if not w.isalnum()}
+        plain = list(new - back - other)
+        for word in other:
             if word not in back:
                 if len(word.split()) == 1 and word == word.strip():
                     plain.append(word)
@@ -89,10 +90,10 @@ class WordEncoder:
             inside[ends[1:] - 1] = False  # nothing comes after the last space
             codes = coded.indices.to_numpy()[inside]
             ends = ends - np.arange(len(ends))
-            words = coded.dictionary.to_pylist()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             ids = list(map(self.known.get, words))
-            new = {w for w, i in zip(words, ids, strict=True) if i is None}
-            self._learn(new - self.known.keys())
+            new = {w for w, i in zip(words, ids, strict=True) if i is None and w not in self.known}
+            self._learn(new)
             ids = [self.known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
             # A text stays whole if a word cannot be cut out, or if a point or comma follows a
             # word that ends in a mark: one token may hold both.
