@@ -10,7 +10,7 @@ from sitecast.llm import kneser_ney, rules, simhash
 NAMES = [
     *rules.STATS, "base_failed", "rejected_by", "kept", "KEPT_too", "_row", "_caller", "_caller_row", "fp", "fingerprint",
     "component_id", "class_fp", "_text", "_text_hash", "_id", "_key", "_kept_id", "_kept_hash", "_a", "_b", "_c", "_lang",
-    "_key_0", "_key_1", "_key_2", "_key_lang", "n_bytes", "nats", "held", "top", "block", "_block", "shard", "limit", "a.b",
+    "_w", "_l", "_g", "_s", "_p", "_key_0", "_key_1", "_key_2", "_key_lang", "n_bytes", "nats", "held", "top", "block", "_block", "shard", "limit", "a.b",
 ]
 
 
