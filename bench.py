@@ -34,6 +34,9 @@ HEADLINE = [
     "stats_table",
     "arx_forecast",
     "refine_history",
+    "joint_forecast",
+    "tree_forecast",
+    "incremental_stats",
 ]
 
 

@@ -100,6 +100,7 @@ def refine(
     held = spark.read.parquet(f"{inputs}/held")
     sample = read_bucketed(spark, f"{inputs}/sample", PLACE, buckets)
     model = spark.read.parquet(versions.current(spark, f"{state}/epochs") or f"{inputs}/model")
+    models = spark.read.schema(model.schema)
     history = [tuple(h) for h in notes["history"]]
 
     def waited() -> int:
@@ -113,13 +114,13 @@ def refine(
             spark, f"{state}/cache", lambda path, made=made: write_bucketed(made, path, PLACE, buckets), keep=1
         )
         # Samples and cache lie by the same buckets, so the join moves neither.
-        cache = read_bucketed(spark, folder, PLACE, buckets)
+        cache = read_bucketed(spark, folder, PLACE, buckets, made.schema)
         mixed = scheduled_mix(cells(join_cache(sample, cache)), epoch, epochs, seed, mode)
         fitted = mixed.groupBy(SITE).agg(*regression("y", "mixed")).select(SITE, "a", "b")
 
         def write(folder: str, fitted=fitted, epoch=epoch, best=best) -> dict:
             fitted.write.parquet(folder)
-            stored = spark.read.parquet(folder)
+            stored = models.parquet(folder)
             error = ar_error(attach_by_site(held, stored))
             better = error is not None and (best is None or error < best)
             if better and save_to:
@@ -127,7 +128,7 @@ def refine(
             history.append((epoch, usage_rate(epoch, epochs), error, error if better else best, better))
             return {"settings": settings, "history": history}
 
-        model = spark.read.parquet(versions.commit(spark, f"{state}/epochs", write, keep=1))
+        model = models.parquet(versions.commit(spark, f"{state}/epochs", write, keep=1))
         forget(cache)
     forget(sample)
     if own:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ROWS_PER_BUCKET = 500_000
 
@@ -31,9 +32,11 @@ def write_bucketed(df: DataFrame, folder: str, keys: Sequence[str], buckets: int
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def read_bucketed(spark: SparkSession, folder: str, keys: Sequence[str], buckets: int) -> DataFrame:
+def read_bucketed(
+    spark: SparkSession, folder: str, keys: Sequence[str], buckets: int, schema: StructType | None = None
+) -> DataFrame:
     """The rows of `folder`, known to lie by bucket; keys and number as they were written."""
-    schema = spark.read.parquet(folder).schema
+    schema = schema or spark.read.parquet(folder).schema
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     by = ", ".join(f"`{k}`" for k in keys)
     name = f"reading_{uuid.uuid4().hex}"
