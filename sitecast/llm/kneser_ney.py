@@ -30,7 +30,7 @@ from sitecast.operators.chunks import running
 ORDER = 6
 BYTES = 256
 # Bytes of text for each shard and for each block of documents.
-SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 32_000_000, 24_000_000, 4
+SHARD_BYTES, BLOCK_BYTES, LEAST_SHARDS = 8_000_000, 24_000_000, 4
 LANGUAGE_PARTS = 64
 # Bytes of text whose n-grams are taken at a time.
 SLICE_BYTES, TALLY_ROWS = 2_000_000, 4_000_000
@@ -343,18 +343,16 @@ def _answered(asked: DataFrame, counted: DataFrame, order: int) -> DataFrame:
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         known, *n = unpacked(right["grams"][0].as_py())
-        levels = {}
-        for which in models:
-            mine = _counts_of(n, which)
-            levels[which] = Levels(known[mine > 0], mine[mine > 0], order)
-        logs = []
-        for others, own in zip(left["others"], left["own"], strict=True):
-            mine, *seen = unpacked(own.as_py())
-            every = [unpacked(others.as_py())[0], mine]
-            values = [levels[_ALL].log_probabilities(x, *models[_ALL]) for x in every]
-            # A fold's texts are held against the model of the other one.
-            values += [levels[1 - k].log_probabilities(mine[seen[k] > 0], *models[1 - k]) for k in _FOLDS]
-            logs.append(np.concatenate(values).astype("<f4").tobytes())
+        parts: list[list[np.ndarray]] = [[] for _ in range(left.num_rows)]
+        # One model at a time is in memory; a fold's texts are held against that of the other one.
+        for which in (_ALL, 1, 0):
+            counts = _counts_of(n, which)
+            levels = Levels(known[counts > 0], counts[counts > 0], order)
+            for out, others, own in zip(parts, left["others"], left["own"], strict=True):
+                mine, *seen = unpacked(own.as_py())
+                asked_of = [unpacked(others.as_py())[0], mine] if which == _ALL else [mine[seen[1 - which] > 0]]
+                out += [levels.log_probabilities(x, *models[which]).astype("<f4") for x in asked_of]
+        logs = [np.concatenate(out).tobytes() for out in parts]
         return pa.table({"block": left["block"], "shard": left["shard"], "logs": pa.array(logs, pa.binary())})
 
     return (
