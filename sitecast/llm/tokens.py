@@ -1,6 +1,8 @@
 """Token ids of whole texts, encoded inside Spark tasks with a public byte-level BPE."""
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +12,57 @@ END_ID = 2
 # Words kept per worker, in two generations; they set the speed, never the ids. A third of a
 # corpus' words can be rare, but half a million of the frequent ones are over 95 % of its text.
 KEPT_WORDS, KEPT_LENGTH = 500_000, 64
-# Stand-ins while a text is cut: for the place before a word without a space (BARE), and for a
-# point, a comma and a line end.
-BARE, POINT, COMMA, LINE = "\x01", "\x02", "\x03", "\x04"
+# Bytes of text encoded at a time.
+RUN_BYTES = 1 << 20
+SPACE, LINE, POINT, COMMA = b" ", b"\n", b".", b","
+# Below it (Latin) all versions of Unicode have the same letters.
+SCRIPT_END = "ƀ"
+ID = attrgetter("id")
+
+
+def byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: a printable byte for itself,
+    the others for the letters from 256 on, in order."""
+    out, spare = [], 256
+    for byte in range(256):
+        itself = 0x21 <= byte <= 0x7E or 0xA1 <= byte <= 0xFF and byte != 0xAD
+        out.append(chr(byte if itself else spare))
+        spare += not itself
+    return "".join(out)
+
+
+LETTERS = byte_letters()
+
+
+def spelt(word: bytes) -> str:
+    """A word in the letters of the vocabulary."""
+    if word.isascii():
+        return LETTERS[0x20] + word[1:].decode() if word[0] == 0x20 else word.decode()
+    return word.decode("latin-1").translate(LETTERS)
+
+
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in the bytes of texts, and the line ends that cannot be cut out.
+
+    A word begins with its text, with the space before it, or after a line end. A line end is a
+    word, and so are a point and a comma before a space, a line end or the end of the text. A
+    line end before a space, a line end or the end of the text may share a token with it.
+    """
+    begins = np.zeros(len(raw) + 1, bool)
+    begins[offsets] = True
+    line = raw == 0x0A
+    first = line | (raw == 0x20)
+    before_gap = begins[1:].copy()
+    before_gap[:-1] |= first[1:]
+    stuck = np.flatnonzero(line & before_gap)
+    first |= ((raw == 0x2E) | (raw == 0x2C)) & before_gap
+    first[1:] |= line[:-1]
+    first |= begins[:-1]
+    return np.flatnonzero(first), stuck
 
 
 class WordEncoder:
-    """Encodes texts word by word and remembers frequent words; ids come as uint16 bytes.
+    """Encodes texts word by word and remembers frequent words.
 
     In the vocabulary's pattern a space belongs to the word after it, and letters or digits
     never share a token with a point, a comma or a line end beside them. So a text can be cut
@@ -29,101 +75,123 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # A text that holds the string of an added token has its id there, so it is not cut.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.fixed = {"": None, BARE: None, POINT: self._ids("."), COMMA: self._ids(","), LINE: self._ids("\n")}
-        self.known: dict[str, bytes | None] = dict(self.fixed)
-        self.older: dict[str, bytes | None] = {}
-        self.odd: set[str] = set()  # known words that end in a mark
+        # A space alone is the beginning of a longer run of white space or the end of a text.
+        self.fixed = {SPACE: None} | {w: self._ids(w.decode()) for w in (LINE, POINT, COMMA)}
+        self.known: dict[bytes, bytes | None] = dict(self.fixed)
+        self.older: dict[bytes, bytes | None] = {}
+        self.odd = {POINT, COMMA}  # known words that end in a mark
 
     def _ids(self, text: str) -> bytes:
         # The batch form gives the same ids and keeps no offsets, which take a third of the time.
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return np.array(ids, dtype="<u2").tobytes()
 
-    def _marked(self, text: str) -> str | None:
-        """The text with a space at every place where it is cut, or None if it must stay whole."""
-        if any(t in text for t in self.added):
-            return None
-        if ".." in text or ",." in text or any(c in text for c in (BARE, POINT, COMMA, LINE)):
-            return None
-        marked = f"{BARE}{text} ".replace(".\n", f" {POINT} {LINE} {BARE}")
-        marked = marked.replace("\n", f" {LINE} {BARE}")
-        return marked.replace(". ", f" {POINT} ").replace(", ", f" {COMMA} ")
-
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new words, encoded as the lines of one text: a line end is a token of its own
-        before a letter, a mark or a single space. None for words that hold white space."""
-        back = new & self.older.keys()
-        self.known.update({w: self.older[w] for w in back})
-        other = {w for w in new if not w.isalnum()}
-        plain = list(new - back - other)
-        for word in other:
-            if word not in back:
-                if len(word.split()) == 1 and word == word.strip():
-                    plain.append(word)
-                else:
-                    self.known[word] = None
-            if not word[-1].isalnum():
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new words; None for words that hold white space.
+
+        Runs of letters are single words to the pattern, so they go to the vocabulary's merges
+        at once. The rest is encoded as the lines of one text: a line end is a token of its own
+        before a letter, a mark or a single space.
+        """
+        runs, lines = [], []
+        for word in new:
+            if word in self.older:
+                self.known[word] = self.older[word]
+            elif word.isalpha() or word[0] == 0x20 and word[1:].isalpha():
+                runs.append(word)
+                continue
+            text = word.decode()
+            if not text[-1].isalnum():
                 self.odd.add(word)
+            if word in self.known:
+                continue
+            stem = text.removeprefix(" ")
+            if stem.isalpha() and max(stem) < SCRIPT_END:
+                runs.append(word)
+            elif stem.isalnum() or len(stem.split()) == 1 and stem == stem.strip():
+                lines.append((word, text))
+            else:
+                self.known[word] = None
+        self._merge(runs)
         line_end = np.frombuffer(self.fixed[LINE], "<u2")[0]
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            ids = self._ids("\n".join([w[1:] if w[0] == BARE else " " + w for w in some]))
+        for i in range(0, len(lines), 256):
+            some = lines[i : i + 256]
+            ids = self._ids("\n".join([text for _, text in some]))
             ends = (np.flatnonzero(np.frombuffer(ids, "<u2") == line_end) * 2).tolist()
             starts = [0, *[end + 2 for end in ends]]
-            self.known.update((w, ids[a:b]) for w, a, b in zip(some, starts, [*ends, len(ids)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. The distinct words of all texts are looked up once, and the ids put
-        together by places in arrays."""
-        marked = [self._marked(t) for t in texts]
-        some = [i for i, m in enumerate(marked) if m is not None]
-        out: list[bytes | None] = [None] * len(texts)
-        new: set[str] = set()
-        if some:
-            parts = pc.split_pattern(pa.array([marked[i] for i in some], pa.large_string()), " ")
-            ends = parts.offsets.to_numpy()
-            coded = parts.flatten().dictionary_encode()
-            inside = np.ones(len(coded), bool)
-            inside[ends[1:] - 1] = False  # nothing comes after the last space
-            codes = coded.indices.to_numpy()[inside]
-            ends = ends - np.arange(len(ends))
-            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-            ids = list(map(self.known.get, words))
-            new = {w for w, i in zip(words, ids, strict=True) if i is None and w not in self.known}
-            self._learn(new)
-            ids = [self.known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            # A text stays whole if a word cannot be cut out, or if a point or comma follows a
-            # word that ends in a mark: one token may hold both.
-            stuck = np.zeros(len(words), bool)
-            for k in [k for k, i in enumerate(ids) if i is None]:
-                stuck[k], ids[k] = True, b""
-            stays = stuck[codes]
-            if self.odd:
-                odd, mark = np.zeros(len(words), bool), np.zeros(len(words), bool)
-                odd[[k for k, w in enumerate(words) if w in self.odd]] = True
-                mark[[words.index(m) for m in (POINT, COMMA) if m in words]] = True
-                stays[:-1] |= odd[codes[:-1]] & mark[codes[1:]]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-            starts = np.cumsum(lengths) - lengths
-            every = np.frombuffer(b"".join(ids), "<u2")
-            whole = np.logical_or.reduceat(stays, ends[:-1])
-            sizes = lengths[codes]
-            upto = np.cumsum(sizes)
-            place = np.arange(upto[-1]) + np.repeat(starts[codes] - (upto - sizes), sizes)
-            tokens = every[place]
-            last = upto[ends[1:] - 1].tolist()
-            for i, a, b, w in zip(some, [0, *last], last, whole.tolist(), strict=False):
-                out[i] = None if w else tokens[a:b].tobytes()
-        out = [self._ids(t) if i is None else i for t, i in zip(texts, out, strict=True)]
+            self.known.update((w, ids[a:b]) for (w, _), a, b in zip(some, starts, [*ends, len(ids)], strict=True))
+
+    def _merge(self, runs: list[bytes]) -> None:
+        """Ids of runs of letters, a few at a time."""
+        merged = self.tokenizer.model.tokenize
+        for i in range(0, len(runs), 1024):
+            some = runs[i : i + 1024]
+            tokens = [merged(spelt(w)) for w in some]
+            ids = np.fromiter(map(ID, chain.from_iterable(tokens)), "<u2").tobytes()
+            ends = [2 * n for n in accumulate(map(len, tokens))]
+            self.known.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> Iterator[np.ndarray]:
+        """Ids of each text, `raw` from one of `offsets` to the next, and the end id. The distinct
+        words of all texts are looked up once, and the ids put together by places in arrays."""
+        at, stuck = word_starts(raw, offsets)
+        whole = np.zeros(len(offsets) - 1, bool)
+        whole[np.searchsorted(offsets, stuck, "right") - 1] = True
+        every = raw.tobytes()
+        for token in self.added:
+            found = every.find(token)
+            while found >= 0:
+                whole[np.searchsorted(offsets, found, "right") - 1] = True
+                found = every.find(token, found + 1)
+        bounds = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, bounds, pa.py_buffer(raw)])
+        coded = parts.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        gaps = [k for k, i in enumerate(ids) if i is None]
+        new = [words[k] for k in gaps if words[k] not in self.known]
+        self._learn(new)
+        # A text stays whole if a word cannot be cut out, or if a point or comma follows a
+        # word that ends in a mark: one token may hold both.
+        stays = np.zeros(len(words), bool)
+        for k in gaps:
+            ids[k] = self.known[words[k]]
+            if ids[k] is None:
+                stays[k], ids[k] = True, b""
+        stays = stays[codes]
+        if self.odd:
+            odd, mark = np.zeros(len(words), bool), np.zeros(len(words), bool)
+            odd[[k for k, w in enumerate(words) if w in self.odd]] = True
+            mark[[words.index(m) for m in (POINT, COMMA) if m in words]] = True
+            stays[:-1] |= odd[codes[:-1]] & mark[codes[1:]]
+        whole[np.searchsorted(offsets, at[stays], "right") - 1] = True
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[codes]
+        upto = np.append(0, np.cumsum(sizes))
+        place = np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], sizes)
+        last = upto[np.searchsorted(at, offsets[1:])]
+        tokens = np.insert(np.frombuffer(b"".join(ids), "<u2")[place], last, end_id)
+        ends = (last + np.arange(1, len(offsets))).tolist()
+        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            if whole[k]:
+                text = every[offsets[k] : offsets[k + 1]].decode()
+                yield np.append(np.frombuffer(self._ids(text), "<u2"), np.uint16(end_id))
+            else:
+                yield tokens[a:b]
+        self._forget(new)
+
+    def _forget(self, new: list[bytes]) -> None:
         for word in [w for w in new if len(w) > KEPT_LENGTH]:
             del self.known[word]
+            self.odd.discard(word)
         if len(self.known) > KEPT_WORDS // 2:
             self.known, self.older = dict(self.fixed), self.known
             self.odd = {w for w in self.odd if w in self.older}
-        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -136,26 +204,24 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def text_runs(texts: Sequence[str | None] | pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of about `limit` characters; NULL is empty. Arrow columns are unfolded in parts."""
-    run, size = [], 0
-    for at in range(0, len(texts), 500):
-        part = texts[at : at + 500]
-        for text in part.to_pylist() if isinstance(part, pa.Array) else part:
-            run.append(text or "")
-            size += len(run[-1])
-            if size >= limit:
-                yield run
-                run, size = [], 0
-    if run:
-        yield run
+def text_runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of runs of whole texts, each closed at `limit` bytes; NULL is empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        after = min(int(np.searchsorted(offsets, offsets[first] + limit)), len(texts))
+        after = max(after, first + 1)
+        own = offsets[first : after + 1]
+        yield raw[own[0] : own[-1]], own - own[0]
+        first = after
 
 
 def encode_texts(
     path: str, texts: Sequence[str | None] | pa.Array, end_id: int = END_ID
 ) -> Iterator[np.ndarray]:
     """Ids of each text with the end id after them."""
-    end = np.array([end_id], dtype="<u2").tobytes()
-    for run in text_runs(texts):
-        for ids in encoder(path).encode(run):
-            yield np.frombuffer(ids + end, dtype="<u2")
+    for run in text_runs(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+        yield from encoder(path).encode(*run, end_id)

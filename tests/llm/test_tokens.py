@@ -14,6 +14,7 @@ from sitecast.llm.tokens import encode_texts
 HARD = [
     None, "", " ", "  ", "a", " a", "a  b", "a   b", "a.. b", "a,. b", "a., b", "a!. B", "a.\nB. C, d", "x.\n y",
     "\n\n\nx", "x \n", "it's, it's.", "\x01\x02", "é, è.", "<|endoftext|> a", "hello <|endoftext|> x", "a, b<|endoftext|>. c", "<|endoftext|><|endoftext", "1. 2, 3", "a\u2028 b", "\x1c a. b", "z" * 300 + ". a",
+    "., é%", "..", ",.", "\n.,", ".\n.", "x\n", "\n a", "a \nb", "a\n\tb", " \ta", "Ж. ſ, ƀ", "漢, a", "a1 1a 7. ²",
 ]
 
 
