@@ -1,9 +1,10 @@
 """Sharding by best-fit decreasing with a balanced tree of remaining capacities.
 
 Groups of rows stay together. Groups smaller than a bundle (a small fixed part of a shard) are
-first packed into bundles, in as many tasks as there are blocks of groups; bundles and larger
+first packed into bundles, in as many tasks as there are blocks of groups; where the blocks are
+many, what is left half empty is packed again, until few blocks are left. Bundles and larger
 groups, a number that depends on the number of shards and not on the rows, are then packed into
-shards. Both levels are best-fit decreasing: falling size, tightest bin that still fits.
+shards. All levels are best-fit decreasing: falling size, tightest bin that still fits.
 """
 
 from bisect import bisect_left, insort
@@ -18,6 +19,8 @@ from sitecast.llm.common import bytes_of, cut, numbered, ship
 SHARDS, BUNDLES_PER_SHARD = 16, 512
 # Groups of a block: this many at most, and fewer while that makes less than MIN_BLOCKS tasks.
 BLOCK_GROUPS, FEWER_GROUPS, MIN_BLOCKS = 50_000, 500, 64
+# Blocks whose bundles the driver takes as they are; those of more blocks are packed again.
+MOST_BLOCKS = 4096
 NODE = 256
 
 
@@ -105,8 +108,13 @@ def near_equal(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _bundled(small: DataFrame, capacity: int, blocks: int) -> DataFrame:
-    """Small groups with `bundle`: best-fit decreasing within blocks of groups, one task each."""
+def _blocks(groups: int) -> int:
+    return max(1, -(-groups // BLOCK_GROUPS), min(MIN_BLOCKS, groups // FEWER_GROUPS))
+
+
+def _packed(small: DataFrame, capacity: int, blocks: int, first: int) -> DataFrame:
+    """Small groups with `block`, numbered from `first`, and `bin`: best-fit decreasing within
+    blocks of groups, one task each."""
     ship(small.sparkSession)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
@@ -114,23 +122,45 @@ def _bundled(small: DataFrame, capacity: int, blocks: int) -> DataFrame:
         bins, _ = best_fit_decreasing(frame["bytes"].to_numpy(), capacity)
         return pd.DataFrame({"key": frame["key"], "bytes": frame["bytes"], "block": frame["block"], "bin": bins})
 
-    blocked = small.select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
+    block = F.lit(first) + F.pmod(F.xxhash64("key"), F.lit(blocks))
+    blocked = small.select("key", "bytes", block.alias("block"))
     return blocked.groupBy("block").applyInPandas(pack, "key binary, bytes long, block long, bin long")
 
 
+def bundled(small: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """(key, bytes, block, bin), stored: the bundle (block, bin) of each of at most `groups` groups.
+
+    Of the bundles of a block at most one is less than half full, so there are at most
+    2 * bytes / capacity + MOST_BLOCKS bundles: beyond MOST_BLOCKS blocks the half empty ones, as
+    many as blocks, are groups to pack again.
+    """
+    first, blocks = 0, _blocks(groups)
+    packed = cut(_packed(small, capacity, blocks, first))
+    name = F.unhex(F.format_string("%016x%016x", "block", "bin"))
+    while blocks > MOST_BLOCKS:
+        bundles = packed.groupBy("block", "bin").agg(F.sum("bytes").alias("bytes"))
+        light = bundles.filter(F.col("bytes") * 2 < capacity).select(name.alias("key"), "bytes")
+        first, blocks = first + blocks, _blocks(blocks)
+        again = _packed(light, capacity, blocks, first).select(
+            F.col("key").alias("_name"), F.col("block").alias("_block"), F.col("bin").alias("_bin")
+        )
+        moved = packed.withColumn("_name", name).join(again, "_name", "left")
+        place = (F.coalesce("_block", "block").alias("block"), F.coalesce("_bin", "bin").alias("bin"))
+        packed = cut(moved.select("key", "bytes", *place))
+    return packed
+
+
 def assign_groups(groups: DataFrame, shards: int = SHARDS, per_shard: int = BUNDLES_PER_SHARD) -> DataFrame:
     """(key, shard, large) for `groups` (key binary, bytes long): shards of nearly equal size.
 
-    At most shards * per_shard groups reach the size of a bundle (`large`); the bundles of a
-    block fill at least half their capacity, but for one. So the driver packs a number of items
-    that is bounded by the parameters and the number of blocks, which grows by one per
-    BLOCK_GROUPS groups. No groups give no rows.
+    At most shards * per_shard groups reach the size of a bundle (`large`), and there are about
+    2 * shards * per_shard + MOST_BLOCKS bundles at most. So the driver packs a number of items
+    that the parameters bound. No groups give no rows.
     """
     groups = cut(groups.select("key", "bytes"))
     row = groups.agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).first()
     capacity = max((row["total"] or 0) // (shards * per_shard), 1)
-    blocks = max(1, -(-row["n"] // BLOCK_GROUPS), min(MIN_BLOCKS, row["n"] // FEWER_GROUPS))
-    packed = cut(_bundled(groups.filter(F.col("bytes") < capacity), capacity, blocks))
+    packed = bundled(groups.filter(F.col("bytes") < capacity), capacity, row["n"])
     bundles = packed.groupBy("block", "bin").agg(F.sum("bytes").alias("bytes"))
     small = [(r["block"], r["bin"], r["bytes"]) for r in bundles.orderBy("block", "bin").collect()]
     large = groups.filter(F.col("bytes") >= capacity).orderBy("key").collect()

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -58,3 +58,20 @@ def test_best_fit_decreasing_respects_the_capacity():
     loads = np.bincount(bins, sizes)
     assert loads.max() <= 100 and len(loads) == used
     assert used <= 1.02 * -(-sizes.sum() // 100) + 1
+
+
+def test_bundles_are_few_for_any_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BLOCK_GROUPS", 7)
+    monkeypatch.setattr(shards, "FEWER_GROUPS", 1000)
+    monkeypatch.setattr(shards, "MOST_BLOCKS", 3)
+    groups = spark.range(2000).selectExpr("unhex(sha2(string(id), 256)) key", "1 + pmod(hash(id), 60) bytes")
+    rows = shards.bundled(groups, 400, 2000).collect()
+    assert {bytes(r["key"]): r["bytes"] for r in rows} == {bytes(r["key"]): r["bytes"] for r in groups.collect()}
+    assert len(rows) == 2000
+    sizes = Counter()
+    for r in rows:
+        sizes[r["block"], r["bin"]] += r["bytes"]
+    assert max(sizes.values()) <= 400
+    assert len(sizes) <= 2 * sum(sizes.values()) / 400 + 3
+    assert sum(2 * s < 400 for s in sizes.values()) <= 3
+    assert shards.bundled(groups.limit(0), 400, 0).count() == 0
