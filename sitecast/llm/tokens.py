@@ -13,7 +13,7 @@ END_ID = 2
 # corpus' words can be rare, but half a million of the frequent ones are over 95 % of its text.
 KEPT_WORDS, KEPT_LENGTH = 500_000, 64
 # Bytes of text encoded at a time.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 21
 SPACE, LINE, POINT, COMMA = b" ", b"\n", b".", b","
 # Below it (Latin) all versions of Unicode have the same letters.
 SCRIPT_END = "ƀ"
@@ -96,18 +96,16 @@ class WordEncoder:
         at once. The rest is encoded as the lines of one text: a line end is a token of its own
         before a letter, a mark or a single space.
         """
-        runs, lines = [], []
-        for word in new:
-            if word in self.older:
-                self.known[word] = self.older[word]
-            elif word.isalpha() or word[0] == 0x20 and word[1:].isalpha():
+        runs, lines, older = [], [], self.older
+        back = [w for w in new if w in older]
+        self.known.update(zip(back, map(older.__getitem__, back), strict=True))
+        for word in [w for w in new if w not in older] if back else new:
+            if word.isalpha() or word[0] == 0x20 and word[1:].isalpha():
                 runs.append(word)
                 continue
             text = word.decode()
             if not text[-1].isalnum():
                 self.odd.add(word)
-            if word in self.known:
-                continue
             stem = text.removeprefix(" ")
             if stem.isalpha() and max(stem) < SCRIPT_END:
                 runs.append(word)
