@@ -33,11 +33,14 @@ def complete_grid(
 
     The empty grid is unioned with the readings and both go through one aggregate, so the
     readings are combined before the only shuffle and no join is needed. The grid itself is
-    unfolded chunk by chunk, so a long site is produced by many tasks.
+    unfolded chunk by chunk, so a long site is produced by many tasks. Their number is the
+    session's: blocks are small and grow a thousandfold, so merged by size they would all meet
+    in one task, whose aggregate would hold the whole grid.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = bounds.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_rows - 1) div {CHUNK}")))
-    ).repartition(SITE, "block")
+    ).repartition(tasks, SITE, "block")
     first = F.col("block") * CHUNK
     last = F.least(first + CHUNK, F.col("n_rows")) - 1
     empty = blocks.withColumn("place", F.explode(F.sequence(first, last))).select(
