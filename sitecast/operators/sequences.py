@@ -216,6 +216,24 @@ def export_sequences(
     `src` lookback x 10 with missing = 0, `tgt_in` horizon x 5 with the shifted target,
     `tgt_out` with missing = sentinel, and the two missing masks.
     """
+    packed = packed_sequences(df, lookback, horizon, sentinel, keys, width)
+    return unfold_sequences(packed, lookback, horizon, keys)
+
+
+def packed_sequences(
+    df: DataFrame,
+    lookback: int = LOOKBACK,
+    horizon: int = HORIZON,
+    sentinel: float = SENTINEL,
+    keys: Sequence[str] = KEYS,
+    width: int = CHUNK,
+) -> DataFrame:
+    """The exported samples before they are unfolded: a row per chunk, with the arrays that its
+    samples are slices of. Its samples start at the rows `lo` to `hi`; `first` is the row that
+    the arrays begin with.
+
+    Samples share nearly all of their rows, so this form is about a hundredth of theirs.
+    """
     zero = F.lit(0.0)
     row = F.struct(
         "row_idx",
@@ -231,8 +249,9 @@ def export_sequences(
         F.max("n_rows").alias("n_rows"), F.array_sort(F.collect_list("row")).alias("rows")
     )
     shifted = F.slice("rows", F.lit(1), F.size("rows") - 1)
-    packed = packed.select(
+    return packed.select(
         *keys,
+        "chunk_id",
         F.col("rows")[0]["row_idx"].alias("first"),
         F.greatest(F.col("chunk_id") * width - span + 1, F.lit(0)).alias("lo"),
         (F.least((F.col("chunk_id") + 1) * width, F.col("n_rows")) - span).alias("hi"),
@@ -242,26 +261,30 @@ def export_sequences(
             shifted,
             lambda r, p: F.concat(r["time"], F.array(F.coalesce(p["y"], zero))),
         ).alias("tgt_in"),
-        F.transform("rows", lambda r: r["y"]).alias("y"),
+        F.transform("rows", lambda r: V.to_sentinel(r["y"], sentinel)).alias("tgt_out"),
+        F.transform("rows", lambda r: V.is_missing(r["y"])).alias("mask"),
     ).filter("hi >= lo")
+
+
+def unfold_sequences(
+    packed: DataFrame,
+    lookback: int = LOOKBACK,
+    horizon: int = HORIZON,
+    keys: Sequence[str] = KEYS,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The samples `lo` to `hi` of every packed row, in this order, with the columns `keep`."""
     starts = packed.withColumn("start_idx", F.explode(F.sequence("lo", "hi")))
     at = (F.col("start_idx") - F.col("first") + 1).cast("int")
-    cut = starts.select(
+    return starts.select(
         *keys,
+        *keep,
         "start_idx",
         F.slice("src", at, F.lit(lookback)).alias("src"),
         F.slice("tgt_in", at + (lookback - 1), F.lit(horizon)).alias("tgt_in"),
-        F.slice("y", at, F.lit(lookback)).alias("back"),
-        F.slice("y", at + lookback, F.lit(horizon)).alias("ahead"),
-    )
-    return cut.select(
-        *keys,
-        "start_idx",
-        "src",
-        "tgt_in",
-        F.transform("ahead", lambda y: V.to_sentinel(y, sentinel)).alias("tgt_out"),
-        F.transform("back", V.is_missing).alias("src_mask"),
-        F.transform("ahead", V.is_missing).alias("tgt_mask"),
+        F.slice("tgt_out", at + lookback, F.lit(horizon)).alias("tgt_out"),
+        F.slice("mask", at, F.lit(lookback)).alias("src_mask"),
+        F.slice("mask", at + lookback, F.lit(horizon)).alias("tgt_mask"),
     )
 
 

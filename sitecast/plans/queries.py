@@ -164,32 +164,30 @@ def stats_table(spark, sf_dir):
 @query
 def sequence_export(spark, sf_dir):
     """Whole exported samples, reported as sizes and checksums per sample."""
-    out = SQ.export_sequences(scaled_readings_of(proxy.readings(spark, sf_dir)))
-    zero = F.lit(0.0)
-
-    def total(rows: Column, i: int) -> Column:
+    packed = SQ.packed_sequences(scaled_readings_of(proxy.readings(spark, sf_dir)))
+    out = SQ.unfold_sequences(packed, keep=["chunk_id"])
+    # One row per row of a sample; a chunk's samples lie together, so nothing moves for the sums.
+    arrays = F.arrays_zip("src", "src_mask", "tgt_in", "tgt_out", "tgt_mask")
+    rows = out.select(SITE, "chunk_id", "start_idx", F.posexplode(arrays).alias("k", "row"))
+    place = F.col("k") + 1
+
+    def total(x: Column) -> Column:
         """Values weighted by their place, so that rows out of order give another sum."""
-        placed = F.transform(rows, lambda r, k: r[i] * (k + 1))
-        return F.aggregate(placed, zero, lambda acc, x: acc + x)
-
-    def masked(mask: Column) -> Column:
-        placed = F.transform(mask, lambda m, k: F.when(m, k + 1).otherwise(0))
-        return F.aggregate(placed, F.lit(0), lambda acc, x: acc + x)
-
-    return out.select(
-        SITE,
-        "start_idx",
-        F.size("src").alias("n_src"),
-        F.size("tgt_out").alias("n_tgt"),
-        *[num(total(F.col("src"), i), f"src_{c}") for i, c in enumerate(ENCODER)],
-        num(total(F.col("tgt_in"), len(TIME)), "tgt_in_prev"),
-        num(
-            F.aggregate(F.transform("tgt_out", lambda y, k: y * (k + 1)), zero, lambda acc, y: acc + y),
-            "tgt_out_sum",
-        ),
-        masked(F.col("src_mask")).alias("src_masked"),
-        masked(F.col("tgt_mask")).alias("tgt_masked"),
+        return F.sum(x * place)
+
+    def masked(mask: str) -> Column:
+        return F.sum(F.when(F.col(f"row.{mask}"), place).otherwise(0)).cast("int").alias(f"{mask}ed")
+
+    sums = rows.groupBy(SITE, "chunk_id", "start_idx").agg(
+        F.count("row.src").cast("int").alias("n_src"),
+        F.count("row.tgt_out").cast("int").alias("n_tgt"),
+        *[num(total(F.get("row.src", F.lit(i))), f"src_{c}") for i, c in enumerate(ENCODER)],
+        num(total(F.get("row.tgt_in", F.lit(len(TIME)))), "tgt_in_prev"),
+        num(total(F.col("row.tgt_out")), "tgt_out_sum"),
+        masked("src_mask"),
+        masked("tgt_mask"),
     )
+    return sums.drop("chunk_id")
 
 
 # ---- projections and missing values ----------------------------------------------------

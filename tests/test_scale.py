@@ -1,9 +1,11 @@
-"""What a task holds must not grow with the input."""
+"""What a task holds must not grow with the input, and samples are not moved whole."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitecast.operators import grid as G
-from sitecast.schema import SITE, TARGET
+from sitecast.operators import sequences as SQ
+from sitecast.schema import SITE, TARGET, TIME, WEATHER
 
 
 def test_empty_grid_is_unfolded_by_as_many_tasks_as_the_session_sets(spark):
@@ -16,3 +18,24 @@ def test_empty_grid_is_unfolded_by_as_many_tasks_as_the_session_sets(spark):
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "block" in x]
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     assert dealt and all("REPARTITION_BY_NUM" in x and f", {tasks})" in x for x in dealt)
+
+
+@pytest.fixture(scope="module")
+def readings(series):
+    return series.withColumns({c: F.sin(F.col("row_idx") * (i + 1) / 9.0) for i, c in enumerate([*TIME, *WEATHER])})
+
+
+def test_samples_are_slices_of_packed_chunks(spark, readings, plain):
+    packed = SQ.packed_sequences(readings, width=160).cache()
+    assert packed.count() == 3  # of 186 samples
+    out = SQ.unfold_sequences(packed, keep=["chunk_id"])
+    # Nothing is worked out again for every sample.
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    rows = out.collect()
+    assert len(rows) == 186
+    for r in rows:
+        y = plain[r[SITE]][r["start_idx"] : r["start_idx"] + 116]
+        assert [s[-1] for s in r["src"]] == [v or 0.0 for v in y[:96]]
+        assert [t[-1] for t in r["tgt_in"]] == [v or 0.0 for v in y[95:115]]
+        assert r["tgt_out"] == [-999.0 if v is None else v for v in y[96:]]
+        assert [*r["src_mask"], *r["tgt_mask"]] == [v is None for v in y]
