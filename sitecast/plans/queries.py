@@ -527,9 +527,11 @@ def epoch_order(spark, sf_dir):
 def trainer_shards(spark, sf_dir):
     """Samples exported as files of whole batches; each batch read from where the manifest says."""
     scaled = scaled_readings_of(proxy.readings(spark, sf_dir))
-    sample = numbered(SQ.export_sequences(scaled), spark, sf_dir)
+    packed = SQ.packed_sequences(scaled)
+    # A packed row has the number of its first sample.
+    packed = numbered(packed.withColumn("start_idx", F.col("lo")), spark, sf_dir).drop("start_idx", "batch_id")
     path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    shards.write_shards(sample, path)
+    shards.write_packed_shards(packed, lambda rows: SQ.unfold_sequences(rows, keep=["offset"]), path)
     rows = shards.read_places(spark, path)
     batch = rows.groupBy("batch_id", "first_sample", "last_sample").agg(
         F.count("*").alias("n_samples"),

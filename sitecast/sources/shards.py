@@ -1,8 +1,12 @@
 """Exported samples as files of whole batches, with a manifest that says where each batch lies."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitecast.operators.sequences import with_batch
+from sitecast.schema import BATCH
 from sitecast.sources import versions
 
 BATCHES_PER_FILE = 256
@@ -23,22 +27,58 @@ def write_shards(sample: DataFrame, path: str, batches_per_file: int = BATCHES_P
         last = sample.agg(F.max("batch_id")).first()[0]
         files = max(1, -(-((last or 0) + 1) // batches_per_file))
         ordered = sample.repartitionByRange(files, "batch_id").sortWithinPartitions("sample_id")
-        ordered.write.parquet(f"{folder}/{DATA}")
-        rows = spark.read.parquet(f"{folder}/{DATA}").select(
-            "batch_id", "sample_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
-        )
-        listed = rows.groupBy("batch_id", "file").agg(
-            F.min("row").alias("first_row"),
-            F.count("*").alias("n_rows"),
-            F.min("sample_id").alias("first_sample"),
-            F.max("sample_id").alias("last_sample"),
-        )
-        listed.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(f"{folder}/{MANIFEST}")
-        return {"files": files}
+        return _store(spark, ordered, files, folder)
 
     return versions.commit(spark, path, write, keep=1)
 
 
+def write_packed_shards(
+    packed: DataFrame,
+    unfold: Callable[[DataFrame], DataFrame],
+    path: str,
+    batches_per_file: int = BATCHES_PER_FILE,
+) -> str:
+    """The same from packed rows, each of which stands for the samples that start at `lo` to
+    `hi`, numbered from its `sample_id` on. `unfold` makes a row's samples (`start_idx`), in this
+    order, and keeps the column `offset`, what a sample's number is above its start.
+
+    Packed rows are dealt to files and cut at their bounds; samples, which are a hundred times
+    their size, are made where they are written and never moved.
+    """
+    spark, per_file = packed.sparkSession, batches_per_file * BATCH
+
+    def write(folder: str) -> dict:
+        last = packed.agg(F.max(F.expr("sample_id + hi - lo"))).first()[0]
+        files = max(1, -(-((last or 0) + 1) // per_file))
+        reached = F.sequence(F.expr(f"sample_id div {per_file}"), F.expr(f"(sample_id + hi - lo) div {per_file}"))
+        dealt = packed.withColumn("offset", F.expr("sample_id - lo")).withColumn("file", F.explode(reached))
+        first = F.col("file") * per_file - F.col("offset")
+        dealt = dealt.withColumns({"lo": F.greatest("lo", first), "hi": F.least("hi", first + (per_file - 1))})
+        placed = dealt.repartitionByRange(files, "file").sortWithinPartitions("file", F.expr("offset + lo"))
+        sample = unfold(placed).withColumn("sample_id", F.col("offset") + F.col("start_idx")).drop("offset")
+        return _store(spark, with_batch(sample), files, folder)
+
+    return versions.commit(spark, path, write, keep=1)
+
+
+def _store(spark: SparkSession, ordered: DataFrame, files: int, folder: str) -> dict:
+    # Neighbouring samples repeat each other but for one row, which zstd finds in plain values
+    # and not in places of a dictionary.
+    plain = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+    ordered.write.options(**plain).parquet(f"{folder}/{DATA}")
+    rows = spark.read.parquet(f"{folder}/{DATA}").select(
+        "batch_id", "sample_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    listed = rows.groupBy("batch_id", "file").agg(
+        F.min("row").alias("first_row"),
+        F.count("*").alias("n_rows"),
+        F.min("sample_id").alias("first_sample"),
+        F.max("sample_id").alias("last_sample"),
+    )
+    listed.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(f"{folder}/{MANIFEST}")
+    return {"files": files}
+
+
 def _folder(spark: SparkSession, path: str) -> str:
     folder = versions.current(spark, path)
     if folder is None:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from sitecast.operators import grid as G
 from sitecast.operators import sequences as SQ
-from sitecast.schema import SITE, TARGET, TIME, WEATHER
+from sitecast.schema import BATCH, SITE, TARGET, TIME, WEATHER
+from sitecast.sources import shards
 
 
 def test_empty_grid_is_unfolded_by_as_many_tasks_as_the_session_sets(spark):
@@ -39,3 +40,21 @@ def test_samples_are_slices_of_packed_chunks(spark, readings, plain):
         assert [t[-1] for t in r["tgt_in"]] == [v or 0.0 for v in y[95:115]]
         assert r["tgt_out"] == [-999.0 if v is None else v for v in y[96:]]
         assert [*r["src_mask"], *r["tgt_mask"]] == [v is None for v in y]
+
+
+def test_packed_rows_are_cut_at_the_bounds_of_files(spark, readings, series, tmp_path):
+    offsets = SQ.series_offsets(SQ.sequence_counts(series))
+    whole = SQ.with_batch(SQ.number_samples(SQ.export_sequences(readings), offsets))
+    packed = SQ.packed_sequences(readings)
+    packed = SQ.number_samples(packed.withColumn("start_idx", F.col("lo")), offsets).drop("start_idx")
+    unfold = lambda rows: SQ.unfold_sequences(rows, keep=["offset"])
+    shards.write_packed_shards(packed, unfold, str(tmp_path / "out"), batches_per_file=2)
+    found = shards.read_places(spark, str(tmp_path / "out"))
+    assert found.filter("sample_id - first_sample != place").count() == 0
+    listed = shards.read_manifest(spark, str(tmp_path / "out")).collect()
+    assert sorted(r["batch_id"] for r in listed) == list(range(-(-186 // BATCH))) and len({r["file"] for r in listed}) > 1
+    columns = whole.columns
+    got = sorted(found.select(*columns).collect(), key=lambda r: r["sample_id"])
+    assert got == sorted(whole.collect(), key=lambda r: r["sample_id"])
+    shards.write_packed_shards(packed.limit(0), unfold, str(tmp_path / "none"))
+    assert shards.read_manifest(spark, str(tmp_path / "none")).count() == 0
