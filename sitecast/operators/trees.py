@@ -7,8 +7,10 @@ so what moves depends on bins and nodes, not on rows.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,6 @@ from sitecast.operators.sequences import encoder_summary
 from sitecast.schema import ENCODER, HORIZON, LOOKBACK, TARGET, TIME
 
 SUMMARY = [f"{c}_{s}" for c in ENCODER for s in ("avg", "min", "max", "last")] + [f"{TARGET}_valid"]
-STEP = ["step", *[f"{c}_ahead" for c in TIME]]
 TREES, DEPTH, BINS, RATE, SEED = 10, 4, 64, 0.2, 7
 
 
@@ -42,12 +43,21 @@ def tree_samples(
 
 
 def tree_cells(sample: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per sample and step with `y` and the vector `features` (missing values as 0)."""
-    long = sample.select(*keys, "start_idx", *SUMMARY, F.posexplode("ahead").alias("step", "cell"))
-    known = [F.coalesce(F.col(f"cell.{c}"), F.lit(0.0)).alias(f"{c}_ahead") for c in TIME]
-    long = long.select(*keys, "start_idx", "step", F.col("cell.y").alias("y"), *SUMMARY, *known)
-    assembler = VectorAssembler(inputCols=[*SUMMARY, *STEP], outputCol="features")
-    return assembler.transform(long).select(*keys, "start_idx", "step", "y", "features")
+    """One row per sample and step with `y` and the dense vector `features` (missing values as 0).
+
+    The summary is checked and made an array once per sample; a step carries that one column, and
+    its own features are appended. A NaN feature, or a NULL in the summary, is an error.
+    """
+    error = F.raise_error(F.lit("a feature of the trees is NULL or NaN"))
+    bad = F.exists("seen", lambda v: v.isNull() | F.isnan(v))
+    seen = sample.withColumn("seen", F.array(*SUMMARY))
+    seen = seen.withColumn("seen", F.when(bad, error).otherwise(F.col("seen")))
+    long = seen.select(*keys, "start_idx", "seen", F.posexplode("ahead").alias("step", "cell"))
+    known = [F.coalesce(F.col(f"cell.{c}"), F.lit(0.0)) for c in TIME]
+    own = F.array(F.col("step").cast("double"), *known)
+    own = F.when(reduce(or_, [F.isnan(c) for c in known]), error).otherwise(own)
+    features = array_to_vector(F.concat("seen", own)).alias("features")
+    return long.select(*keys, "start_idx", "step", F.col("cell.y").alias("y"), features)
 
 
 def fit_trees(

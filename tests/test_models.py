@@ -99,6 +99,34 @@ def test_tree_features_against_a_loop(full, by_site):
             assert r["features"].toArray() == pytest.approx(want, abs=1e-9)
 
 
+def few_samples(spark, first, zenith=0.0):
+    """Two samples of two steps; all other summary values and time features are 0."""
+    ahead = [(1.5, zenith, *[0.0] * (len(TIME) - 1)), (None, *[None] * len(TIME))]
+    rows = [(site, 0, first, *[0.0] * (len(TR.SUMMARY) - 1), ahead) for site in (1, 2)]
+    step = ", ".join(f"{c}: double" for c in ["y", *TIME])
+    names = ", ".join(f"{c} double" for c in TR.SUMMARY)
+    return spark.createDataFrame(rows, f"campus_key int, start_idx long, {names}, ahead array<struct<{step}>>")
+
+
+def test_tree_cells_carry_one_summary_column(spark):
+    """A step copies the summary as one column, not 41, and its vector stays dense."""
+    cell = TR.tree_cells(few_samples(spark, 2.0))
+    plan = cell._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("posexplode")]
+    assert "seen" in above and TR.SUMMARY[0] not in above
+    for r in cell.collect():
+        assert type(r["features"]).__name__ == "DenseVector"
+        want = [2.0, *[0.0] * (len(TR.SUMMARY) - 1), r["step"], *[0.0] * len(TIME)]
+        assert r["features"].toArray().tolist() == want
+        assert r["y"] == (1.5 if r["step"] == 0 else None)
+
+
+@pytest.mark.parametrize("first, zenith", [(None, 0.0), (float("nan"), 0.0), (2.0, float("nan"))])
+def test_tree_cells_refuse_a_feature_without_a_number(spark, first, zenith):
+    with pytest.raises(Exception, match="NULL or NaN"):
+        TR.tree_cells(few_samples(spark, first, zenith)).collect()
+
+
 def grown(x, y, depth):
     """Predictions of a greedy least-squares tree, splits between any two values."""
     best = (1e-12, None)
