@@ -106,12 +106,17 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
     `first_sample`, `last_sample` are what the manifest says of the batch.
 
     A sample is taken for the batch whose rows of the file hold it, whatever it says itself.
+
+    Both sides meet by file and block of BATCH rows, so the manifest has a row or two per batch.
+    It grows with the samples all the same and is merged with them, never sent to every task.
     """
     rows = spark.read.parquet(f"{_folder(spark, path)}/{DATA}").drop("batch_id")
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    listed = read_manifest(spark, path)
-    # One row of the manifest per sample's place, so the join is by equal keys.
-    each = listed.select(
-        "batch_id", "file", "first_sample", "last_sample", F.posexplode(F.sequence("first_row", F.col("first_row") + F.col("n_rows") - 1)).alias("place", "row")
+    rows = rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "*")
+    blocks = F.sequence(F.expr(f"first_row div {BATCH}"), F.expr(f"(first_row + n_rows - 1) div {BATCH}"))
+    each = read_manifest(spark, path).select(
+        "batch_id", "file", "first_sample", "last_sample", F.col("first_row").alias("_from"), F.col("n_rows").alias("_n"), F.explode(blocks).alias("_block")
     )
-    return rows.join(each, ["file", "row"])
+    met = rows.withColumn("_block", F.expr(f"row div {BATCH}")).join(each.hint("merge"), ["file", "_block"])
+    place = F.col("row") - F.col("_from")
+    held = met.filter((place >= 0) & (place < F.col("_n"))).withColumn("place", place.cast("int"))
+    return held.select(*rows.columns, "batch_id", "first_sample", "last_sample", "place")

@@ -58,3 +58,18 @@ def test_packed_rows_are_cut_at_the_bounds_of_files(spark, readings, series, tmp
     assert got == sorted(whole.collect(), key=lambda r: r["sample_id"])
     shards.write_packed_shards(packed.limit(0), unfold, str(tmp_path / "none"))
     assert shards.read_manifest(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_manifest_is_never_sent_to_every_task(spark, tmp_path):
+    """Nor unfolded to a row per sample. Batches of any length are found, over blocks of rows too."""
+    sizes = [5, 40, 1, 70, BATCH, 3, 2 * BATCH]
+    rows = [(b, i) for i, b in enumerate(b for b, n in enumerate(sizes) for _ in range(n))]
+    sample = spark.createDataFrame(rows, "batch_id bigint, sample_id bigint")
+    shards.write_shards(sample, str(tmp_path / "out"), batches_per_file=4)
+    found = shards.read_places(spark, str(tmp_path / "out"))
+    got = sorted(tuple(r) for r in found.select("batch_id", "sample_id", "place", "first_sample", "last_sample").collect())
+    first = [sum(sizes[:b]) for b in range(len(sizes))]
+    assert got == [(b, i, i - first[b], first[b], first[b] + sizes[b] - 1) for b, i in rows]
+    assert len({r["file"] for r in found.select("file").collect()}) > 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "posexplode" not in plan
