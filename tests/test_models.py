@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from sitecast.operators import boosting as B
 from sitecast.operators import joint as J
 from sitecast.operators import trees as TR
 from sitecast.schema import ENCODER, TARGET, TIME, WEATHER
@@ -173,3 +176,67 @@ def test_trees_learn_what_a_line_cannot(full):
     held = TR.tree_forecast(cell.filter("start_idx >= 140 and y is not null"), model)
     r = held.agg(F.avg(F.pow(F.col("y") - F.col("yhat"), 2.0)).alias("e"), F.var_pop("y").alias("v")).first()
     assert r["e"] < 0.2 * r["v"]
+
+
+def wavy(spark, n, parts):
+    """Rows in runs of seven: features of the run, of the row, constant, and with zeros."""
+    run, row = F.expr("id div 7"), F.col("id")
+    x = [F.sin(run * 1.7), F.when(run % 3 == 0, 0.0).otherwise(F.cos(run * 0.37)), F.lit(2.0)]
+    x += [(row % 7).cast("double"), F.when(F.sin(row * 5.1) > 0, 0.0).otherwise(F.cos(row * 1.3))]
+    y = F.expr("inputs[0] * inputs[3] + case when inputs[1] > 0.3 then 4 else inputs[4] end + sin(id * 12.9)")
+    rows = spark.range(n, numPartitions=parts).select("id", F.array(*x).alias("inputs"))
+    rows = rows.withColumn("y", F.when(row % 5 != 1, y))
+    return rows.select("*", array_to_vector("inputs").alias("features"))
+
+
+@pytest.mark.parametrize("n, bins, depth", [(300, 64, 4), (30_000, 64, 4), (20_000, 300, 3), (300, 8, 0)])
+def test_trees_are_those_of_spark(spark, n, bins, depth):
+    """Bins of all rows or of a sample, bins of one byte or two."""
+    cell = wavy(spark, n, 3)
+    known = cell.filter("y is not null").select("features", "y")
+    spark_fit = GBTRegressor(labelCol="y", maxIter=4, maxDepth=depth, maxBins=bins, stepSize=0.2, seed=7).fit(known)
+    model = TR.fit_trees(cell, 4, depth, bins, 0.2, 7, max_objects=0)
+    both = spark_fit.transform(TR.tree_forecast(cell, model).join(cell.select("id", "features"), "id"))
+    assert both.filter(F.abs(F.col("yhat") - F.col("prediction")) > 1e-9).count() == 0
+    assert both.count() == n and len(model.trees) == 4 and model.treeWeights == spark_fit.treeWeights
+
+
+def test_blocks_hold_a_summary_once_per_sample(spark, full):
+    """Not once per step, as rows of all their bins do (46 integers for each)."""
+    cell = TR.tree_cells(TR.tree_samples(full)).filter("y is not null")
+    rows = cell.select(F.col("inputs").alias("x"), "y")
+    limits = B._limits(rows, rows.count(), 64, 7)
+    blocks = rows.mapInArrow(B._packer(limits), B.BLOCK).collect()
+    cells = sum(len(b["y"]) // 8 for b in blocks)
+    held = sum(len(b[c]) for b in blocks for c in ("runs", "slow_bins", "fast_bins", "y", "p"))
+    assert cells == rows.count() and held < 40 * cells
+    assert all(len(b["slow"]) >= len(TR.SUMMARY) for b in blocks)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_the_first_of_equal_splits_is_taken(spark, parts):
+    rows = [(int(i), float(v), Vectors.dense([w, -v, v])) for i, (v, w) in enumerate(np.random.default_rng(2).normal(size=(500, 2)))]
+    cell = spark.createDataFrame(rows, ["i", "y", "features"]).repartition(parts, "i")
+    root = TR.fit_trees(cell, trees=1, depth=1, max_objects=0).trees[0].toDebugString
+    assert "feature 1 " in root and "feature 2 " not in root
+
+
+@pytest.mark.parametrize("y, feature", [(float("nan"), 1.0), (float("inf"), 1.0), (1.0, float("inf"))])
+def test_trees_refuse_what_is_no_number(spark, y, feature):
+    cell = spark.createDataFrame([(1.0, Vectors.dense([1.0])), (y, Vectors.dense([feature]))], ["y", "features"])
+    with pytest.raises(Exception, match="NULL, NaN or infinite"):
+        TR.fit_trees(cell, max_objects=0)
+    with pytest.raises(ValueError, match="no rows"):
+        TR.fit_trees(cell.filter("y is null"), max_objects=-1)
+
+
+def test_many_cells_are_fitted_in_blocks(spark, monkeypatch):
+    """Only up to the limit does `GBTRegressor` keep them as objects."""
+    fitted = []
+    monkeypatch.setattr(TR, "GBTRegressor", lambda **of: fitted.append(of) or GBTRegressor(**of))
+    cell = wavy(spark, 300, 2)
+    n = cell.filter("y is not null").count()
+    TR.fit_trees(cell, trees=1, depth=1, max_objects=n)
+    assert len(fitted) == 1
+    TR.fit_trees(cell, trees=1, depth=1, max_objects=n - 1)
+    assert len(fitted) == 1
